@@ -46,24 +46,32 @@ def attach(
 ) -> DataFrame:
     """Join ``rows`` to a per-group table without gathering a hot group.
 
-    The table is written first, so its size is known: small tables are broadcast.
-    Otherwise cold groups are shuffled by key and hot groups by key and salt.
+    The table is written first, so its size is known: small tables are broadcast,
+    others are shuffled by key. There, groups with more than their share of the
+    rows are spread over salts; fewer than ``BROADCAST_ROWS`` groups can be.
     """
     table = save_stage(table)
-    if table.count() <= setting(rows.sparkSession, BROADCAST_ROWS):
+    spark = rows.sparkSession
+    bound = setting(spark, BROADCAST_ROWS)
+    if table.count() <= bound:
         return match(rows, F.broadcast(table), keys, how)
-    hot = hot_groups(rows, keys)
-    if hot is None:
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+    total, largest = counts.agg(F.sum("__rows"), F.max("__rows")).first()
+    share = max(setting(spark, HOT_ROWS), (total or 0) // bound)
+    if (largest or 0) <= share:
         return match(rows, table, keys, how)
-    cold = match(match(rows, hot, keys, "left_anti"), table, keys, how)
-    salted_table = match(table, hot, keys, "left_semi").withColumn(
-        "__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    heavy = save_stage(counts.where(F.col("__rows") > share))
+    rows_salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+    table_salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    salted_rows = match(rows, F.broadcast(heavy), keys, "left").withColumn(
+        "__salt", F.when(F.col("__rows").isNotNull(), rows_salt).otherwise(0)
     )
-    salted_rows = match(rows, hot, keys, "left_semi").withColumn(
-        "__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+    salted_table = match(table, F.broadcast(heavy), keys, "left").withColumn(
+        "__salt",
+        F.explode(F.when(F.col("__rows").isNotNull(), table_salts).otherwise(F.array(F.lit(0)))),
     )
-    salted = match(salted_rows, salted_table, [*keys, "__salt"], how).drop("__salt")
-    return cold.unionByName(salted)
+    joined = match(salted_rows.drop("__rows"), salted_table.drop("__rows"), [*keys, "__salt"], how)
+    return joined.drop("__salt")
 
 
 @dataclass(frozen=True)
@@ -110,9 +118,18 @@ Stats = ColdStats | HotStats
 
 
 def by_size(
-    df: DataFrame, keys: Sequence[str], plan: Callable[[DataFrame, Stats], DataFrame]
+    df: DataFrame,
+    keys: Sequence[str],
+    plan: Callable[[DataFrame, Stats], DataFrame],
+    stats: Stats | None = None,
 ) -> DataFrame:
-    """Run ``plan`` on the cold groups and, if there are any, on the hot ones."""
+    """Run ``plan`` on the cold groups and, if there are any, on the hot ones.
+
+    With ``stats`` the caller has split the groups already. Chains of operators
+    split once and pass ``stats`` on, so that each sample is read once.
+    """
+    if stats is not None:
+        return plan(df, stats)
     hot = hot_groups(df, keys)
     if hot is None:
         return plan(df, ColdStats())

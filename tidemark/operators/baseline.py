@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import Span, percent_of
-from tidemark.groups import Median, Stats, attach, by_size
+from tidemark.groups import ColdStats, Median, Stats, attach, by_size
 from tidemark.operators.markers import first_time
 from tidemark.operators.roles import Roles
 from tidemark.quantiles import group_quantiles
@@ -17,25 +17,37 @@ BASELINE_TIME = -300.0  # fixed values: the stamp of the baseline epoch
 BASELINE_BIN = -1
 
 
-def baseline_rows(df: DataFrame, roles: Roles, marker: Column, span: Span) -> DataFrame:
+def baseline_rows(
+    df: DataFrame, roles: Roles, marker: Column, span: Span, stats: Stats | None = None
+) -> DataFrame:
     """Rows of the baseline window, with no marker no rows."""
 
     def plan(part: DataFrame, stats: Stats) -> DataFrame:
         anchored = stats.attach(part, [roles.key], __anchor=first_time(roles, marker))
         return anchored.where(span(F.col(roles.time), F.col("__anchor"))).drop("__anchor")
 
-    return by_size(df, [roles.key], plan)
+    return by_size(df, [roles.key], plan, stats)
 
 
-def baseline_medians(df: DataFrame, roles: Roles, marker: Column, span: Span) -> DataFrame:
+def baseline_medians(
+    df: DataFrame, roles: Roles, marker: Column, span: Span, stats: Stats | None = None
+) -> DataFrame:
     """Median of the signal in the baseline window, one row per recording."""
-    rows = baseline_rows(df, roles, marker, span)
-    medians = group_quantiles(rows, [roles.key], F.col(roles.value), [0.5])
-    return medians.select(roles.key, F.col("quantiles")[0].alias("baseline"))
+
+    def plan(part: DataFrame, stats: Stats) -> DataFrame:
+        rows = baseline_rows(part, roles, marker, span, stats)
+        if isinstance(stats, ColdStats):
+            return rows.groupBy(roles.key).agg(F.median(roles.value).alias("baseline"))
+        medians = group_quantiles(rows, [roles.key], F.col(roles.value), [0.5])
+        return medians.select(roles.key, F.col("quantiles")[0].alias("baseline"))
+
+    return by_size(df, [roles.key], plan, stats)
 
 
-def baseline_counts(df: DataFrame, roles: Roles, marker: Column, span: Span) -> DataFrame:
-    rows = baseline_rows(df, roles, marker, span)
+def baseline_counts(
+    df: DataFrame, roles: Roles, marker: Column, span: Span, stats: Stats | None = None
+) -> DataFrame:
+    rows = baseline_rows(df, roles, marker, span, stats)
     return rows.groupBy(roles.key).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -69,14 +81,14 @@ def percent_of_baseline(
             {f"pct_{c}": percent_of(F.col(c), F.col(f"baseline_{c}")) for c in columns}
         )
 
-    return plan(df, stats) if stats else by_size(df, [roles.key], plan)
+    return by_size(df, [roles.key], plan, stats)
 
 
 def baseline_epoch(
-    df: DataFrame, roles: Roles, marker: Column, span: Span, percent: str
+    df: DataFrame, roles: Roles, marker: Column, span: Span, percent: str, stats: Stats | None = None
 ) -> DataFrame:
     """Mean percentage in the baseline window, stamped as its own epoch."""
-    rows = baseline_rows(df, roles, marker, span)
+    rows = baseline_rows(df, roles, marker, span, stats)
     return rows.groupBy(roles.key).agg(
         F.avg(percent).alias(percent),
         F.lit(BASELINE_TIME).alias("marker_time"),

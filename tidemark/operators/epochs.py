@@ -34,7 +34,7 @@ def anchored_bins(
         return stats.attach(binned, [key, "bin"], start_time=F.min(time))
 
     # Bins refine the recordings, so a recording that fits a task has bins that fit.
-    return plan(df, stats) if stats else by_size(df, [key], plan)
+    return by_size(df, [key], plan, stats)
 
 
 def epoch_means(
@@ -58,7 +58,7 @@ def epoch_means(
             F.count(F.lit(1)).alias("n_points"),
         )
 
-    return plan(df, stats) if stats else by_size(df, [key], plan)
+    return by_size(df, [key], plan, stats)
 
 
 def with_reference_lines(df: DataFrame) -> DataFrame:

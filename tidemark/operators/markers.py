@@ -44,11 +44,16 @@ def between_markers(
         inside = F.col(roles.time).between(F.col("__from") + pad, F.col("__to") - pad)
         return bounded.where(inside).drop("__from", "__to")
 
-    return plan(df, stats) if stats else by_size(df, [roles.key], plan)
+    return by_size(df, [roles.key], plan, stats)
 
 
 def crop_around_marker(
-    df: DataFrame, roles: Roles, marker: Column, before: float, after: float
+    df: DataFrame,
+    roles: Roles,
+    marker: Column,
+    before: float,
+    after: float,
+    stats: Stats | None = None,
 ) -> DataFrame:
     """Rows within ``[marker - before, marker + after]``; no marker, no rows."""
 
@@ -57,7 +62,7 @@ def crop_around_marker(
         offset = F.col(roles.time) - F.col("__anchor")
         return anchored.where(offset.between(-before, after)).drop("__anchor")
 
-    return by_size(df, [roles.key], plan)
+    return by_size(df, [roles.key], plan, stats)
 
 
 def first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -68,11 +73,13 @@ def first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     return first.select(*keys, *[F.col("__row")[c].alias(c) for c in rest]).select(*df.columns)
 
 
-def smallest_with_ties(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
+def smallest_with_ties(
+    df: DataFrame, keys: Sequence[str], column: str, stats: Stats | None = None
+) -> DataFrame:
     """All rows that hold the smallest value of their group."""
 
     def plan(part: DataFrame, stats: Stats) -> DataFrame:
         least = stats.attach(part, keys, __least=F.min(column))
         return least.where(F.col(column) == F.col("__least")).drop("__least")
 
-    return by_size(df, keys, plan)
+    return by_size(df, keys, plan, stats)

@@ -46,7 +46,7 @@ def mad_filter_in_window(
         inside = span(F.col(roles.time), F.col("__anchor"))
         return _drop_outliers(anchored, [roles.key], roles.value, inside, k, stats).drop("__anchor")
 
-    return plan(df, stats) if stats else by_size(df, [roles.key], plan)
+    return by_size(df, [roles.key], plan, stats)
 
 
 def mad_filter(
@@ -57,4 +57,4 @@ def mad_filter(
     def plan(part: DataFrame, stats: Stats) -> DataFrame:
         return _drop_outliers(part, keys, value, F.lit(True), k, stats)
 
-    return plan(df, stats) if stats else by_size(df, keys, plan)
+    return by_size(df, keys, plan, stats)

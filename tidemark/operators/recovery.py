@@ -37,7 +37,11 @@ def recovery_grid(
 
 
 def carry_forward(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], column: str
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    column: str,
+    stats: Stats | None = None,
 ) -> DataFrame:
     """Last observation carried forward; leading NULLs stay."""
 
@@ -58,7 +62,7 @@ def carry_forward(
         carried = attach(pieces, before, [*keys, "__part"]).withColumn(column, filled)
         return carried.drop("__carried", "__part", "__tie")
 
-    return by_size(df, keys, plan)
+    return by_size(df, keys, plan, stats)
 
 
 def filled_grid(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -24,7 +24,7 @@ def relative_time(
         started = stats.attach(part, [roles.key], __start=F.min(clock))
         return started.withColumn(roles.time, F.col(clock) - F.col("__start")).drop("__start")
 
-    return plan(df, stats) if stats else by_size(df, [roles.key], plan)
+    return by_size(df, [roles.key], plan, stats)
 
 
 def shift_to_marker(
@@ -35,7 +35,26 @@ def shift_to_marker(
     return joined.withColumn(out, F.col(roles.time) - F.col(anchor))
 
 
-def sample_index(df: DataFrame, roles: Roles, out: str = "sample") -> DataFrame:
+def since_marker(
+    df: DataFrame,
+    roles: Roles,
+    marker: Column,
+    out: str = "marker_time",
+    stats: Stats | None = None,
+) -> DataFrame:
+    """As :func:`shift_to_marker` with the first time ``marker`` holds as anchor."""
+
+    def plan(part: DataFrame, stats: Stats) -> DataFrame:
+        anchor = F.min(F.when(marker, F.col(roles.time)))
+        anchored = stats.attach(part, [roles.key], __anchor=anchor)
+        return anchored.withColumn(out, F.col(roles.time) - F.col("__anchor")).drop("__anchor")
+
+    return by_size(df, [roles.key], plan, stats)
+
+
+def sample_index(
+    df: DataFrame, roles: Roles, out: str = "sample", stats: Stats | None = None
+) -> DataFrame:
     """Zero-based row number of each recording in time order."""
     keys = [roles.key]
 
@@ -52,4 +71,4 @@ def sample_index(df: DataFrame, roles: Roles, out: str = "sample") -> DataFrame:
         )
         return numbered.drop("__before", "__part", "__tie")
 
-    return by_size(df, keys, plan)
+    return by_size(df, keys, plan, stats)

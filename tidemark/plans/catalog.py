@@ -24,6 +24,7 @@ from tidemark.functions.columns import (
     mentions,
     root,
 )
+from tidemark.groups import by_size
 from tidemark.operators import baseline, cohorts, epochs, markers, outliers, recovery, summaries
 from tidemark.operators import timebase, troughs
 from tidemark.operators.linear_models import fit_linear
@@ -83,6 +84,13 @@ def timed(spark: SparkSession, sf: str) -> DataFrame:
     return timebase.relative_time(samples(spark, sf), ROLES, "clock")
 
 
+def per_recording(df: DataFrame, plan: Callable, roles: Roles = ROLES) -> DataFrame:
+    """``plan(rows with relative time, stats)``; recordings are split by size once."""
+    return by_size(
+        df, [roles.key], lambda part, s: plan(timebase.relative_time(part, roles, "clock", s), s)
+    )
+
+
 def items(spark: SparkSession, sf: str) -> DataFrame:
     comment = F.concat("l_returnflag", F.when(F.col("l_quantity") >= 50, " full").otherwise(""))
     return table(spark, sf, "lineitem").select(
@@ -174,18 +182,18 @@ def marker_interval(spark, sf):
 
 
 def between_markers(spark, sf):
-    rows = markers.between_markers(
-        timed(spark, sf), ROLES, _exact("error high"), _exact("purchase high"), 3600.0
-    )
+    rows = per_recording(samples(spark, sf), lambda df, s: markers.between_markers(
+        df, ROLES, _exact("error high"), _exact("purchase high"), 3600.0, s
+    ))
     return rows.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("all_count"), _r(F.avg("value"), "mean_value")
     )
 
 
 def crop_around_marker(spark, sf):
-    rows = markers.crop_around_marker(
-        timed(spark, sf), ROLES, _exact("error high"), DAY, 6 * DAY
-    )
+    rows = per_recording(samples(spark, sf), lambda df, s: markers.crop_around_marker(
+        df, ROLES, _exact("error high"), DAY, 6 * DAY, s
+    ))
     return rows.select("user_id", "event_id", _r(F.col("t"), "t"), "value")
 
 
@@ -206,27 +214,34 @@ def slice_min_ties(spark, sf):
 
 
 def sample_index(spark, sf):
-    numbered = timebase.sample_index(timed(spark, sf), ROLES)
+    numbered = per_recording(
+        samples(spark, sf), lambda df, s: timebase.sample_index(df, ROLES, "sample", s)
+    )
     return numbered.select("user_id", "event_id", F.col("sample").cast("long").alias("sample"))
 
 
 # --- outliers and baselines ------------------------------------------------------
 
 
-def _filter_pre(df):
+def _filter_pre(df, stats):
     return outliers.mad_filter_in_window(
-        df, ROLES, _exact("error high"), before_marker(0.0, DAY), 0.5
+        df, ROLES, _exact("error high"), before_marker(0.0, DAY), 0.5, stats
+    )
+
+
+def _filter_both(df, stats):
+    return outliers.mad_filter_in_window(
+        _filter_pre(df, stats), ROLES, _exact("error high"), after_marker(DAY), 1.0, stats
     )
 
 
 def mad_filter_pre(spark, sf):
-    return _filter_pre(timed(spark, sf)).select("user_id", "event_id", "value")
+    kept = per_recording(samples(spark, sf), _filter_pre)
+    return kept.select("user_id", "event_id", "value")
 
 
 def mad_filter_post(spark, sf):
-    kept = outliers.mad_filter_in_window(
-        _filter_pre(timed(spark, sf)), ROLES, _exact("error high"), after_marker(DAY), 1.0
-    )
+    kept = per_recording(samples(spark, sf), _filter_both)
     return kept.select("user_id", "event_id", "value")
 
 
@@ -245,65 +260,74 @@ def mad_filter_long(spark, sf):
     )
 
 
-def _baseline_args(df):
-    return df, ROLES, _exact("error high"), before_marker(0.0, DAY)
+def _in_baseline(operator, *args):
+    """The operator over each recording's baseline, up to a day before the marker."""
+    return lambda df, stats: operator(
+        df, ROLES, _exact("error high"), before_marker(0.0, DAY), *args, stats=stats
+    )
+
+
+_percent = _in_baseline(baseline.percent_of_baseline)
 
 
 def baseline_window(spark, sf):
-    rows = baseline.baseline_rows(*_baseline_args(timed(spark, sf)))
+    rows = per_recording(samples(spark, sf), _in_baseline(baseline.baseline_rows))
     return rows.select("user_id", "event_id", _r(F.col("t"), "t"), "value")
 
 
 def baseline_median(spark, sf):
-    medians = baseline.baseline_medians(*_baseline_args(timed(spark, sf)))
+    medians = per_recording(samples(spark, sf), _in_baseline(baseline.baseline_medians))
     return medians.select("user_id", _r(F.col("baseline"), "baseline"))
 
 
 def baseline_counts(spark, sf):
-    return baseline.baseline_counts(*_baseline_args(timed(spark, sf)))
-
-
-def _percent(spark, sf):
-    return baseline.percent_of_baseline(*_baseline_args(timed(spark, sf)))
+    return per_recording(samples(spark, sf), _in_baseline(baseline.baseline_counts))
 
 
 def percent_of_baseline(spark, sf):
-    return _percent(spark, sf).select("user_id", "event_id", _r(F.col("pct_value"), "pct_value"))
+    rows = per_recording(samples(spark, sf), _percent)
+    return rows.select("user_id", "event_id", _r(F.col("pct_value"), "pct_value"))
 
 
 def baseline_epoch(spark, sf):
-    epoch = baseline.baseline_epoch(
-        _percent(spark, sf), ROLES, _exact("error high"), before_marker(DAY, DAY), "pct_value"
-    )
+    def plan(df, stats):
+        return baseline.baseline_epoch(
+            _percent(df, stats), ROLES, _exact("error high"), before_marker(DAY, DAY), "pct_value", stats
+        )
+
+    epoch = per_recording(samples(spark, sf), plan)
     return epoch.select("user_id", "bin", "marker_time", _r(F.col("pct_value"), "pct_value"))
 
 
 # --- epochs ----------------------------------------------------------------------
 
 
-def _from_marker(spark, sf):
-    df = _percent(spark, sf)
-    return timebase.shift_to_marker(
-        df, markers.marker_times(df, ROLES, zero=_exact("error high")), ROLES, "zero"
-    )
+def _from_marker(df, stats):
+    rows = _percent(df, stats)
+    return timebase.since_marker(rows, ROLES, _exact("error high"), stats=stats)
 
 
 def anchored_bins(spark, sf):
-    binned = epochs.anchored_bins(_from_marker(spark, sf), "user_id", width=DAY, horizon=30 * DAY)
-    return binned.select(
+    def plan(df, stats):
+        return epochs.anchored_bins(
+            _from_marker(df, stats), "user_id", width=DAY, horizon=30 * DAY, stats=stats
+        )
+
+    return per_recording(samples(spark, sf), plan).select(
         "user_id", "event_id", "bin", "anchor_time", _r(F.col("start_time"), "start_time")
     )
 
 
-def _epoch_means(spark, sf):
+def _epoch_means(df, stats):
     means = epochs.epoch_means(
-        _from_marker(spark, sf), "user_id", ["pct_value"], width=DAY, horizon=30 * DAY, window=DAY / 3
+        _from_marker(df, stats), "user_id", ["pct_value"], width=DAY, horizon=30 * DAY,
+        window=DAY / 3, stats=stats,
     )
     return epochs.with_reference_lines(means)
 
 
 def epoch_means(spark, sf):
-    return _epoch_means(spark, sf).select(
+    return per_recording(samples(spark, sf), _epoch_means).select(
         "user_id", "bin", "n_points", "ten_percent", "hundred_percent",
         _r(F.col("marker_time"), "marker_time"), _r(F.col("pct_value"), "pct_value"),
     )
@@ -333,7 +357,10 @@ def band_long(spark, sf):
 
 
 def band_wide(spark, sf):
-    return epochs.to_wide(_bands(spark, sf), LINE, BANDS)
+    measures = ["p_size", "p_retailprice"]
+    parts = table(spark, sf, "part").select("p_partkey", *[F.col(m).cast("double") for m in measures])
+    long = epochs.to_long(parts, measures, ["p_partkey"])
+    return epochs.to_wide(long, ["p_partkey"], measures)
 
 
 def sqrt_transform(spark, sf):
@@ -530,9 +557,9 @@ def lineitem_epochs(spark, sf):
 
 
 def lineitem_mad_filter(spark, sf):
-    kept = outliers.mad_filter_in_window(
-        timed_items(spark, sf), ITEMS, _exact("R full"), after_marker(30 * DAY), 1.0
-    )
+    kept = per_recording(items(spark, sf), lambda df, s: outliers.mad_filter_in_window(
+        df, ITEMS, _exact("R full"), after_marker(30 * DAY), 1.0, s
+    ), ITEMS)
     return kept.groupBy("l_suppkey").agg(
         F.count(F.lit(1)).alias("kept"), _r(F.sum("l_extendedprice"), "total")
     )

@@ -272,9 +272,7 @@ FROM b WHERE t BETWEEN lo AND hi GROUP BY user_id""",
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
   CASE WHEN band = 'l_extendedprice' THEN 'price' ELSE band END AS band, power
 FROM ({LONG}) WHERE power > 0""",
-    "band_wide": """
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax
-FROM lineitem""",
+    "band_wide": "SELECT p_partkey, CAST(p_size AS DOUBLE) AS p_size, p_retailprice FROM part",
     "sqrt_transform": """
 SELECT c_custkey, round(CASE WHEN c_acctbal >= 0 THEN sqrt(c_acctbal) END, 6) AS root FROM customer""",
     "epoch_model_input": f"""WITH {EVENTS}, {ONE_MARKER}

@@ -13,7 +13,7 @@ from tidemark.operators.baseline import BASELINE_BIN, BASELINE_TIME, percent_of_
 from tidemark.operators.markers import between_markers, first_time
 from tidemark.operators.outliers import mad_filter, mad_filter_in_window
 from tidemark.operators.roles import Roles
-from tidemark.operators.timebase import relative_time
+from tidemark.operators.timebase import relative_time, since_marker
 
 
 @dataclass(frozen=True)
@@ -82,8 +82,7 @@ def percent_samples(df: DataFrame, protocol: Protocol, roles: Roles, stats: Stat
     """Filtered samples with ``marker_time`` and the signal in % of baseline."""
     comment = F.col(roles.comment)
     kept = filtered_samples(df, protocol, roles, stats)
-    zeroed = stats.attach(kept, [roles.key], __zero=first_time(roles, mentions(comment, protocol.zero)))
-    zeroed = zeroed.withColumn("marker_time", F.col(roles.time) - F.col("__zero")).drop("__zero")
+    zeroed = since_marker(kept, roles, mentions(comment, protocol.zero), stats=stats)
     return percent_of_baseline(
         zeroed, roles, is_exactly(comment, protocol.median_marker),
         before_marker(0.0, protocol.margin), None, stats,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.groups import attach, hot_groups, match, ordered_parts, running_before
-from tidemark.session import save_stage
+from tidemark.session import HOT_ROWS, save_stage, setting
 
 SKETCH_ACCURACY = 1000
 
@@ -42,15 +42,17 @@ def group_quantiles(
 def _hot_quantiles(rows: DataFrame, keys: list[str], probabilities: list[float]) -> DataFrame:
     targets = save_stage(_brackets(rows, keys, probabilities))
     located, inside = _locate(rows, keys, targets)
-    missed = located.where(
-        (F.col("below") > F.col("low_rank")) | (F.col("below") + F.col("inside") <= F.col("high_rank"))
-    )
-    if missed.take(1):
+    below, reach = F.col("below"), F.col("below") + F.col("inside")
+    missed = (below > F.col("low_rank")) | (reach <= F.col("high_rank"))
+    any_missed, most = located.agg(F.max(missed), F.max("inside")).first()
+    if any_missed:
         # The sketch promises its error bound; without it, rank every row.
         infinity = F.lit(float("inf"))
         targets = targets.withColumns({"low": -infinity, "high": infinity})
         located, inside = _locate(rows, keys, targets)
-    return _select_ranks(located, inside, keys)
+        most = located.agg(F.max("inside")).first()[0]
+    one_task = most <= setting(rows.sparkSession, HOT_ROWS)
+    return _select_ranks(located, inside, keys, one_task)
 
 
 def _brackets(rows: DataFrame, keys: list[str], probabilities: list[float]) -> DataFrame:
@@ -98,16 +100,22 @@ def _locate(rows: DataFrame, keys: list[str], targets: DataFrame) -> tuple[DataF
     return located, tally.where(F.col("value").isNotNull())
 
 
-def _select_ranks(located: DataFrame, inside: DataFrame, keys: list[str]) -> DataFrame:
+def _select_ranks(
+    located: DataFrame, inside: DataFrame, keys: list[str], one_task: bool
+) -> DataFrame:
     group = [*keys, "target"]
-    parts = ordered_parts(inside, group, ["value"])
-    offsets = running_before(parts, group, F.sum("copies"), "offset", F.sum).fillna(0, ["offset"])
     ranks = located.select(*group, "below", "low_rank", "high_rank")
-    local = Window.partitionBy("__part", *group).orderBy("value")
-    offsets = match(offsets, ranks, group, "left")
-    ranked = attach(parts, offsets, [*group, "__part"]).withColumn(
-        "reach", F.col("below") + F.col("offset") + F.sum("copies").over(local)
-    )
+    if one_task:
+        up_to = F.sum("copies").over(Window.partitionBy(*group).orderBy("value"))
+        reach = F.col("below") + up_to
+        ranked = attach(inside, ranks, group).withColumn("reach", reach)
+    else:
+        parts = ordered_parts(inside, group, ["value"])
+        before = running_before(parts, group, F.sum("copies"), "earlier", F.sum)
+        before = match(before.fillna(0, ["earlier"]), ranks, group, "left")
+        up_to = F.sum("copies").over(Window.partitionBy("__part", *group).orderBy("value"))
+        reach = F.col("below") + F.col("earlier") + up_to
+        ranked = attach(parts, before, [*group, "__part"]).withColumn("reach", reach)
     value = F.col("value")
     picked = ranked.groupBy(*group).agg(
         F.min(F.when(F.col("reach") > F.col("low_rank"), value)).alias("low_value"),
