@@ -34,9 +34,14 @@ def clock_seconds(text: Column) -> Column:
 
 
 def epoch_seconds(timestamp: Column) -> Column:
-    """TIMESTAMP_NTZ to seconds since 1970 with microseconds kept."""
-    origin = F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00"))
-    return F.timestamp_diff("MICROSECOND", origin, timestamp) / F.lit(1e6)
+    """TIMESTAMP_NTZ to seconds since 1970, to the microsecond, in any session zone."""
+    seconds = (
+        F.unix_date(timestamp.cast("date")).cast("long") * 86400
+        + F.hour(timestamp) * 3600
+        + F.minute(timestamp) * 60
+    )
+    fraction = (F.extract(F.lit("SECOND"), timestamp) * 1000000).cast("long")
+    return (seconds * 1000000 + fraction) / F.lit(1e6)
 
 
 def percent_of(value: Column, baseline: Column) -> Column:

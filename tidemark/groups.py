@@ -134,7 +134,8 @@ def by_size(
     if hot is None:
         return plan(df, ColdStats())
     cold_part = plan(match(df, hot, keys, "left_anti"), ColdStats())
-    hot_part = plan(match(df, hot, keys, "left_semi"), HotStats())
+    # Hot statistics take several passes; they read the hot rows only.
+    hot_part = plan(save_stage(match(df, hot, keys, "left_semi")), HotStats())
     return cold_part.unionByName(hot_part)
 
 

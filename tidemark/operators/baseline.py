@@ -61,6 +61,16 @@ def percent_of_table(
     )
 
 
+def percent_of_window(
+    df: DataFrame, key: str, inside: Column, columns: Sequence[str], stats: Stats
+) -> DataFrame:
+    """Add ``baseline_<column>``, the median where ``inside`` holds, and ``pct_<column>``."""
+    medians = {f"baseline_{c}": Median(F.when(inside, F.col(c))) for c in columns}
+    return stats.attach(df, [key], **medians).withColumns(
+        {f"pct_{c}": percent_of(F.col(c), F.col(f"baseline_{c}")) for c in columns}
+    )
+
+
 def percent_of_baseline(
     df: DataFrame,
     roles: Roles,
@@ -70,16 +80,12 @@ def percent_of_baseline(
     stats: Stats | None = None,
 ) -> DataFrame:
     """Signal columns as a percentage of their median in the baseline window."""
-    columns = list(columns or [roles.value])
 
     def plan(part: DataFrame, stats: Stats) -> DataFrame:
         anchored = stats.attach(part, [roles.key], __anchor=first_time(roles, marker))
         inside = span(F.col(roles.time), F.col("__anchor"))
-        medians = {f"baseline_{c}": Median(F.when(inside, F.col(c))) for c in columns}
-        based = stats.attach(anchored, [roles.key], **medians).drop("__anchor")
-        return based.withColumns(
-            {f"pct_{c}": percent_of(F.col(c), F.col(f"baseline_{c}")) for c in columns}
-        )
+        based = percent_of_window(anchored, roles.key, inside, columns or [roles.value], stats)
+        return based.drop("__anchor")
 
     return by_size(df, [roles.key], plan, stats)
 

@@ -1,7 +1,7 @@
 """Gaussian linear models on categorical factors.
 
-The response enters the normal equations only through counts and sums per factor
-cell, so one aggregate over the rows is enough. The cell table has at most the
+The response enters the normal equations only through its count, mean and variance
+per factor cell, so one aggregate over the rows is enough. The cell table has at most the
 product of the factor levels as rows, whatever the size of the data.
 """
 
@@ -46,15 +46,12 @@ def fit_linear(df: DataFrame, response: str, factors: Sequence[str]) -> LinearFi
     spark = df.sparkSession
     y = F.col(response).cast("double")
     rows = df.select(*[F.col(f).cast("string").alias(f) for f in factors], y.alias("__y")).na.drop()
-    # Sums are taken around a typical value to keep the squares accurate.
-    centre = rows.agg(F.avg("__y")).first()[0]
-    if centre is None:
-        raise ValueError("no complete rows to fit")
-    d = F.col("__y") - F.lit(centre)
     table = rows.groupBy(*factors).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(d).alias("s"), F.sum(d * d).alias("ss")
+        F.count(F.lit(1)).alias("n"), F.avg("__y").alias("mean"), F.var_pop("__y").alias("variance")
     )
     cells = table.limit(MAX_CELLS + 1).collect()
+    if not cells:
+        raise ValueError("no complete rows to fit")
     if len(cells) > MAX_CELLS:
         raise ValueError(f"more than {MAX_CELLS} factor cells")
 
@@ -64,16 +61,16 @@ def fit_linear(df: DataFrame, response: str, factors: Sequence[str]) -> LinearFi
         [[1.0] + [float(c[f] == v) for f, vs in zip(factors, levels) for v in vs[1:]] for c in cells]
     )
     n = np.array([c["n"] for c in cells], dtype=float)
-    s = np.array([c["s"] for c in cells])
-    ss = sum(c["ss"] for c in cells)
+    mean = np.array([c["mean"] for c in cells])
+    within = float(sum(c["n"] * c["variance"] for c in cells))
 
-    inverse = np.linalg.inv(design.T @ (design * n[:, None]))
-    beta = inverse @ (design.T @ s)
     total, p = int(n.sum()), len(terms)
+    centre = float(n @ mean / total)
+    inverse = np.linalg.inv(design.T @ (design * n[:, None]))
+    beta = inverse @ (design.T @ (n * (mean - centre)))
     # Scatter within the cells plus the misfit of the cell means.
-    fitted = design @ beta
-    deviance = float(ss - (s * s / n).sum() + (n * (s / n - fitted) ** 2).sum())
-    null_deviance = float(ss - s.sum() ** 2 / total)
+    deviance = within + float(n @ (mean - centre - design @ beta) ** 2)
+    null_deviance = within + float(n @ (mean - centre) ** 2)
     df_residual = total - p
     dispersion = deviance / df_residual if df_residual else float("nan")
     aic = total * (math.log(2 * math.pi * deviance / total) + 1) + 2 * (p + 1)

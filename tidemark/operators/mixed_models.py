@@ -41,6 +41,7 @@ def fit_random_intercept(df: DataFrame, response: str, factor: str, group: str)
     fixed = []
     for j, term in enumerate(terms):
         estimate, error = float(fit.beta[j]), math.sqrt(fit.covariance[j, j])
+        estimate += totals.centre if j == 0 else 0.0
         t, dof = estimate / error, float(fit.dof[j])
         fixed.append(("fixed", None, term, estimate, error, t, dof, two_sided_p(t, dof)))
     spread = [
@@ -56,6 +57,7 @@ class _Totals:
     """Sums over all rows, and a way to sum group cross products with weights."""
 
     levels: list
+    centre: float
     rows: int
     xtx: np.ndarray
     xty: np.ndarray
@@ -70,9 +72,15 @@ class _Totals:
         ).na.drop()
         cells = save_stage(
             rows.groupBy("g", "f").agg(
-                F.count(F.lit(1)).alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") ** 2).alias("ss")
+                F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean"), F.var_pop("y").alias("v")
             )
         )
+        # Centring the response keeps the sums of squares accurate.
+        centre = cells.agg(F.sum(F.col("n") * F.col("mean")) / F.sum("n")).first()[0] or 0.0
+        off = F.col("mean") - F.lit(centre)
+        cells = cells.select(
+            "g", "f", "n", (F.col("n") * off).alias("s"), (F.col("n") * (F.col("v") + off * off)).alias("ss")
+        )
         per_level = cells.groupBy("f").agg(F.sum("n"), F.sum("s"), F.sum("ss"))
         found = sorted(map(tuple, per_level.limit(MAX_LEVELS + 1).collect()))
         if not 1 < len(found) <= MAX_LEVELS:
@@ -81,7 +89,7 @@ class _Totals:
         n, s, ss = (np.array([r[i] for r in found], dtype=float) for i in (1, 2, 3))
         classes = save_stage(_class_totals(cells, levels))
         return cls(
-            levels, int(n.sum()), _treatment(np.diag(n)), _treatment(s), float(ss.sum()),
+            levels, centre, int(n.sum()), _treatment(np.diag(n)), _treatment(s), float(ss.sum()),
             _weigher(classes, len(levels)),
         )
 
@@ -112,8 +120,9 @@ def _class_totals(cells: DataFrame, levels: list) -> DataFrame:
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x = np.zeros((len(batch), p))
-            for row, (i, n) in enumerate(zip(batch["i"], batch["n"])):
-                x[row, i] = n
+            if len(batch):
+                owner = np.repeat(np.arange(len(batch)), batch["i"].map(len))
+                x[owner, np.concatenate(batch["i"].to_list())] = np.concatenate(batch["n"].to_list())
             t = batch["t"].to_numpy()
             sizes = x.sum(axis=1)
             for size in np.unique(sizes):

@@ -8,6 +8,7 @@ for larger data, with the supplier as the recording and days as time.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import replace
 
@@ -127,9 +128,8 @@ def _write_recordings(events: DataFrame) -> str:
                 yield pa.RecordBatch.from_pydict(units, schema=batch.schema)
             yield batch
 
-    folder = f"{stage_folder(events.sparkSession)}/recordings"
-    path = f"{folder}-{events.sparkSession.sparkContext.applicationId}-{id(events)}"
-    rows.mapInArrow(with_units, rows.schema).write.mode("overwrite").csv(path, header=True)
+    path = f"{stage_folder(events.sparkSession)}/recordings-{uuid.uuid4().hex}"
+    rows.mapInArrow(with_units, rows.schema).write.csv(path, header=True)
     return path
 
 
@@ -351,6 +351,24 @@ def post_event_percent(spark, sf):
     return found.select("user_id", "all_count", _r(F.col("pct_value"), "pct_value"))
 
 
+def _event_versus_baseline(spark, sf):
+    return plans.event_versus_baseline(
+        samples(spark, sf), TWO_MARKERS, "signup high", "error high", ROLES, "clock", 3600.0
+    )
+
+
+def event_versus_baseline(spark, sf):
+    found = _event_versus_baseline(spark, sf)
+    return found.select("user_id", "label", "n", _r(F.col("pct_value"), "pct_value"))
+
+
+def event_glm(spark, sf):
+    """sqrt(%) by section and cohort, the cohort being the user's parity."""
+    found = _event_versus_baseline(spark, sf).withColumn("cohort", F.pmod("user_id", F.lit(2)))
+    rooted = found.withColumn("sqrt_pct", root(F.col("pct_value")))
+    return _model(fit_linear(rooted, "sqrt_pct", ["cohort", "label"]))
+
+
 def band_long(spark, sf):
     renamed = _bands(spark, sf).replace({"l_extendedprice": "price"}, subset=["band"])
     return renamed.where(F.col("power") > 0)
@@ -613,6 +631,8 @@ QUERIES: dict[str, Query] = {
     "epochs_two_markers": _protocol_epochs(TWO_MARKERS),
     "epochs_recovery": _protocol_epochs(RECOVERY),
     "post_event_percent": post_event_percent,
+    "event_versus_baseline": event_versus_baseline,
+    "event_glm": event_glm,
     "band_long": band_long,
     "band_wide": band_wide,
     "sqrt_transform": sqrt_transform,

@@ -169,8 +169,13 @@ SELECT term, CAST(fit.n AS BIGINT) AS n, CAST(fit.n - 1 AS BIGINT) AS df_null,
 FROM c, fit, null_fit"""
 
 
-TWO_WAY = """
-WITH e AS (SELECT event_type AS f, CAST(user_id % 2 AS DOUBLE) AS z, value AS y FROM events),
+def two_way(source: str, factor: str, binary: str) -> str:
+    """``y ~ factor + binary`` by demeaning within the factor's levels.
+
+    ``source`` selects f (a factor), z (0 or 1) and y; ``binary`` names z's term.
+    """
+    return f"""
+e AS ({source}),
 g AS (SELECT f, count(*) AS n, avg(z) AS zm, avg(y) AS ym, var_pop(z) * count(*) AS szz,
         covar_pop(z, y) * count(*) AS szy, var_pop(y) * count(*) AS syy FROM e GROUP BY f),
 s AS (SELECT sum(n) AS n, count(*) + 1 AS p, sum(szz) AS szz, sum(szy) / sum(szz) AS b,
@@ -178,12 +183,12 @@ s AS (SELECT sum(n) AS n, count(*) + 1 AS p, sum(szz) AS szz, sum(szy) / sum(szz
 null_fit AS (SELECT var_pop(y) * count(*) AS null_deviance FROM e),
 r AS (SELECT g.n AS n_ref, zm AS z_ref, ym - b * zm AS a_ref FROM g, s ORDER BY f LIMIT 1),
 c AS (
-  SELECT CASE WHEN f = (SELECT min(f) FROM g) THEN '(Intercept)' ELSE 'event_type' || f END AS term,
+  SELECT CASE WHEN f = (SELECT min(f) FROM g) THEN '(Intercept)' ELSE '{factor}' || f END AS term,
     CASE WHEN f = (SELECT min(f) FROM g) THEN a_ref ELSE ym - b * zm - a_ref END AS estimate,
     CASE WHEN f = (SELECT min(f) FROM g) THEN 1.0 / g.n + zm * zm / s.szz
          ELSE 1.0 / g.n + 1.0 / n_ref + (zm - z_ref) * (zm - z_ref) / s.szz END AS v
   FROM g, s, r
-  UNION ALL SELECT 'cohort1', b, 1.0 / szz FROM s)
+  UNION ALL SELECT '{binary}', b, 1.0 / szz FROM s)
 SELECT term, CAST(n AS BIGINT) AS n, CAST(n - 1 AS BIGINT) AS df_null,
   CAST(n - p AS BIGINT) AS df_residual, round(estimate, 6) AS estimate,
   round(sqrt(deviance / (n - p) * v), 6) AS std_error,
@@ -193,6 +198,15 @@ SELECT term, CAST(n AS BIGINT) AS n, CAST(n - 1 AS BIGINT) AS df_null,
   round(n * (ln(2 * pi() * deviance / n) + 1) + 2 * (p + 1), 6) AS aic
 FROM c, s, null_fit"""
 
+
+EVENT_SECTIONS = """
+marked AS (SELECT *, min(t) FILTER (WHERE comment = 'signup high') OVER (PARTITION BY user_id) + 3600 AS lo,
+             min(t) FILTER (WHERE comment = 'error high') OVER (PARTITION BY user_id) - 3600 AS hi FROM pct),
+sections AS (SELECT user_id, label, count(*) AS n, avg(pct_value) AS pct_value FROM (
+    SELECT user_id, 'baseline' AS label, pct_value FROM baseline_rows
+    UNION ALL SELECT user_id, 'post_stun', pct_value FROM marked WHERE t BETWEEN lo AND hi)
+  GROUP BY user_id, label)"""
+
 ORACLES: dict[str, str] = {
     "scan_recordings": """
 SELECT strftime(ts, '%H:%M:%S') AS time, CAST(event_id AS VARCHAR) AS event_text,
@@ -349,7 +363,17 @@ FROM part"""
     "histogram": histogram("SELECT value AS x FROM events WHERE value IS NOT NULL"),
     "log_histogram": histogram("SELECT ln(c_acctbal) AS x FROM customer WHERE c_acctbal > 0"),
     "noise_glm": one_way("events", "event_type", "value"),
-    "stage_glm": TWO_WAY,
+    "stage_glm": "WITH " + two_way(
+        "SELECT event_type AS f, CAST(user_id % 2 AS DOUBLE) AS z, value AS y FROM events",
+        "event_type", "cohort1",
+    ),
+    "event_versus_baseline": f"""WITH {EVENTS}, {TWO_MARKERS}, {EVENT_SECTIONS}
+SELECT user_id, label, n, round(pct_value, 6) AS pct_value FROM sections""",
+    "event_glm": f"WITH {EVENTS}, {TWO_MARKERS}, {EVENT_SECTIONS}, " + two_way(
+        """SELECT CAST(user_id % 2 AS VARCHAR) AS f, CAST(label = 'post_stun' AS INT) * 1.0 AS z,
+             sqrt(pct_value) AS y FROM sections WHERE pct_value IS NOT NULL""",
+        "cohort", "labelpost_stun",
+    ),
     "lineitem_epochs": f"""WITH {ITEMS}, {ITEM_EPOCHS}
 SELECT l_suppkey, bin, n_points, marker_time, round(pct_value, 6) AS pct_price FROM epochs""",
     "lineitem_mad_filter": f"""WITH {ITEMS},

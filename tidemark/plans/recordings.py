@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import after_marker, before_marker, bin_of, is_exactly, mentions
 from tidemark.groups import Stats, by_size
-from tidemark.operators.baseline import BASELINE_BIN, BASELINE_TIME, percent_of_baseline
+from tidemark.operators.baseline import BASELINE_BIN, BASELINE_TIME, percent_of_window
 from tidemark.operators.markers import between_markers, first_time
 from tidemark.operators.outliers import mad_filter, mad_filter_in_window
 from tidemark.operators.roles import Roles
-from tidemark.operators.timebase import relative_time, since_marker
+from tidemark.operators.timebase import relative_time
 
 
 @dataclass(frozen=True)
@@ -79,14 +79,21 @@ def filtered_samples(df: DataFrame, protocol: Protocol, roles: Roles, stats: Sta
 
 
 def percent_samples(df: DataFrame, protocol: Protocol, roles: Roles, stats: Stats) -> DataFrame:
-    """Filtered samples with ``marker_time`` and the signal in % of baseline."""
-    comment = F.col(roles.comment)
-    kept = filtered_samples(df, protocol, roles, stats)
-    zeroed = since_marker(kept, roles, mentions(comment, protocol.zero), stats=stats)
-    return percent_of_baseline(
-        zeroed, roles, is_exactly(comment, protocol.median_marker),
-        before_marker(0.0, protocol.margin), None, stats,
+    """Filtered samples with ``marker_time`` and the signal in % of baseline.
+
+    ``mean_marker`` holds the end marker of the baseline-mean window.
+    """
+    comment, time = F.col(roles.comment), F.col(roles.time)
+    rows = stats.attach(
+        filtered_samples(df, protocol, roles, stats),
+        [roles.key],
+        __zero=first_time(roles, mentions(comment, protocol.zero)),
+        __median_marker=first_time(roles, is_exactly(comment, protocol.median_marker)),
+        mean_marker=first_time(roles, is_exactly(comment, protocol.mean_marker)),
     )
+    inside = before_marker(0.0, protocol.margin)(time, F.col("__median_marker"))
+    rows = percent_of_window(rows, roles.key, inside, [roles.value], stats)
+    return rows.withColumn("marker_time", time - F.col("__zero")).drop("__zero", "__median_marker")
 
 
 def recording_epochs(
@@ -104,9 +111,7 @@ def recording_epochs(
         timed = relative_time(part, roles, clock, stats)
         rows = percent_samples(timed, protocol, roles, stats)
         time, after_zero = F.col(roles.time), F.col("marker_time")
-        marker = is_exactly(F.col(roles.comment), protocol.mean_marker)
-        rows = stats.attach(rows, [key], __marker=first_time(roles, marker))
-        in_baseline = before_marker(protocol.mean_start, protocol.margin)(time, F.col("__marker"))
+        in_baseline = before_marker(protocol.mean_start, protocol.margin)(time, F.col("mean_marker"))
         in_bins = after_zero.between(0.0, protocol.horizon)
         rows = rows.withColumn("__bin", F.when(in_bins, bin_of(after_zero, protocol.width)))
         rows = stats.attach(rows, [key, "__bin"], __start=F.min(F.when(in_bins, after_zero)))
@@ -162,3 +167,41 @@ def post_event_percent(
         )
 
     return by_size(df.select(*needed), [key], plan)
+
+
+def event_versus_baseline(
+    df: DataFrame,
+    protocol: Protocol,
+    start: str,
+    end: str,
+    roles: Roles = Roles(),
+    clock: str = "time_seconds",
+    pad: float = 5.0,
+) -> DataFrame:
+    """Mean % of baseline per recording in its baseline and between two markers.
+
+    ``key, label, n, pct_<value>`` with label ``baseline`` or ``post_stun``; one
+    aggregate serves both sections.
+    """
+    key, percent = roles.key, f"pct_{roles.value}"
+    needed = [key, clock, roles.value, roles.comment, *roles.order]
+
+    def plan(part: DataFrame, stats: Stats) -> DataFrame:
+        timed = relative_time(part, roles, clock, stats)
+        comment, time = F.col(roles.comment), F.col(roles.time)
+        rows = stats.attach(
+            percent_samples(timed, protocol, roles, stats),
+            [key],
+            __from=first_time(roles, is_exactly(comment, start)),
+            __to=first_time(roles, is_exactly(comment, end)),
+        )
+        in_baseline = before_marker(protocol.mean_start, protocol.margin)(time, F.col("mean_marker"))
+        in_event = time.between(F.col("__from") + pad, F.col("__to") - pad)
+        sections = F.array_compact(
+            F.array(F.when(in_baseline, F.lit("baseline")), F.when(in_event, F.lit("post_stun")))
+        )
+        return rows.select(key, percent, F.explode(sections).alias("label")).groupBy(key, "label").agg(
+            F.count(F.lit(1)).alias("n"), F.avg(percent).alias(percent)
+        )
+
+    return by_size(df.select(*needed), [key], plan)

@@ -34,7 +34,7 @@ def group_quantiles(
         F.percentile("__v", F.array(*[F.lit(float(p)) for p in probabilities])).alias("quantiles"),
     )
     if hot is not None:
-        hot_rows = match(rows, hot, keyed, "left_semi")
+        hot_rows = save_stage(match(rows, hot, keyed, "left_semi"))
         result = result.unionByName(_hot_quantiles(hot_rows, keyed, list(probabilities)))
     return result.select(*keys, "n", "quantiles")
 
