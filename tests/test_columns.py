@@ -24,6 +24,15 @@ def test_clock(spark):
     assert one(spark, c.clock_seconds(F.col("x")), x="noon") is None
 
 
+def test_timestamps_do_not_depend_on_the_session_zone(spark):
+    stamp = F.lit("2024-03-10 02:30:07.179575").cast("timestamp_ntz")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert one(spark, c.epoch_seconds(stamp), x=0.0) == 1710037807.179575
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_division_and_root(spark):
     assert one(spark, c.percent_of(F.col("a"), F.col("b")), a=1.0, b=0.0) is None
     assert one(spark, c.percent_of(F.col("a"), F.col("b")), a=1.0, b=4.0) == 25.0

@@ -4,9 +4,22 @@ import statistics
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tests.fixtures import BEHAVIOUR, MAIN_TIMES, ONE_SECOND_TIMES, TROUGHS, behaviour
+from tidemark.functions.columns import mentions
+from tidemark.operators.linear_models import fit_linear
 from tidemark.operators.roles import Roles
-from tidemark.plans.recordings import COLD_SHOCK, STUN_RECOVERY, STUN_THEN_COLD, recording_epochs
+from tidemark.plans.behaviour import behaviour_report
+from tidemark.plans.durations import CONTROL, durations
+from tidemark.plans.recordings import (
+    COLD_SHOCK,
+    STUN_RECOVERY,
+    STUN_THEN_COLD,
+    event_versus_baseline,
+    post_event_percent,
+    recording_epochs,
+)
 
 ROLES = Roles("source_file", "t", "power", "comments")
 SCHEMA = "source_file string, time_seconds double, power double, comments string"
@@ -94,3 +107,49 @@ def test_epochs(spark, case, hot, request):
     for key, (start, n, mean) in want.items():
         assert got[key][:2] == (start, n), key
         assert got[key][2] == (None if mean is None else pytest.approx(mean)), key
+
+
+def test_sections_around_the_stun(spark):
+    marks = {400: "stun on", 430: "stun off", 520: "in slurry"}
+    rows = recording("a.csv", marks, seed=5, step=0.5) + recording("b.csv", {300: "in slurry"}, seed=6)
+    df = spark.createDataFrame(rows, SCHEMA)
+    # The recording starts at 50 s; markers are then at 200, 215 and 260 s.
+    out = event_versus_baseline(df, STUN_THEN_COLD, "stun off", "in slurry", ROLES)
+    found = {(r.source_file, r.label): r for r in out.collect()}
+    assert set(found) == {("a.csv", "post_stun")}
+    kept = [r for r in rows if r[0] == "a.csv" and 220 <= r[1] - 50 <= 255]
+    assert found["a.csv", "post_stun"].n == len(kept)
+    alone = post_event_percent(df, STUN_THEN_COLD, "stun off", "in slurry", ROLES).first()
+    assert alone.pct_power == pytest.approx(found["a.csv", "post_stun"].pct_power)
+    fewer = post_event_percent(
+        df, STUN_THEN_COLD, "stun off", "in slurry", ROLES, apply_mad=True
+    ).first()
+    assert 0 < fewer.all_count < alone.all_count
+
+
+def test_durations_to_model(spark):
+    samples = [
+        (n, float(t), 0.1 if t == trough else 1.0, "In slurry" if t == marker else "")
+        for n, trough, marker, _ in TROUGHS for t in range(marker - 5, trough + 20)
+    ]
+    df = spark.createDataFrame(samples, "source_file string, t double, power double, comments string")
+    windows = [(n, float(t - 7), float(t + 7), c, 1.0 if c == "3V" else None) for n, t, _, c in TROUGHS]
+    control = spark.createDataFrame(windows, CONTROL)
+    out = durations(df, control, mentions(F.col("comments"), "in slurry"), ROLES)
+    fit = fit_linear(out.where("stun_parameter in ('0', '2.5V', '3V')"), "total", ["stun_parameter"])
+    assert round(fit.fit.first().aic, 2) == 132.21
+
+
+def test_behaviour_report(spark):
+    names = ["animal_id", "stun_parameter", "recovery_stage", "time_seconds_stage"]
+    extra = [(100, "2.5_5", "stage_2", 3.0)]
+    main = spark.createDataFrame(behaviour(MAIN_TIMES) + extra, BEHAVIOUR).toDF(*names)
+    report = behaviour_report(main)
+    assert report.curve.count() == 128
+    assert report.curve.where("proportion < 0 or proportion > 100").count() == 0
+    assert sum(r.n for r in report.summary.collect()) == 24
+    assert round(report.model.fit.first().aic, 2) == 208.45
+    one_second = spark.createDataFrame(behaviour(ONE_SECOND_TIMES), BEHAVIOUR).toDF(*names)
+    report = behaviour_report(one_second, observed_only=True, log=True)
+    assert round(report.model.fit.first().aic, 1) == 406.4
+    assert sum(r.n for r in report.histogram.collect()) == 37
