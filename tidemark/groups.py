@@ -100,7 +100,7 @@ class HotStats:
     """Statistics of oversized groups, as partial aggregates joined back."""
 
     def attach(self, df: DataFrame, keys: Sequence[str], **stats: Statistic) -> DataFrame:
-        from tidemark.quantiles import group_quantiles
+        from tidemark.quantiles import hot_group_quantiles
 
         result = df
         plain = [s.alias(n) for n, s in stats.items() if not isinstance(s, Median)]
@@ -108,7 +108,7 @@ class HotStats:
             result = attach(result, df.groupBy(*keys).agg(*plain), keys)
         for name, stat in stats.items():
             if isinstance(stat, Median):
-                middle = group_quantiles(df, keys, stat.column, [0.5])
+                middle = hot_group_quantiles(df, keys, stat.column, [0.5])
                 table = middle.select(*keys, F.col("quantiles")[0].alias(name))
                 result = attach(result, table, keys)
         return result

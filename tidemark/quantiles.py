@@ -22,8 +22,7 @@ def group_quantiles(
     Groups that fit a task use the built-in exact ``percentile``. For hot groups
     a sketch brackets each quantile, and only rows inside the bracket are ranked.
     """
-    rows = df.select(*keys, value.cast("double").alias("__v"))
-    rows = rows.where(F.col("__v").isNotNull() & ~F.isnan("__v"))
+    rows = _values(df, keys, value)
     keyed = list(keys) or ["__all"]
     if not keys:
         rows = rows.withColumn("__all", F.lit(0))
@@ -34,11 +33,23 @@ def group_quantiles(
         F.percentile("__v", F.array(*[F.lit(float(p)) for p in probabilities])).alias("quantiles"),
     )
     if hot is not None:
-        hot_rows = save_stage(match(rows, hot, keyed, "left_semi"))
+        hot_rows = match(rows, hot, keyed, "left_semi")
         result = result.unionByName(_hot_quantiles(hot_rows, keyed, list(probabilities)))
     return result.select(*keys, "n", "quantiles")
 
 
+def hot_group_quantiles(
+    df: DataFrame, keys: Sequence[str], value: Column, probabilities: Sequence[float]
+) -> DataFrame:
+    """As :func:`group_quantiles` for groups known to be hot: two passes, no count."""
+    return _hot_quantiles(_values(df, keys, value), list(keys), list(probabilities))
+
+
+def _values(df: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:
+    rows = df.select(*keys, value.cast("double").alias("__v"))
+    return rows.where(F.col("__v").isNotNull() & ~F.isnan("__v"))
+
+
 def _hot_quantiles(rows: DataFrame, keys: list[str], probabilities: list[float]) -> DataFrame:
     targets = save_stage(_brackets(rows, keys, probabilities))
     located, inside = _locate(rows, keys, targets)
@@ -51,7 +62,7 @@ def _hot_quantiles(rows: DataFrame, keys: list[str], probabilities: list[float])
         targets = targets.withColumns({"low": -infinity, "high": infinity})
         located, inside = _locate(rows, keys, targets)
         most = located.agg(F.max("inside")).first()[0]
-    one_task = most <= setting(rows.sparkSession, HOT_ROWS)
+    one_task = (most or 0) <= setting(rows.sparkSession, HOT_ROWS)
     return _select_ranks(located, inside, keys, one_task)
 
 
