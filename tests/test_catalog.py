@@ -26,5 +26,14 @@ def test_query(spark, con, name):
         assert difference(ours, con.execute(sql).df()) is None
 
 
+@pytest.mark.usefixtures("tiny_limits")
+@pytest.mark.parametrize(
+    "name", ["sample_index", "locf", "boxplot_stats", "mad_filter_pre", "trough_in_window", "profile"]
+)
+def test_query_with_hot_groups(spark, con, name):
+    ours = queries()[name](spark, SF).toPandas()
+    assert difference(ours, con.execute(oracle_sql()[name]).df()) is None
+
+
 def test_entry(spark):
     assert entry(spark).columns == ["user_id", "bin", "n_points", "marker_time", "pct_value"]

@@ -75,6 +75,13 @@ def test_agrees_with_the_built_in_regression(spark):
     assert sorted(ours.values()) == pytest.approx(sorted(theirs))
 
 
+def test_aliased_term_has_no_coefficient(spark):
+    rows = [(a, a, float(i % 3)) for i, a in enumerate("xyxyxyyx")]
+    df = spark.createDataFrame(rows, "f string, g string, y double")
+    found = {r.term: r.estimate for r in fit_linear(df, "y", ["f", "g"]).coefficients.collect()}
+    assert found["gy"] is None and found["fy"] is not None
+
+
 def test_t_tail():
     assert two_sided_p(1.998, 37) == pytest.approx(0.05311, abs=1e-4)
     assert two_sided_p(12.7062, 1) == pytest.approx(0.05, abs=1e-6)

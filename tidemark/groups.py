@@ -122,15 +122,17 @@ def by_size(
     keys: Sequence[str],
     plan: Callable[[DataFrame, Stats], DataFrame],
     stats: Stats | None = None,
+    measure: DataFrame | None = None,
 ) -> DataFrame:
     """Run ``plan`` on the cold groups and, if there are any, on the hot ones.
 
     With ``stats`` the caller has split the groups already. Chains of operators
-    split once and pass ``stats`` on, so that each sample is read once.
+    split once and pass ``stats`` on, so that each sample is read once. Groups are
+    counted in ``measure`` where that is cheaper than in ``df``.
     """
     if stats is not None:
         return plan(df, stats)
-    hot = hot_groups(df, keys)
+    hot = hot_groups(df if measure is None else measure, keys)
     if hot is None:
         return plan(df, ColdStats())
     cold_part = plan(match(df, hot, keys, "left_anti"), ColdStats())

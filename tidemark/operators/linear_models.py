@@ -64,7 +64,13 @@ def fit_linear(df: DataFrame, response: str, factors: Sequence[str]) -> LinearFi
     mean = np.array([c["mean"] for c in cells])
     within = float(sum(c["n"] * c["variance"] for c in cells))
 
-    total, p = int(n.sum()), len(terms)
+    # A column that repeats earlier ones has no coefficient of its own.
+    kept: list[int] = []
+    for j in range(len(terms)):
+        if np.linalg.matrix_rank(design[:, [*kept, j]]) > len(kept):
+            kept.append(j)
+    design = design[:, kept]
+    total, p = int(n.sum()), len(kept)
     centre = float(n @ mean / total)
     inverse = np.linalg.inv(design.T @ (design * n[:, None]))
     beta = inverse @ (design.T @ (n * (mean - centre)))
@@ -76,9 +82,9 @@ def fit_linear(df: DataFrame, response: str, factors: Sequence[str]) -> LinearFi
     aic = total * (math.log(2 * math.pi * deviance / total) + 1) + 2 * (p + 1)
     errors = np.sqrt(dispersion * np.diag(inverse))
     beta[0] += centre
-    out = [
-        (t, float(b), float(e), float(b / e), two_sided_p(float(b / e), df_residual))
-        for t, b, e in zip(terms, beta, errors)
-    ]
+    out = [(t, None, None, None, None) for t in terms]
+    for j, b, e in zip(kept, map(float, beta), map(float, errors)):
+        t = b / e if e else float("nan")
+        out[j] = (terms[j], b, e, t, two_sided_p(t, df_residual))
     fit = [(total, null_deviance, total - 1, deviance, df_residual, dispersion, aic)]
     return LinearFit(spark.createDataFrame(out, COEFFICIENTS), spark.createDataFrame(fit, FIT))

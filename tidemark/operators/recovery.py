@@ -42,6 +42,7 @@ def carry_forward(
     order: Sequence[str],
     column: str,
     stats: Stats | None = None,
+    measure: DataFrame | None = None,
 ) -> DataFrame:
     """Last observation carried forward; leading NULLs stay."""
 
@@ -62,7 +63,7 @@ def carry_forward(
         carried = attach(pieces, before, [*keys, "__part"]).withColumn(column, filled)
         return carried.drop("__carried", "__part", "__tie")
 
-    return by_size(df, keys, plan, stats)
+    return by_size(df, keys, plan, stats, measure)
 
 
 def filled_grid(
@@ -72,7 +73,8 @@ def filled_grid(
     seen = df.where(F.col("bin").isNotNull()).select(subject, cohort, "bin", stage)
     grid = recovery_grid(df, subject, cohort, cohorts, n_bins)
     joined = match(grid, seen, [subject, cohort, "bin"], "left")
-    return carry_forward(joined, [cohort, subject], ["bin", stage], stage)
+    # The grid adds one row per bin to a group, so the observations tell its size.
+    return carry_forward(joined, [cohort, subject], ["bin", stage], stage, measure=seen)
 
 
 def recovery_curve(
