@@ -129,6 +129,23 @@ def test_trough_durations(spark):
     }
 
 
+def test_many_windows_of_one_recording(spark):
+    rng = np.random.default_rng(4)
+    values = rng.integers(0, 50, 500)
+    df = spark.createDataFrame([("a", float(t), float(v), "") for t, v in enumerate(values)], SCHEMA)
+    starts = rng.integers(-5, 480, 40)
+    spans = {(float(s), float(s + n)) for s, n in zip(starts, [0, 1, 3, 400] * 10)}
+    windows = spark.createDataFrame([("a", lo, hi) for lo, hi in spans], "k string, lo double, hi double")
+    found = troughs.trough_in_windows(df, windows, ROLES).collect()
+    expected = {}
+    for lo, hi in spans:
+        inside = [(v, t) for t, v in enumerate(values) if lo <= t <= hi]
+        if inside:
+            expected[lo, hi] = tuple(map(float, min(inside)))
+    assert {(r.lo, r.hi): (r.v, r.noise_time) for r in found} == expected
+    assert len(found) == len(expected)
+
+
 def test_relative_time_and_shift(rows):
     clocked = rows.withColumn("clock", F.col("t") + 100)
     out = timebase.relative_time(clocked.drop("t"), ROLES, "clock")

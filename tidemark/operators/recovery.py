@@ -71,8 +71,13 @@ def filled_grid(
 ) -> DataFrame:
     """The full grid with each subject's stage carried forward."""
     seen = df.where(F.col("bin").isNotNull()).select(subject, cohort, "bin", stage)
+    cell = [subject, cohort, "bin"]
     grid = recovery_grid(df, subject, cohort, cohorts, n_bins)
-    joined = match(grid, seen, [subject, cohort, "bin"], "left")
+    # Observations stay where they are; only the empty cells need a join.
+    empty = match(grid, seen.select(*cell).distinct(), cell, "left_anti")
+    empty = empty.withColumn(stage, F.lit(None).cast(seen.schema[stage].dataType))
+    inside = seen.where(F.col(cohort).isin(*cohorts) & F.col("bin").between(0, n_bins - 1))
+    joined = inside.unionByName(empty)
     # The grid adds one row per bin to a group, so the observations tell its size.
     return carry_forward(joined, [cohort, subject], ["bin", stage], stage, measure=seen)
 
