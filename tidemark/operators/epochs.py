@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import bin_of
 from tidemark.groups import Stats, by_size
-from tidemark.operators.roles import Roles
 
 
 def anchored_bins(
