@@ -5,10 +5,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, mixing, url_filters, warc
+from tidemark.llm import byte_bpe, exact_dedup, mixing, quality, url_filters, warc
 from tidemark.session import stage_folder
 
 RULES = (
@@ -24,10 +25,31 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe_report(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+def bpe_report(docs: DataFrame) -> DataFrame:
+    """Ids and decoded bytes of each document as digests."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = byte_bpe.encode(docs, path, public_tokenizers.PATTERN)
+    decoded = byte_bpe.decode(encoded, path)
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op2_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.exact_dedup_report(table(spark, sf, "documents"))
 
 
+def op3_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.quality_report(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 def op4_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf, "documents"))
 
@@ -53,7 +75,9 @@ def op7_warc(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_byte_bpe": op1_byte_bpe,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_quality_rules": op3_quality_rules,
     "op4_mixing": op4_mixing,
     "op5_url_filters": op5_url_filters,
     "op7_warc": op7_warc,
@@ -61,5 +85,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": exact_dedup.ORACLE,
+    "op3_quality_rules": quality.ORACLE,
     "op7_warc": warc.ORACLE,
 }
