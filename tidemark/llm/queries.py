@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, exact_dedup, mixing, quality, url_filters, warc
+from tidemark.llm import byte_bpe, exact_dedup, mixing, quality, secrets, url_filters, warc
 from tidemark.session import stage_folder
 
 RULES = (
@@ -74,6 +74,22 @@ def op7_warc(spark: SparkSession, sf: str) -> DataFrame:
     return warc.describe(warc.read_archive(spark, folder))
 
 
+def op10_secret_scans(spark: SparkSession, sf: str) -> DataFrame:
+    return secret_report(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+def secret_report(docs: DataFrame) -> DataFrame:
+    found = secrets.scan_secrets(docs)
+    joined = lambda spans: F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","
+    )
+    count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id", *[count(k).alias(f"n_{k}") for k in secrets.KINDS],
+        F.sha2(joined("base_spans"), 256).alias("base_sha256"), joined("spans").alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_exact_dedup": op2_exact_dedup,
@@ -81,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op5_url_filters": op5_url_filters,
     "op7_warc": op7_warc,
+    "op10_secret_scans": op10_secret_scans,
 }
 
 ORACLES: dict[str, str] = {
