@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, exact_dedup, mixing, quality, secrets, url_filters, warc
+from tidemark.llm import byte_bpe, exact_dedup, html_text, mixing, quality, secrets, url_filters, warc
 from tidemark.session import stage_folder
 
 RULES = (
@@ -74,6 +74,11 @@ def op7_warc(spark: SparkSession, sf: str) -> DataFrame:
     return warc.describe(warc.read_archive(spark, folder))
 
 
+def op9_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages").select("page_id", "url", "html")
+    return html_text.extract_text(pages).select("page_id", "url", "text", "n_chars")
+
+
 def op10_secret_scans(spark: SparkSession, sf: str) -> DataFrame:
     return secret_report(table(spark, sf, "documents").select("doc_id", "text"))
 
@@ -97,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op5_url_filters": op5_url_filters,
     "op7_warc": op7_warc,
+    "op9_html_extraction": op9_html_extraction,
     "op10_secret_scans": op10_secret_scans,
 }
 
