@@ -14,6 +14,9 @@ depend on its size.
 
 from __future__ import annotations
 
+import functools
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,32 +29,41 @@ BITS_PER_HASH = 12
 PROBES = 3
 
 
+@dataclass(frozen=True)
+class Bloom:
+    table: DataFrame  # block, bits; at most MAX_BLOCKS rows of 4 KB
+    blocks: int
+
+
 def normal_text(name: str) -> Column:
     return ascii_lower(text_of(name))
 
 
-def repeat_filter(hashes: DataFrame, name: str, max_blocks: int = MAX_BLOCKS) -> tuple[DataFrame, int]:
-    """Blocked Bloom filter of the values that occur more than once: (blocks, their number)."""
-    repeated, n = saved(
+def repeat_filter(hashes: DataFrame, name: str, max_blocks: int = MAX_BLOCKS) -> Bloom:
+    """Filter of the values that occur more than once."""
+    repeated = (
         hashes.groupBy(name).agg(F.count(F.lit(1)).alias("copies"))
         .where(F.col("copies") > 1).select(name)
     )
+    return bloom_filter(repeated, name, max_blocks)
+
+
+def bloom_filter(values: DataFrame, name: str, max_blocks: int = MAX_BLOCKS) -> Bloom:
+    """Blocked Bloom filter of a column of values."""
+    table, n = saved(values)
     blocks = min(max_blocks, n * BITS_PER_HASH // BLOCK_BITS + 1)
-    bits = repeated.select(
+    bits = table.select(
         _block(F.col(name), blocks).alias("block"), F.explode(_probes(F.col(name))).alias("bit")
     )
-    return save_stage(bits.groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits"))), blocks
-
-
-def maybe_repeated(df: DataFrame, name: str, bloom: tuple[DataFrame, int], flag: str) -> DataFrame:
-    """Adds ``flag``: false only where the value certainly occurs once."""
-    table, blocks = bloom
-    table = F.broadcast(table.withColumnsRenamed({"block": "__block", "bits": "__bits"}))
-    hits = [_bit(F.col("__bits"), p) for p in _probe_list(F.col(name))]
-    all_set = hits[0]
-    for hit in hits[1:]:
-        all_set = all_set & hit
-    found = df.join(table, _block(F.col(name), blocks) == F.col("__block"), "left")
+    return Bloom(save_stage(bits.groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits"))), blocks)
+
+
+def probe(df: DataFrame, value: Column, bloom: Bloom, flag: str) -> DataFrame:
+    """Adds ``flag``: false only where the value is certainly not in the filter."""
+    table = F.broadcast(bloom.table.withColumnsRenamed({"block": "__block", "bits": "__bits"}))
+    hits = [_bit(F.col("__bits"), p) for p in _probe_list(value)]
+    all_set = functools.reduce(lambda a, b: a & b, hits)
+    found = df.join(table, _block(value, bloom.blocks) == F.col("__block"), "left")
     return found.withColumn(flag, F.coalesce(all_set, F.lit(False))).drop("__block", "__bits")
 
 
@@ -92,7 +104,7 @@ def mark_copies(
         .withColumns({"__hash": F.xxhash64("text_sha256"), "__tag": F.monotonically_increasing_id()})
     )
     bloom = repeat_filter(rows.select("__hash"), "__hash", max_blocks)
-    probed = maybe_repeated(rows, "__hash", bloom, "__maybe")
+    probed = probe(rows, F.col("__hash"), bloom, "__maybe")
     order = F.struct(F.col("__id").isNotNull().alias("known"), "__id", "__tag")
     once = probed.where(~F.col("__maybe")).select(
         "__id", F.col("__id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
@@ -127,7 +139,7 @@ def drop_copies(
     text = normal_text(text_col)
     bloom = repeat_filter(docs.select(F.xxhash64(F.sha2(text, 256)).alias(key)), key, max_blocks)
     keyed = docs.withColumn(key, F.xxhash64(F.sha2(text, 256)))
-    probed = maybe_repeated(keyed, key, bloom, flag)
+    probed = probe(keyed, F.col(key), bloom, flag)
     once = probed.where(~F.col(flag)).select(*[F.col(f"`{c}`") for c in docs.columns])
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     order = F.struct(F.col(id_col).isNotNull(), F.col(id_col))

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, exact_dedup, html_text, mixing, quality, secrets, url_filters, warc
+from tidemark.llm import byte_bpe, exact_dedup, html_text, mixing, near_dedup, quality, secrets, url_filters, warc
 from tidemark.session import stage_folder
 
 RULES = (
@@ -68,6 +68,10 @@ def op5_url_filters(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return near_dedup.near_classes(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 def op7_warc(spark: SparkSession, sf: str) -> DataFrame:
     folder = f"{stage_folder(spark)}/archive-{uuid.uuid4().hex}"
     warc.write_archive(table(spark, sf, "pages"), folder)
@@ -101,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_mixing": op4_mixing,
     "op5_url_filters": op5_url_filters,
+    "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_warc": op7_warc,
     "op9_html_extraction": op9_html_extraction,
     "op10_secret_scans": op10_secret_scans,
