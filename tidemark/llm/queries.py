@@ -9,7 +9,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, exact_dedup, html_text, mixing, near_dedup, quality, secrets, url_filters, warc
+from tidemark.llm import (
+    byte_bpe,
+    exact_dedup,
+    html_text,
+    mixing,
+    near_dedup,
+    quality,
+    secrets,
+    substring_dedup,
+    url_filters,
+    warc,
+)
 from tidemark.session import stage_folder
 
 RULES = (
@@ -78,6 +89,15 @@ def op7_warc(spark: SparkSession, sf: str) -> DataFrame:
     return warc.describe(warc.read_archive(spark, folder))
 
 
+def op8_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return passage_report(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+def passage_report(docs: DataFrame) -> DataFrame:
+    cut = substring_dedup.remove_repeats(docs)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op9_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
     pages = table(spark, sf, "pages").select("page_id", "url", "html")
     return html_text.extract_text(pages).select("page_id", "url", "text", "n_chars")
@@ -107,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_filters": op5_url_filters,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_warc": op7_warc,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_html_extraction": op9_html_extraction,
     "op10_secret_scans": op10_secret_scans,
 }
