@@ -5,25 +5,54 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, mixing
+from tidemark.llm import byte_bpe, exact_dedup, mixing, near_dedup, quality
 from tidemark.session import save_stage
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or a risk-controlled threshold go."""
+    return quality.drop_rejected(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with equal texts, the one with the largest id stays."""
     return exact_dedup.drop_copies(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates, the document with the smallest id stays."""
+    return near_dedup.drop_near(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts as often, or as far, as the mix takes them; repeats are rows of their own."""
     return mixing.mix_documents(docs)
 
 
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every text, and whether they decode to it."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    kept = docs.withColumn("__sha", F.sha2(F.coalesce("text", F.lit("")), 256))
+    encoded = byte_bpe.encode(kept, path, public_tokenizers.PATTERN)
+    decoded = byte_bpe.decode(encoded, path)
+    return decoded.select(
+        "doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
+        (F.sha2("decoded", 256) == F.col("__sha")).alias("round_trip"),
+    )
+
+
 STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality_rules),
     ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
     ("mixing", mix_sources),
+    ("byte_bpe", tokenise),
 ]
 
 
