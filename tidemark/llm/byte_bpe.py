@@ -26,7 +26,7 @@ from tidemark.llm.columns import text_of, without
 
 CACHED = 300_000  # pre-tokens a Python worker remembers
 CACHED_LENGTH = 40
-BATCH_TOKENS = 2_000_000  # most tokens in an output batch, unless one text has more
+BATCH_TOKENS = 400_000  # most tokens in an output batch, unless one text has more
 
 
 def byte_letters() -> str:
