@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.columns import SPACE, join_groups, text_of, word_count
+from tidemark.llm.columns import SPACE, WORD, join_groups, text_of, word_count
 from tidemark.session import save_stage
 
 
@@ -241,4 +241,71 @@ def mix_documents(
     return taken.select(*columns)
 
 
-ORACLE = None
+def _oracle(mix: Mix = DEFAULT) -> str:
+    """The mix in DuckDB SQL. Here every seat is listed and ranked, as the rule says."""
+    weight = " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(mix.weights))
+    return f"""
+WITH d AS (
+  SELECT doc_id, coalesce('=' || source, '') AS src,
+         len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size,
+         md5('{mix.seed}:' || coalesce(doc_id::VARCHAR, '')) AS turn
+  FROM documents
+), sums AS (
+  SELECT src, count(*) AS docs, sum(size)::BIGINT AS source_size FROM d GROUP BY src
+), weighed AS (
+  SELECT *, CASE (row_number() OVER (ORDER BY src = '', src) - 1) % {len(mix.weights)} {weight} END AS weight,
+         source_size * {mix.max_repeats} AS cap
+  FROM sums
+), levels AS (
+  SELECT *, ({mix.budget}::DOUBLE * sum(source_size) OVER ()
+             - coalesce(sum(cap) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+  FROM weighed
+  WINDOW before AS (ORDER BY cap / weight, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), targets AS (
+  SELECT *, CASE WHEN level > cap / weight THEN cap::DOUBLE
+                 ELSE weight * min_by(level, CASE WHEN level <= cap / weight THEN cap / weight END) OVER () END AS target
+  FROM levels
+), seats AS (
+  SELECT src, count(*) AS seats
+  FROM (SELECT src, target / (2 * s - 1) AS q
+        FROM (SELECT src, target, unnest(range(1, (target / {mix.block})::BIGINT + 1000)) AS s FROM targets)
+        QUALIFY row_number() OVER (ORDER BY q DESC, src)
+                <= (SELECT floor(sum(target) / {mix.block} + 0.5) FROM targets) AND q > 0)
+  GROUP BY src
+), sources AS (
+  SELECT targets.*, coalesce(seats, 0) AS seats, greatest(ceil(docs / (
+           SELECT least(greatest(sum(docs) // 100, {mix.least_shard}), {mix.most_shard}) FROM sums)), 1)::BIGINT AS shards
+  FROM targets LEFT JOIN seats USING (src)
+), dealt AS (
+  SELECT *, ('0x' || turn[1:8])::BIGINT % shards AS shard FROM d JOIN sources USING (src)
+), lengths AS (
+  SELECT src, shard, sum(size)::BIGINT AS length, any_value(seats) AS seats,
+         ceil(sum(size) / {mix.block})::BIGINT AS blocks
+  FROM dealt GROUP BY src, shard
+), offered AS (
+  SELECT src, shard, seats, length / (2 * s - 1) AS q
+  FROM (SELECT *, unnest(range(1, blocks * {mix.max_repeats} + 1)) AS s FROM lengths)
+), quotas AS (
+  SELECT src, shard, count(*) AS quota
+  FROM (SELECT * FROM offered QUALIFY row_number() OVER (PARTITION BY src ORDER BY q DESC, shard) <= seats)
+  GROUP BY src, shard
+), runs AS (
+  SELECT src, shard, length, blocks, coalesce(quota, 0) // blocks AS passes,
+         coalesce(quota, 0) % blocks AS run,
+         ('0x' || md5('{mix.seed}:' || src || ':' || shard)[1:8])::BIGINT % blocks AS first
+  FROM lengths LEFT JOIN quotas USING (src, shard) WHERE blocks > 0
+), placed AS (
+  SELECT *, sum(size) OVER (PARTITION BY src, shard ORDER BY turn, size
+                            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stop
+  FROM dealt LEFT JOIN runs USING (src, shard)
+)
+SELECT doc_id, size, source_size, target, coalesce((
+         passes * size
+         + greatest(least((first + run) * {mix.block}, length, stop) - greatest(first * {mix.block}, stop - size), 0)
+         + greatest(least(greatest(first + run - blocks, 0) * {mix.block}, stop) - (stop - size), 0)
+       )::BIGINT, 0) AS taken
+FROM placed
+"""
+
+
+ORACLE = _oracle()

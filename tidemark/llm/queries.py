@@ -135,5 +135,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": exact_dedup.ORACLE,
     "op3_quality_rules": quality.ORACLE,
+    "op4_mixing": mixing.ORACLE,
+    "op5_url_filters": url_filters.oracle(RULES),
     "op7_warc": warc.ORACLE,
+    "op8_substring_dedup": substring_dedup.ORACLE,
 }

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.columns import join_groups, saved, text_of
+from tidemark.llm.columns import WORD, join_groups, saved, text_of
 from tidemark.llm.exact_dedup import Bloom, bloom_filter, probe, repeat_filter
 from tidemark.llm.text_words import U, mix, slices, words_of
 from tidemark.session import save_stage
@@ -397,3 +397,26 @@ def _keep_words(rows: DataFrame) -> DataFrame:
             )
 
     return rows.mapInArrow(run, schema)
+
+
+ORACLE = f"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(ws[i:i+19], ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w)
+), later AS (
+  SELECT doc_id, i FROM windows
+  QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + 20)) AS p FROM later)
+), words AS (
+  SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n
+  FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+)
+SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""

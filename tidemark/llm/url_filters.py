@@ -168,3 +168,66 @@ def judge_urls(
     return joined.withColumn("verdict", F.coalesce("__verdict", by_host)).drop(
         "__verdict", "__pages", "__bad"
     )
+
+
+def oracle(rules: Sequence[Rule], prior: Reputation = Reputation()) -> str:
+    """The judgement in DuckDB SQL; a page's outcome is the label of the document that the
+    number in its path names."""
+    listed = " UNION ALL ".join(
+        f"SELECT '{r.host}' AS h, '{r.path}' AS p, '{r.verdict}' AS v" for r in rules
+    )
+    second = ", ".join(f"'{x}'" for x in prior.second_level)
+
+    def level(name: str, groups: str) -> str:
+        return f"""
+{name}_excess AS (
+  SELECT sum(n * (bad / n - above) ** 2) AS observed, sum(above * (1 - above)) AS binomial,
+         sum(above * (1 - above) * n) AS weight
+  FROM ({groups}) WHERE n > 0
+), {name} AS (
+  SELECT *, (bad + strength * above) / (n + strength) AS mean
+  FROM ({groups}), (
+    SELECT least(greatest(CASE WHEN weight > 0 AND observed > binomial AND weight > binomial
+                               THEN (weight - binomial) / (observed - binomial) - 1
+                               ELSE {prior.most_strength} END, {prior.least_strength}),
+                 {prior.most_strength}) AS strength FROM {name}_excess)
+)"""
+
+    return f"""
+WITH pages_ AS (
+  SELECT page_id, url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages
+), labels_ AS (
+  SELECT doc_id, max((quality = 0 OR toxic = 1)::INT) AS bad FROM labels GROUP BY doc_id
+), counts AS (
+  SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad
+  FROM (SELECT host, TRY_CAST(regexp_extract(path, '/(\\d{{1,18}})(?:\\D|$)', 1) AS BIGINT) AS doc_id FROM pages_)
+  LEFT JOIN labels_ USING (doc_id) GROUP BY host
+), labelled AS (
+  SELECT *, string_split(host, '.') AS l FROM counts
+), named AS (
+  SELECT host, n, bad, array_to_string(l[greatest(len(l) - (CASE WHEN len(l) >= 3 AND length(l[-1]) = 2
+           AND l[-2] IN ({second}) THEN 2 ELSE 1 END), 1):], '.') AS domain
+  FROM labelled
+), known AS (
+  SELECT *, string_split(domain, '.')[-1] AS suffix FROM named
+), domains AS (
+  SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM known GROUP BY ALL
+), suffixes AS (
+  SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY ALL
+), {level("s", "SELECT *, (SELECT (sum(bad) + 0.5::DOUBLE) / (sum(n) + 1) FROM suffixes) AS above FROM suffixes")
+}, {level("m", "SELECT domains.*, s.mean AS above FROM domains JOIN s USING (suffix)")
+}, {level("h", "SELECT known.*, m.mean AS above FROM known JOIN m USING (domain)")
+}, rules AS ({listed}
+), fitting AS (
+  SELECT page_id, max_by(h || p, length(h || p)) AS rule, max_by(v, length(h || p)) AS v
+  FROM pages_ JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+  GROUP BY page_id
+)
+SELECT page_id, host, path, rule, coalesce(v,
+         CASE WHEN mean - {prior.z} * sqrt(mean * (1 - mean) / (n + strength + 1)) > {prior.tolerated}
+              THEN 'block' ELSE 'allow' END) AS verdict
+FROM pages_ JOIN h USING (host) LEFT JOIN fitting USING (page_id)
+"""
