@@ -215,7 +215,9 @@ def mix_documents(
         _rows(docs.select(id_col, source_col, text_col), mix, id_col, source_col, text_col)
         .select("__src", "__size", "__turn")
     )
-    planned = _plan(_rows(docs, mix, id_col, source_col, text_col), narrow, mix)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc")
+    rows = _rows(docs, mix, id_col, source_col, text_col).select(whole, "__src", "__size", "__turn")
+    planned = _plan(rows, narrow, mix)
     nothing = F.struct(F.lit(0).alias("skip"), F.lit(0).alias("words"))
     full = F.struct(F.lit(0).alias("skip"), F.col("__size").cast("int").alias("words"))
     parts = F.concat(
@@ -224,18 +226,19 @@ def mix_documents(
         .otherwise(F.array_repeat(nothing, F.lit(0))),
     )
     taken = planned.withColumn("__part", F.explode(parts))
-    text = text_of(text_col)
+    text = text_of(f"__doc.{text_col}")
     # Each word with the white space after it.
     lead = F.regexp_extract(text, f"^{SPACE}*", 0)
     tokens = F.split(F.substr(text, F.length(lead) + 1), f"(?<={SPACE})(?=[^{SPACE[1:]})")
     piece = F.array_join(F.slice(tokens, F.col("__part.skip") + 1, F.col("__part.words")), "")
     piece = F.regexp_replace(piece, f"{SPACE}+$", "")
-    whole = F.col("__part.words") == F.col("__size")
-    new_text = F.when(whole, text).otherwise(piece)
+    entire = F.col("__part.words") == F.col("__size")
+    new_text = F.when(entire, text).otherwise(piece)
+    types = dict(docs.dtypes)
     columns = [
         new_text.alias(c) if c == text_col
-        else F.length(new_text).cast(dict(docs.dtypes)[c]).alias(c) if c == "n_chars"
-        else F.col(f"`{c}`")
+        else F.length(new_text).cast(types[c]).alias(c) if c == "n_chars"
+        else F.col(f"__doc.`{c}`")
         for c in docs.columns
     ]
     return taken.select(*columns)

@@ -102,7 +102,8 @@ def host_reputation(
     suffixes = save_stage(domains.groupBy("suffix").agg(*sums))
     n_hosts, n_domains = known.count(), domains.count()
     n, bad = suffixes.agg(F.sum("n"), F.sum("bad")).first()
-    overall = ((bad or 0) + 0.5) / ((n or 0) + 1)
+    # One page's worth of prior at the tolerated share: without labels nothing is blocked.
+    overall = ((bad or 0) + prior.tolerated) / ((n or 0) + 1)
 
     top = _shrink(suffixes.withColumn("above", F.lit(overall)), prior)
     top = save_stage(top.select("suffix", "members", F.col("mean").alias("above")))
@@ -217,7 +218,7 @@ WITH pages_ AS (
   SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM known GROUP BY ALL
 ), suffixes AS (
   SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY ALL
-), {level("s", "SELECT *, (SELECT (sum(bad) + 0.5::DOUBLE) / (sum(n) + 1) FROM suffixes) AS above FROM suffixes")
+), {level("s", "SELECT *, (SELECT (sum(bad) + {prior.tolerated}::DOUBLE) / (sum(n) + 1) FROM suffixes) AS above FROM suffixes")
 }, {level("m", "SELECT domains.*, s.mean AS above FROM domains JOIN s USING (suffix)")
 }, {level("h", "SELECT known.*, m.mean AS above FROM known JOIN m USING (domain)")
 }, rules AS ({listed}
