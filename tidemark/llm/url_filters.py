@@ -218,7 +218,7 @@ WITH pages_ AS (
   SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM known GROUP BY ALL
 ), suffixes AS (
   SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY ALL
-), {level("s", "SELECT *, (SELECT (sum(bad) + {prior.tolerated}::DOUBLE) / (sum(n) + 1) FROM suffixes) AS above FROM suffixes")
+), {level("s", f"SELECT *, (SELECT (sum(bad) + {prior.tolerated}::DOUBLE) / (sum(n) + 1) FROM suffixes) AS above FROM suffixes")
 }, {level("m", "SELECT domains.*, s.mean AS above FROM domains JOIN s USING (suffix)")
 }, {level("h", "SELECT known.*, m.mean AS above FROM known JOIN m USING (domain)")
 }, rules AS ({listed}
