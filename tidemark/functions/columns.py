@@ -23,6 +23,11 @@ def number(text: Column) -> Column:
     return F.when(~F.isnan(value), value)
 
 
+def known(value: Column) -> Column:
+    """The value, with NaN as NULL: NaN is a missing value in every statistic."""
+    return F.when(~F.isnan(value.cast("double")), value)
+
+
 def clock_seconds(text: Column) -> Column:
     """``hh:mm:ss`` or ``hh:mm:ss.0`` to seconds; hours may exceed 24."""
     part = F.split(F.trim(text), ":")

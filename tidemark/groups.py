@@ -17,9 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.functions.columns import known
 from tidemark.session import BROADCAST_ROWS, HOT_ROWS, save_stage, setting
 
 SALTS = 64
+MOST_SALTS = 10_000
 
 
 def match(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
@@ -61,8 +63,10 @@ def attach(
     if (largest or 0) <= share:
         return match(rows, table, keys, how)
     heavy = save_stage(counts.where(F.col("__rows") > share))
-    rows_salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
-    table_salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    # As many salts as keep each at the share, whatever the size of the largest group.
+    salts = min(max(SALTS, largest // share + 1), MOST_SALTS)
+    rows_salt = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
+    table_salts = F.sequence(F.lit(0), F.lit(salts - 1))
     salted_rows = match(rows, F.broadcast(heavy), keys, "left").withColumn(
         "__salt", F.when(F.col("__rows").isNotNull(), rows_salt).otherwise(0)
     )
@@ -76,7 +80,7 @@ def attach(
 
 @dataclass(frozen=True)
 class Median:
-    """Marks a statistic that is the median of ``column``."""
+    """Marks a statistic that is the median of ``column``, NULL and NaN skipped."""
 
     column: Column
 
@@ -90,7 +94,7 @@ class ColdStats:
     def attach(self, df: DataFrame, keys: Sequence[str], **stats: Statistic) -> DataFrame:
         group = Window.partitionBy(*keys)
         columns = {
-            name: (F.median(s.column) if isinstance(s, Median) else s).over(group)
+            name: (F.median(known(s.column)) if isinstance(s, Median) else s).over(group)
             for name, s in stats.items()
         }
         return df.withColumns(columns)

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import Span, percent_of
-from tidemark.groups import ColdStats, Median, Stats, attach, by_size
+from tidemark.functions.columns import Span, known, percent_of
+from tidemark.groups import ColdStats, Median, Stats, attach, by_size, match
 from tidemark.operators.markers import first_time
 from tidemark.operators.roles import Roles
 from tidemark.quantiles import group_quantiles
@@ -32,14 +32,18 @@ def baseline_rows(
 def baseline_medians(
     df: DataFrame, roles: Roles, marker: Column, span: Span, stats: Stats | None = None
 ) -> DataFrame:
-    """Median of the signal in the baseline window, one row per recording."""
+    """Median of the signal in the baseline window, one row per recording that has rows there.
+
+    NULL and NaN are skipped; a window without any other value has a NULL median.
+    """
 
     def plan(part: DataFrame, stats: Stats) -> DataFrame:
         rows = baseline_rows(part, roles, marker, span, stats)
         if isinstance(stats, ColdStats):
-            return rows.groupBy(roles.key).agg(F.median(roles.value).alias("baseline"))
+            return rows.groupBy(roles.key).agg(F.median(known(F.col(roles.value))).alias("baseline"))
         medians = group_quantiles(rows, [roles.key], F.col(roles.value), [0.5])
-        return medians.select(roles.key, F.col("quantiles")[0].alias("baseline"))
+        medians = medians.select(roles.key, F.col("quantiles")[0].alias("baseline"))
+        return match(rows.select(roles.key).distinct(), medians, [roles.key], "left")
 
     return by_size(df, [roles.key], plan, stats)
 

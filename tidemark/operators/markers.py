@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,9 +22,29 @@ def marker_times(df: DataFrame, roles: Roles, **markers: Column) -> DataFrame:
     return df.groupBy(roles.key).agg(*[first_time(roles, m).alias(n) for n, m in markers.items()])
 
 
-def marker_interval(df: DataFrame, roles: Roles, start: Column, end: Column) -> DataFrame:
-    """Time from one marker to another."""
-    times = marker_times(df, roles, start_time=start, end_time=end)
+def marker_times_of_clock(df: DataFrame, roles: Roles, clock: str, **markers: Column) -> DataFrame:
+    """As :func:`marker_times`, in seconds since the recording's first sample.
+
+    Start and markers are one aggregate over the clock, so no row is shuffled. The start
+    itself is kept as ``start_clock``.
+    """
+    clocked = replace(roles, time=clock)
+    found = df.groupBy(roles.key).agg(
+        F.min(clock).alias("start_clock"),
+        *[first_time(clocked, m).alias(n) for n, m in markers.items()],
+    )
+    return found.withColumns({n: F.col(n) - F.col("start_clock") for n in markers})
+
+
+def marker_interval(
+    df: DataFrame, roles: Roles, start: Column, end: Column, clock: str | None = None
+) -> DataFrame:
+    """Time from one marker to another; with ``clock`` from rows without relative time."""
+    if clock:
+        times = marker_times_of_clock(df, roles, clock, start_time=start, end_time=end)
+        times = times.drop("start_clock")
+    else:
+        times = marker_times(df, roles, start_time=start, end_time=end)
     return times.withColumn("interval", F.col("end_time") - F.col("start_time"))
 
 

@@ -58,3 +58,24 @@ def mad_filter(
         return _drop_outliers(part, keys, value, F.lit(True), k, stats)
 
     return by_size(df, keys, plan, stats)
+
+
+def mad_filter_columns(
+    df: DataFrame, keys: Sequence[str], columns: Sequence[str], k: float, stats: Stats | None = None
+) -> DataFrame:
+    """As :func:`mad_filter` for several columns at once; an outlying value becomes NULL.
+
+    All columns share one shuffle of the wide rows.
+    """
+
+    def plan(part: DataFrame, stats: Stats) -> DataFrame:
+        part = stats.attach(part, keys, **{f"__median_{c}": Median(F.col(c)) for c in columns})
+        deviation = {c: F.abs(F.col(c) - F.col(f"__median_{c}")) for c in columns}
+        part = stats.attach(part, keys, **{f"__mad_{c}": Median(d) for c, d in deviation.items()})
+        kept = {
+            c: F.when(d <= k * (MAD_SCALE * F.col(f"__mad_{c}")), F.col(c)) for c, d in deviation.items()
+        }
+        made = [f"__{kind}_{c}" for kind in ("median", "mad") for c in columns]
+        return part.withColumns(kept).drop(*made)
+
+    return by_size(df, keys, plan, stats)

@@ -24,7 +24,14 @@ def with_bin(df: DataFrame, time: str, width: float) -> DataFrame:
 
 
 def _bins(n_bins: int) -> Column:
-    return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_bins - 1).cast("long"))).alias("bin")
+    """Bins 0 to n - 1, one row each; no row for no bin."""
+    return F.explode(_between(F.lit(0), F.lit(n_bins - 1))).alias("bin")
+
+
+def _between(first: Column, last: Column) -> Column:
+    """Whole numbers from first to last; none if last is smaller (sequence would count down)."""
+    numbers = F.sequence(first.cast("long"), F.greatest(first, last).cast("long"))
+    return F.when(first <= last, numbers).otherwise(F.array().cast("array<bigint>"))
 
 
 def recovery_grid(
@@ -69,17 +76,30 @@ def carry_forward(
 def filled_grid(
     df: DataFrame, subject: str, cohort: str, stage: str, cohorts: Sequence[object], n_bins: int
 ) -> DataFrame:
-    """The full grid with each subject's stage carried forward."""
-    seen = df.where(F.col("bin").isNotNull()).select(subject, cohort, "bin", stage)
-    cell = [subject, cohort, "bin"]
-    grid = recovery_grid(df, subject, cohort, cohorts, n_bins)
-    # Observations stay where they are; only the empty cells need a join.
-    empty = match(grid, seen.select(*cell).distinct(), cell, "left_anti")
-    empty = empty.withColumn(stage, F.lit(None).cast(seen.schema[stage].dataType))
-    inside = seen.where(F.col(cohort).isin(*cohorts) & F.col("bin").between(0, n_bins - 1))
-    joined = inside.unionByName(empty)
-    # The grid adds one row per bin to a group, so the observations tell its size.
-    return carry_forward(joined, [cohort, subject], ["bin", stage], stage, measure=seen)
+    """The full grid with each subject's stage carried forward.
+
+    An observation fills its own bin and those up to the next bin observed; bins
+    before the first one, and foreign cohorts, are NULL. Spells are exploded, so the
+    grid is neither joined nor sorted. Within a bin the last stage in order carries on.
+    """
+    inside = F.col(cohort).isin(*cohorts) & F.col("bin").between(0, n_bins - 1)
+    seen = df.where(inside & F.col(stage).isNotNull()).select(subject, cohort, "bin", stage)
+    pair = [subject, cohort]
+    # At most a row per bin and pair is left to order.
+    cells = seen.groupBy(*pair, "bin").agg(F.max(stage).alias(stage))
+    following = F.lead("bin").over(Window.partitionBy(*pair).orderBy("bin"))
+    later = cells.withColumn("__next", F.coalesce(following, F.lit(n_bins))).select(
+        *pair, F.explode(_between(F.col("bin") + 1, F.col("__next") - 1)).alias("bin"), stage
+    )
+    pairs = df.select(subject).distinct().select(
+        subject, F.explode(F.array(*map(F.lit, cohorts))).alias(cohort)
+    )
+    first = cells.groupBy(*pair).agg(F.min("bin").alias("__first"))
+    nothing = F.lit(None).cast(seen.schema[stage].dataType).alias(stage)
+    blank = match(pairs, first, pair, "left").select(
+        *pair, F.explode(_between(F.lit(0), F.coalesce("__first", F.lit(n_bins)) - 1)).alias("bin"), nothing
+    )
+    return seen.unionByName(later).unionByName(blank)
 
 
 def recovery_curve(

@@ -61,13 +61,13 @@ def sample_index(
     def plan(part: DataFrame, stats: Stats) -> DataFrame:
         if isinstance(stats, ColdStats):
             window = Window.partitionBy(*keys).orderBy(*roles.sequence)
-            return part.withColumn(out, F.row_number().over(window) - 1)
+            return part.withColumn(out, F.row_number().over(window).cast("long") - 1)
         pieces = ordered_parts(part, keys, roles.sequence)
         before = running_before(pieces, keys, F.count(F.lit(1)), "__before", F.sum)
         window = Window.partitionBy("__part", *keys).orderBy(*roles.sequence, "__tie")
         numbered = attach(pieces, before, [*keys, "__part"]).withColumn(
             out,
-            (F.row_number().over(window) - 1 + F.coalesce(F.col("__before"), F.lit(0))).cast("int"),
+            F.row_number().over(window).cast("long") - 1 + F.coalesce(F.col("__before"), F.lit(0)),
         )
         return numbered.drop("__before", "__part", "__tie")
 

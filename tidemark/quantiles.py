@@ -57,10 +57,18 @@ def _hot_quantiles(rows: DataFrame, keys: list[str], probabilities: list[float])
     missed = (below > F.col("low_rank")) | (reach <= F.col("high_rank"))
     any_missed, most = located.agg(F.max(missed), F.max("inside")).first()
     if any_missed:
-        # The sketch promises its error bound; without it, rank every row.
+        # The sketch promises its error bound; where it fails, rank every row of the group.
         infinity = F.lit(float("inf"))
-        targets = targets.withColumns({"low": -infinity, "high": infinity})
-        located, inside = _locate(rows, keys, targets)
+        names = [*keys, "target"]
+        wide = located.where(missed).select(*targets.columns).withColumns(
+            {"low": -infinity, "high": infinity}
+        )
+        again, more = _locate(rows, keys, save_stage(wide))
+        located, inside = located.where(~missed), match(
+            inside, located.where(~missed).select(*names), names, "left_semi"
+        )
+        located = save_stage(located.unionByName(again))
+        inside = inside.unionByName(more)
         most = located.agg(F.max("inside")).first()[0]
     one_task = (most or 0) <= setting(rows.sparkSession, HOT_ROWS)
     return _select_ranks(located, inside, keys, one_task)
