@@ -71,7 +71,7 @@ def corpus(seed=1):
     return [(i, " ".join(w), "en", "a", 1) for i, w in enumerate(rows)]
 
 
-@pytest.mark.parametrize("options", [NearDedup(), NearDedup(wide=2)])
+@pytest.mark.parametrize("options", [NearDedup(), NearDedup(few=0, tries=1), NearDedup(few=0, tries=1, stray_block=2, member_block=3)])
 def test_classes_match_all_pairs(spark, options):
     rows = corpus()
     check(near_dedup.near_classes(documents(spark, rows), options).collect(), rows)
@@ -81,7 +81,7 @@ def test_chains_across_a_bucket_are_found(spark):
     """Each text is like the next one only: the first of a bucket is not like most of it."""
     w = [f"w{i}" for i in range(300)]
     rows = [(i, " ".join(w[i * 5:i * 5 + 60]), "en", "a", 1) for i in range(40)]
-    out = near_dedup.near_classes(documents(spark, rows), replace(NearDedup(), wide=1)).collect()
+    out = near_dedup.near_classes(documents(spark, rows), replace(NearDedup(), few=1, tries=1)).collect()
     check(out, rows)
     assert {r.class_id for r in out} == {0}
 

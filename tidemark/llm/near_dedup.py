@@ -8,11 +8,12 @@ probability of their weighted Jaccard similarity. Only ranks up to about
 (k ln k + 2k)/weight have to be looked at, so a signature costs the shingles plus
 k ln k darts, whatever the weights.
 
-Documents of equal words are one node. Nodes that agree on a band share a bucket, and each is
-compared with the bucket's first node only, a star instead of all pairs. Links join nodes into
-classes. Nodes that share a bucket and are still in different classes are then compared
-with each other: directly, or, where a bucket has many classes, only if they share a
-second such bucket. Every comparison is the exact similarity of the shingle sets.
+Documents of equal words are one node. Nodes that agree on a band share a bucket. Each is
+first compared with the likeliest of its buckets' hubs, stars instead of all pairs, and
+the links join nodes into classes. What is left are strays: nodes that share a bucket
+with other classes. They are compared with all of those, in small buckets as listed
+pairs, in large ones block by block inside tasks that return links only. Every
+comparison is the exact similarity of the shingle sets.
 """
 
 from __future__ import annotations
@@ -46,7 +47,10 @@ class NearDedup:
     bands: int = 32
     rows: int = 5
     counts: bool = False  # weight a shingle by its count instead of 1
-    wide: int = 64  # unsettled nodes from which a bucket is split by a second one
+    tries: int = 4  # hubs a node is compared with before the exact remainder
+    few: int = 2000  # comparisons in a bucket that are listed as pairs
+    stray_block: int = 500
+    member_block: int = 250
 
     @property
     def coordinates(self) -> int:
@@ -235,71 +239,189 @@ def _similar(pairs: DataFrame, options: NearDedup) -> DataFrame:
     return pairs.select("a", "b", "__ta", "__tb").mapInArrow(run, schema)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, options: NearDedup) -> DataFrame:
-    """Links among the node pairs ``a, b``; ``texts`` has one row per node and text."""
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    ends = save_stage(ends)
-    near = probe(texts, F.xxhash64("node"), bloom_filter(ends.select(F.xxhash64("node").alias("h")), "h"), "__may")
-    # Copies of a node are combined before the shuffle; only texts of candidates move.
-    needed = save_stage(near.where("__may").groupBy("node").agg(F.first("text").alias("text")))
-    first = pairs.join(needed.select(F.col("node").alias("b"), F.col("text").alias("__tb")), "b")
-    both = first.join(needed.select(F.col("node").alias("a"), F.col("text").alias("__ta")), "a")
-    return save_stage(_similar(both, options))
+def texts_of(wanted: DataFrame, texts: DataFrame) -> DataFrame:
+    """Saved table of the texts of the nodes wanted, one row each.
+
+    ``texts`` has a row per document. A Bloom filter rules out the others where they are,
+    and copies of a node are combined before the shuffle.
+    """
+    nodes = wanted.select(F.xxhash64("node").alias("h")).distinct()
+    near = probe(texts, F.xxhash64("node"), bloom_filter(nodes, "h"), "__may").where("__may")
+    return save_stage(near.groupBy("node").agg(F.first("text").alias("text")))
+
+
+def verified(pairs: DataFrame, held: DataFrame, options: NearDedup) -> DataFrame:
+    """Links among the node pairs ``a, b``; ``held`` has the texts of their nodes."""
+    first = pairs.join(held.select(F.col("node").alias("b"), F.col("text").alias("__tb")), "b")
+    both = first.join(held.select(F.col("node").alias("a"), F.col("text").alias("__ta")), "a")
+    return _similar(both, options)
 
 
-def _agree(x: Column, y: Column, options: NearDedup) -> Column:
-    """False only if the sketches differ far more than at the similarity sought.
+def _most_differ(options: NearDedup) -> int:
+    """Bits in which two sketches of the similarity sought may differ.
 
-    Coordinates agree with probability s, their bits with (1+s)/2: six deviations below
-    that many bits, a pair of similarity s is lost once in a billion.
+    Coordinates agree with probability s, their bits with (1+s)/2; at six deviations a
+    pair of similarity s is lost once in a billion.
     """
     p, k = (1 + options.similarity) / 2, options.coordinates
-    most = int(k * (1 - p) + 6 * math.sqrt(k * p * (1 - p))) + 1
-    words = -(-k // 64)
-    differ = functools.reduce(
-        lambda s, t: s + t, [F.bit_count(F.get(x, i).bitwiseXOR(F.get(y, i))) for i in range(words)]
+    return int(k * (1 - p) + 6 * math.sqrt(k * p * (1 - p))) + 1
+
+
+def _differ(x: Column, y: Column, options: NearDedup) -> Column:
+    """Number of coordinates whose bits differ."""
+    return functools.reduce(
+        lambda s, t: s + t,
+        [F.bit_count(F.get(x, i).bitwiseXOR(F.get(y, i))) for i in range(-(-options.coordinates // 64))],
     )
-    return differ <= most
 
 
-def _residual(members: DataFrame, roots: DataFrame, sketches: DataFrame, options: NearDedup) -> DataFrame:
-    """Pairs that share a bucket, are in different classes and were not compared.
+def _stars(members: DataFrame, sketches: DataFrame, options: NearDedup) -> DataFrame:
+    """The ``tries`` likeliest of each node's hubs, one pair a row."""
+    pairs = members.where(F.col("node") != F.col("hub")).select("node", "hub").distinct()
+    uses = save_stage(
+        match(pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("uses")),
+              sketches.select(F.col("node").alias("hub"), F.col("sketch").alias("other")), ["hub"], "inner")
+    )
+    total = uses.agg(F.sum("uses")).first()[0] or 0
+    told = join_groups(pairs, uses, ["hub"], "uses", total)
+    rated = match(told, sketches, ["node"], "inner").withColumn(
+        "differ", _differ(F.col("sketch"), F.col("other"), options)
+    ).where(F.col("differ") <= _most_differ(options))
+    # A node has one hub per band at most.
+    best = rated.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("differ", "hub"))).alias("hubs"))
+    best = best.select("node", F.explode(F.slice("hubs", 1, options.tries)).alias("h"))
+    return save_stage(best.select(F.col("node").alias("a"), F.col("h.hub").alias("b")))
+
 
-    ``members`` has ``bucket, node, hub, size`` for all buckets of two nodes or more.
+def _apart(members: DataFrame, roots: DataFrame) -> DataFrame | None:
+    """``bucket, node, root, size, apart, strays`` of the buckets with several classes.
+
+    ``apart`` marks the strays, the nodes outside the bucket's largest class.
     """
-    class_of = roots.select("node", "root")
-    rooted = match(members, class_of, ["node"], "left").withColumn("root", F.coalesce("root", "node"))
-    hub_root = class_of.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
-    total = members.count()
-    sizes = members.groupBy("hub").agg(F.count(F.lit(1)).alias("uses"))
-    hub_root = save_stage(match(sizes, hub_root, ["hub"], "left"))
-    told = join_groups(rooted, hub_root, ["hub"], "uses", total)
-    told = save_stage(told.withColumn("apart", F.col("root") != F.coalesce("hub_root", "hub")).drop("uses", "hub_root"))
+    rooted = save_stage(
+        match(members.select("bucket", "node", "size"), roots.select("node", "root"), ["node"], "left")
+        .withColumn("root", F.coalesce("root", "node"))
+    )
+    counts = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     mixed = save_stage(
-        told.where("apart").groupBy("bucket").agg(F.count(F.lit(1)).alias("unsettled"), F.first("size").alias("size"))
+        counts.groupBy("bucket").agg(
+            F.count(F.lit(1)).alias("classes"), F.sum("n").alias("size"),
+            F.max(F.struct("n", "root")).alias("largest"),
+        ).where(F.col("classes") > 1)
+        .select("bucket", "size", F.col("largest.root").alias("main"),
+                (F.col("size") - F.col("largest.n")).alias("strays"))
     )
     if mixed.isEmpty():
         return None
-    inside = join_groups(told.drop("size"), mixed, ["bucket"], "size", total)
-    inside = save_stage(match(inside, sketches, ["node"], "inner"))
-    narrow = inside.where(F.col("unsettled") <= options.wide).withColumn("key", F.col("bucket"))
-    wide = inside.where(F.col("unsettled") > options.wide)
-    # In crowded buckets a pair must share two of them: a key for each two of a node's.
-    two = wide.groupBy("node").agg(F.sort_array(F.collect_set("bucket")).alias("all"))
-    keys = two.select("node", F.explode(F.flatten(F.transform(
-        "all", lambda x, i: F.transform(F.slice("all", i + 2, F.size("all")), lambda y: F.xxhash64(x, y))
-    ))).alias("key"))
-    about = wide.groupBy("node").agg(F.first("root").alias("root"), F.first("sketch").alias("sketch"),
-                                     F.max("apart").alias("apart"))
-    doubled = keys.join(about, "node")
-    columns = ["key", "node", "root", "sketch", "apart"]
-    left = narrow.select(*columns).unionByName(doubled.select(*columns))
-    right = left.select("key", *[F.col(c).alias(f"{c}2") for c in columns[1:]])
-    pairs = left.where("apart").join(right, "key").where(
+    inside = join_groups(rooted.drop("size"), mixed, ["bucket"], "size", rooted.count())
+    return save_stage(inside.withColumn("apart", F.col("root") != F.col("main")).drop("main"))
+
+
+def _few(inside: DataFrame, sketches: DataFrame, options: NearDedup) -> DataFrame:
+    """Pairs of different classes in buckets of few comparisons, each at its first bucket."""
+    told = save_stage(match(inside, sketches, ["node"], "inner").select(
+        "bucket", "node", "root", "apart", "sketch", "bands"
+    ))
+    other = told.select("bucket", *[F.col(c).alias(f"{c}2") for c in told.columns[1:]])
+    first = F.array_min(F.array_intersect("bands", "bands2"))
+    pairs = told.where("apart").join(other, "bucket").where(
         (F.col("root") != F.col("root2")) & (~F.col("apart2") | (F.col("node") < F.col("node2")))
-        & _agree(F.col("sketch"), F.col("sketch2"), options)
+        & (_differ(F.col("sketch"), F.col("sketch2"), options) <= _most_differ(options))
+    )
+    chosen = pairs.withColumn("first", first == F.col("bucket")).where("first")
+    return chosen.select(F.col("node").alias("a"), F.col("node2").alias("b"))
+
+
+def _crowded(inside: DataFrame, texts: DataFrame, options: NearDedup) -> DataFrame:
+    """Links of strays in large buckets: strays against members, block by block.
+
+    A block of strays meets a block of members in one task, which returns a link for
+    each stray and class it belongs to; compared pairs are not rows.
+    """
+    strays, rows = options.stray_block, options.member_block
+    stray_blocks, member_blocks = F.ceil(F.col("strays") / strays), F.ceil(F.col("size") / rows)
+    block = lambda n: F.pmod(F.xxhash64("node"), n)
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1))
+    queries = inside.where("apart").select(
+        "bucket", block(stray_blocks).alias("x"), upto(member_blocks).alias("y"), F.lit(True).alias("query"),
+        "node", "root",
+    )
+    corpus = inside.select(
+        "bucket", upto(stray_blocks).alias("x"), block(member_blocks).alias("y"), F.lit(False).alias("query"),
+        "node", "root",
     )
-    return save_stage(pairs.select(F.least("node", "node2").alias("b"), F.greatest("node", "node2").alias("a")).distinct())
+    both = queries.unionByName(corpus).join(texts, "node")
+    dealt = both.withColumn("cell", F.xxhash64("bucket", "x", "y"))
+    partitions = int(inside.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(partitions, "cell").sortWithinPartitions("cell").select(
+        "cell", "query", "node", "root", "text"
+    )
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in ("a", "b")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, []
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            if held:
+                links = _block_links(pa.Table.from_batches(held).combine_chunks(), options)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x[i] for x in links], pa.string()) for i in range(2)], names=["a", "b"]
+                )
+
+        for batch in batches:
+            keys = batch.column("cell").to_numpy()
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1), len(keys)]
+            for start, end in zip(cuts, cuts[1:]):
+                if end > start and keys[start] != cell:
+                    yield from finish()
+                    cell, held = keys[start], []
+                held.append(batch.slice(start, end - start))
+        yield from finish()
+
+    return dealt.mapInArrow(run, schema)
+
+
+def _block_links(rows: pa.Table, options: NearDedup) -> list[tuple[str, str]]:
+    """One link for each query and class that has a similar member in this block."""
+    rows = rows.to_batches()[0]
+    query = np.array(rows.column("query").to_pylist(), bool)
+    nodes, roots = rows.column("node").to_pylist(), rows.column("root").to_pylist()
+    items, owner, count = _distinct(*shingles(words_of(rows.column("text")), options.shingle))
+    weight = count if options.counts else np.ones(len(items), np.int64)
+    n = len(nodes)
+    size = np.bincount(owner, weight, n)
+    cuts = np.searchsorted(owner, np.arange(n + 1))
+    member = np.flatnonzero(~query[owner])
+    order = member[np.argsort(items[member], kind="stable")]
+    hashes, owners, weights = items[order], owner[order], weight[order]
+    links = []
+    for i in np.flatnonzero(query):
+        mine = slice(cuts[i], cuts[i + 1])
+        low, high = (np.searchsorted(hashes, items[mine], side) for side in ("left", "right"))
+        times = high - low
+        at = np.arange(times.sum()) + np.repeat(low - np.cumsum(times) + times, times)
+        shared = np.minimum(weights[at], np.repeat(weight[mine], times))
+        both = np.bincount(owners[at], shared, n)
+        similar = both >= options.similarity * (size[i] + size - both) - 1e-9
+        found = {roots[j]: j for j in np.flatnonzero(similar & (both > 0))}
+        links += [(nodes[i], nodes[j]) for root, j in found.items() if root != roots[i]]
+    return links
+
+
+def _residual(
+    members: DataFrame, roots: DataFrame, nodes: DataFrame, texts: DataFrame, options: NearDedup
+) -> DataFrame | None:
+    """Links between nodes that share a bucket but are in different classes so far."""
+    inside = _apart(members, roots)
+    if inside is None:
+        return None
+    work = F.col("strays") * F.col("size")
+    pairs = save_stage(_few(inside.where(work <= options.few), nodes, options))
+    crowded = inside.where(work > options.few)
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(
+        pairs.select(F.col("b").alias("node"))).unionByName(crowded.select("node"))
+    held = texts_of(wanted, texts)
+    return save_stage(verified(pairs, held, options).unionByName(_crowded(crowded, held, options)))
 
 
 def near_classes(
@@ -317,21 +439,23 @@ def near_classes(
         F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
     ))
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
+    # A different hub in each bucket: the node that a hash of the bucket puts first.
     hubs = save_stage(
-        buckets.groupBy("bucket").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("size"))
-        .where(F.col("size") > 1)
+        buckets.groupBy("bucket").agg(
+            F.min(F.struct(F.xxhash64("bucket", "node").alias("h"), "node")).alias("first"),
+            F.count(F.lit(1)).alias("size"),
+        ).where(F.col("size") > 1).select("bucket", F.col("first.node").alias("hub"), "size")
     )
     members = save_stage(join_groups(buckets, hubs, ["bucket"], "size", n_nodes * options.bands))
-    stars = save_stage(
-        members.where(F.col("node") != F.col("hub"))
-        .select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    )
+    sketches = nodes.select("node", "sketch")
+    stars = _stars(members, sketches, options)
     texts = with_node(docs.select(F.col(text_col).alias("text")))
-    links = verified(stars, texts, options)
+    ends = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node")))
+    links = save_stage(verified(stars, texts_of(ends, texts), options))
     roots = components(links)
-    rest = _residual(members, roots, nodes.select("node", "sketch"), options)
+    rest = _residual(members, roots, nodes.select("node", "sketch", "bands"), texts, options)
     if rest is not None and not rest.isEmpty():
-        roots = components(links.unionByName(verified(rest, texts, options)))
+        roots = components(links.unionByName(rest))
     root = match(nodes.select("node", "copies"), roots, ["node"], "left").select(
         "node", "copies", F.coalesce("root", "node").alias("root")
     )
