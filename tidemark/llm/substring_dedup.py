@@ -17,15 +17,16 @@ shard, and a shard needs no other one: each automaton sees only the text that ca
 4. The words of repeated windows, the maximal spans, are removed.
 
 A crowded shard (a passage that thousands of documents lead into differently) would be an
-automaton of unbounded size. There equal windows are combined, as equal segments are in
-step 2, and all but their first place are repeats.
+automaton of unbounded size. Its segments are cut again at a longer anchor and go through
+the same steps in finer shards. Should one of these be crowded too, its equal windows are
+combined, as equal segments are in step 2, and all but their first place are repeats.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +34,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.groups import match
 from tidemark.llm.columns import WORD, join_groups, saved, text_of
 from tidemark.llm.exact_dedup import Bloom, bloom_filter, probe, repeat_filter
-from tidemark.llm.text_words import U, mix, slices, words_of
+from tidemark.llm.text_words import U, Words, mix, slices, words_of
 from tidemark.session import save_stage
 
 
@@ -57,8 +59,9 @@ SEGMENT = T.StructType([
     T.StructField("windows", T.IntegerType(), False),
     T.StructField("loops", T.BooleanType(), False),  # its anchor stands in it twice
     T.StructField("digest", T.LongType(), False),  # of its words
-    T.StructField("words", T.BinaryType(), False),  # 64-bit hashes
 ])
+WORDS = T.StructField("words", T.BinaryType(), False)  # 64-bit hashes
+SEGMENT_ARROW = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.binary()]
 
 
 @dataclass
@@ -80,7 +83,7 @@ def _sliding_min(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _segments(words, options: Passages) -> _Segments:
+def _segments(words: Words, options: Passages) -> _Segments:
     """Runs of windows with the same smallest anchor hash."""
     n, span = options.length, options.anchors
     total = len(words.hashes)
@@ -137,39 +140,47 @@ def _text_digests(texts: pa.Array) -> np.ndarray:
     return np.frombuffer(raw, np.int64)
 
 
-def _all_segments(docs: DataFrame, options: Passages) -> DataFrame:
+def _segment_lists(words: Words, options: Passages, n: int, with_words: bool) -> pa.Array:
+    """The segments of each text as a list of structs."""
+    s = _segments(words, options)
+    size = s.windows + options.length - 1
+    ends = np.concatenate([[0], np.cumsum(size)])
+    flat = words.hashes[np.arange(ends[-1]) + np.repeat(s.start - ends[:-1], size)]
+    # Position-dependent sum, mixed: the digest of a segment's words.
+    place = mix((np.arange(ends[-1]) - np.repeat(ends[:-1], size)).astype(U) + U(99))
+    sums = np.concatenate([[U(0)], np.cumsum(mix(flat ^ place), dtype=U)])
+    digest = mix(sums[ends[1:]] - sums[ends[:-1]] + size.astype(U)).view(np.int64)
+    columns = [
+        pa.array(s.route), pa.array((s.start - words.first[s.owner]).astype(np.int32)),
+        pa.array(s.windows.astype(np.int32)), pa.array(s.loops), pa.array(digest),
+    ]
+    fields = list(SEGMENT)
+    if with_words:
+        fields.append(WORDS)
+        columns.append(pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(size), [None, pa.py_buffer(ends * 8), pa.py_buffer(flat)]
+        ).cast(pa.binary()))
+    structs = pa.StructArray.from_arrays(
+        columns, fields=[pa.field(f.name, t, False) for f, t in zip(fields, SEGMENT_ARROW)]
+    )
+    return pa.ListArray.from_arrays(_lists(s.owner, n), structs)
+
+
+def _all_segments(docs: DataFrame, options: Passages, with_words: bool = False) -> DataFrame:
     """``id, text_digest`` and the segment columns, one row per segment."""
+    segment = T.StructType([*SEGMENT.fields, *([WORDS] if with_words else [])])
     schema = T.StructType([
         docs.schema["id"], T.StructField("text_digest", T.LongType(), False),
-        T.StructField("segments", T.ArrayType(SEGMENT, False), False),
+        T.StructField("segments", T.ArrayType(segment, False), False),
     ])
-    extra = options.length - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
-                words = words_of(batch.column("text"))
-                s = _segments(words, options)
-                size = s.windows + extra
-                ends = np.concatenate([[0], np.cumsum(size)])
-                at = np.arange(ends[-1]) + np.repeat(s.start - ends[:-1], size)
-                flat = words.hashes[at]
-                # Position-dependent sum, mixed: the digest of a segment's words.
-                place = mix((np.arange(ends[-1]) - np.repeat(ends[:-1], size)).astype(U) + U(99))
-                sums = np.concatenate([[U(0)], np.cumsum(mix(flat ^ place), dtype=U)])
-                digest = mix(sums[ends[1:]] - sums[ends[:-1]] + size.astype(U)).view(np.int64)
-                binary = pa.LargeBinaryArray.from_buffers(
-                    pa.large_binary(), len(size), [None, pa.py_buffer(ends * 8), pa.py_buffer(flat)]
-                ).cast(pa.binary())
-                structs = pa.StructArray.from_arrays(
-                    [pa.array(s.route), pa.array((s.start - words.first[s.owner]).astype(np.int32)),
-                     pa.array(s.windows.astype(np.int32)), pa.array(s.loops), pa.array(digest), binary],
-                    fields=[pa.field(f.name, t, False) for f, t in zip(
-                        SEGMENT, [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.binary()])],
-                )
+                texts = batch.column("text")
+                lists = _segment_lists(words_of(texts), options, len(batch), with_words)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id"), pa.array(_text_digests(batch.column("text"))),
-                     pa.ListArray.from_arrays(_lists(s.owner, len(batch)), structs)],
+                    [batch.column("id"), pa.array(_text_digests(texts)), lists],
                     names=["id", "text_digest", "segments"],
                 )
 
@@ -177,6 +188,30 @@ def _all_segments(docs: DataFrame, options: Passages) -> DataFrame:
     return rows.select("id", "text_digest", F.inline("segments"))
 
 
+def _finer_segments(segments: DataFrame, options: Passages) -> DataFrame:
+    """Segments cut again at the smallest hash of a longer anchor; with their words."""
+    segment = T.StructType([*SEGMENT.fields, WORDS])
+    schema = T.StructType([
+        *[segments.schema[c] for c in ("id", "text_digest", "start")],
+        T.StructField("segments", T.ArrayType(segment, False), False),
+    ])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [np.frombuffer(w.as_py(), np.uint64) for w in batch.column("words")]
+            first = np.concatenate([[0], np.cumsum([len(w) for w in held])]).astype(np.int64)
+            words = Words(np.concatenate(held) if held else np.empty(0, U), first)
+            lists = _segment_lists(words, options, len(batch), True)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.select(["id", "text_digest", "start"]).columns, lists],
+                names=["id", "text_digest", "start", "segments"],
+            )
+
+    cut = segments.select("id", "text_digest", "start", "words").mapInArrow(run, schema)
+    rows = cut.select("id", "text_digest", F.col("start").alias("__from"), F.inline("segments"))
+    return rows.withColumn("start", F.col("start") + F.col("__from")).drop("__from")
+
+
 class SuffixAutomaton:
     """Online suffix automaton over word hashes."""
 
@@ -271,15 +306,51 @@ def _at_place() -> Column:
     )
 
 
-def _crowded(rows: DataFrame, options: Passages) -> DataFrame:
-    """Repeated ranges of crowded shards: equal windows are combined, the first place stays."""
+def _combined(segments: DataFrame, total: int, options: Passages) -> tuple[DataFrame, DataFrame]:
+    """Equal segments combined: the repeated ranges of all but the first places, and the
+    different segments of shared shards at their first places."""
+    different = save_stage(segments.groupBy("route", "digest").agg(
+        F.min(_place()).alias("place"), F.count(F.lit(1)).alias("copies"),
+        F.first("windows").alias("windows"), F.first("loops").alias("loops"),
+    ))
+    joined = join_groups(
+        segments.select("id", "text_digest", "start", "route", "digest"),
+        different.select("route", "digest", "place", "copies", "windows").where(F.col("copies") > 1),
+        ["route", "digest"], "copies", total,
+    )
+    copies = joined.where(~_at_place()).select(
+        "id", "text_digest", F.col("start").alias("first"),
+        (F.col("start") + F.col("windows") + options.length - 1).alias("end"),
+    )
+    # Shards of several segments, or of one that may repeat itself.
+    routes = save_stage(different.groupBy("route").agg(
+        F.count(F.lit(1)).alias("segments"), F.max("loops").alias("any_loops")
+    ).where((F.col("segments") > 1) | F.col("any_loops")))
+    shared = join_groups(
+        different.select("route", "windows", "place"), routes, ["route"], "segments", different.count()
+    )
+    return copies, shared.select(
+        "route", "segments", "windows", "place.id", "place.text_digest", "place.start"
+    )
+
+
+def _automata(shards: DataFrame, options: Passages) -> DataFrame:
+    """Repeated ranges of the first places in shards of bounded size."""
+    partitions = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = shards.select("shard", "id", "text_digest", "start", "words").repartition(partitions, "shard")
+    return _stream(dealt.sortWithinPartitions(
+        "shard", F.col("id").asc_nulls_first(), "text_digest", "start"
+    ), options)
+
+
+def _single_windows(rows: DataFrame, options: Passages) -> DataFrame:
+    """Repeated ranges where even finer shards are crowded: equal windows are combined."""
     at = F.explode(F.sequence(F.lit(0), F.col("windows") - 1))
+    window = F.substring(F.col("words"), F.col("__at") * 8 + 1, F.lit(options.length * 8))
     windows, total = saved(
         rows.withColumn("__at", at)
-        .withColumns({
-            "window": F.xxhash64(F.substring(F.col("words"), F.col("__at") * 8 + 1, F.lit(options.length * 8))),
-            "start": F.col("start") + F.col("__at"),
-        }).select("route", "window", "id", "text_digest", "start")
+        .withColumns({"window": F.xxhash64(window), "start": F.col("start") + F.col("__at")})
+        .select("route", "window", "id", "text_digest", "start")
     )
     firsts = save_stage(
         windows.groupBy("route", "window").agg(F.min(_place()).alias("place"), F.count(F.lit(1)).alias("copies"))
@@ -291,6 +362,18 @@ def _crowded(rows: DataFrame, options: Passages) -> DataFrame:
     )
 
 
+def _with_words(docs: DataFrame, places: DataFrame, options: Passages) -> DataFrame:
+    """``places`` with the words of their segments, read from the documents again.
+
+    Only segments that a Bloom filter of the places lets through leave their task.
+    """
+    key = ["id", "text_digest", "start"]
+    mark = F.xxhash64(*key)
+    bloom = bloom_filter(places.select(mark.alias("h")), "h")
+    again = probe(_all_segments(docs, options, with_words=True), mark, bloom, "__may").where("__may")
+    return save_stage(match(places, again.select(*key, "words"), key, "inner").dropDuplicates(key))
+
+
 def repeated_ranges(docs: DataFrame, options: Passages = Passages()) -> DataFrame:
     """``id, text_digest, ranges``: word ranges to remove, for documents that have any.
 
@@ -298,35 +381,20 @@ def repeated_ranges(docs: DataFrame, options: Passages = Passages()) -> DataFram
     """
     bloom = repeat_filter(_routes(docs, options), "route")
     may = probe(_all_segments(docs, options), F.col("route"), bloom, "__may").where("__may")
-    segments, total = saved(may.drop("__may"))
-    different = save_stage(segments.groupBy("route", "digest").agg(
-        F.min(_place()).alias("place"), F.count(F.lit(1)).alias("copies"), F.first("windows").alias("windows"),
-        F.first("loops").alias("loops"), F.first("words").alias("words"),
-    ))
-    # Other places of a segment: every window stands earlier, at the first place.
-    joined = join_groups(
-        segments.select("id", "text_digest", "start", "route", "digest"),
-        different.select("route", "digest", "place", "copies", "windows").where(F.col("copies") > 1),
-        ["route", "digest"], "copies", total,
-    )
-    copies = joined.where(~_at_place()).select("id", "text_digest", F.col("start").alias("first"),
-             (F.col("start") + F.col("windows") + options.length - 1).alias("end"))
-    # Shards of several segments, or of one that may repeat itself.
-    routes = save_stage(different.groupBy("route").agg(
-        F.count(F.lit(1)).alias("segments"), F.max("loops").alias("any_loops")
-    ).where((F.col("segments") > 1) | F.col("any_loops")))
-    n = different.count()
-    shared = join_groups(different.drop("copies", "loops"), routes, ["route"], "segments", n).select(
-        "route", "segments", "windows", "words", "place.id", "place.text_digest", "place.start"
-    )
-    small = shared.where(F.col("segments") <= options.most_segments).withColumn("shard", F.col("route"))
-    crowded = _crowded(shared.where(F.col("segments") > options.most_segments), options)
-    shards = small.select("shard", "id", "text_digest", "start", "words")
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = shards.repartition(partitions, "shard").sortWithinPartitions(
-        "shard", F.col("id").asc_nulls_first(), "text_digest", "start"
-    )
-    ranges = copies.unionByName(_stream(dealt, options)).unionByName(crowded)
+    copies, shared = _combined(*saved(may.drop("__may")), options)
+    shared = _with_words(docs, save_stage(shared), options)
+    crowd = F.col("segments") > options.most_segments
+    ranges = copies.unionByName(_automata(shared.where(~crowd).withColumn("shard", F.col("route")), options))
+    if not shared.where(crowd).isEmpty():
+        finer = replace(options, anchor=max(options.anchor, options.length * 2 // 3))
+        pieces, total = saved(_finer_segments(shared.where(crowd), finer))
+        # A finer shard belongs to its coarse one, whose windows it holds.
+        copies, parts = _combined(pieces.drop("words"), total, finer)
+        key = ["id", "text_digest", "start"]
+        parts = save_stage(match(save_stage(parts), pieces.select(*key, "words"), key, "inner").dropDuplicates(key))
+        ranges = ranges.unionByName(copies).unionByName(
+            _automata(parts.where(~crowd).withColumn("shard", F.col("route")), finer)
+        ).unionByName(_single_windows(parts.where(crowd), finer))
     return save_stage(ranges.groupBy("id", "text_digest").agg(
         F.sort_array(F.collect_list(F.struct("first", "end"))).alias("ranges")
     ))
