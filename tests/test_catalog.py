@@ -4,6 +4,7 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from tests.check_queries import difference, duck
+from tidemark.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -17,7 +18,7 @@ def test_every_sql_has_a_query():
     assert set(oracle_sql()) <= set(queries())
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     ours = queries()[name](spark, SF).toPandas()
     assert len(ours)
@@ -26,10 +27,15 @@ def test_query(spark, con, name):
         assert difference(ours, con.execute(sql).df()) is None
 
 
-@pytest.mark.usefixtures("tiny_limits")
-@pytest.mark.parametrize(
-    "name", ["sample_index", "locf", "boxplot_stats", "mad_filter_pre", "trough_in_window", "profile"]
-)
+HOT = [
+    "sample_index", "locf", "boxplot_stats", "mad_filter_pre", "mad_filter_long", "trough_windows", "profile",
+    "baseline_median", "baseline_counts", "percent_of_baseline", "marker_relative_time", "between_markers",
+    "slice_min_ties", "recovery_curve", "cohort_summary", "cohort_split", "saved_duration_glm",
+]
+
+
+@pytest.mark.usefixtures("tiny_limits", "no_broadcast")
+@pytest.mark.parametrize("name", HOT)
 def test_query_with_hot_groups(spark, con, name):
     ours = queries()[name](spark, SF).toPandas()
     assert difference(ours, con.execute(oracle_sql()[name]).df()) is None

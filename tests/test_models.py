@@ -194,7 +194,49 @@ def test_class_totals_in_spark_equal_local(spark, monkeypatch):
     rows = simulated(4, range(4), missing={(0, 1)})
     local = fitted(spark, rows)
     monkeypatch.setattr(mixed_models, "MAX_LOCAL_TOTALS", 0)
-    monkeypatch.setattr(mixed_models, "_minimise", lambda f, a, b: math.log(local[1] / local[2]))
+    monkeypatch.setattr(mixed_models, "_minimise", lambda f, highest: math.log(local[1] / local[2]))
     remote = fitted(spark, rows)
     assert [r.estimate for r in remote[0]] == pytest.approx([r.estimate for r in local[0]])
     assert [r.df for r in remote[0]] == pytest.approx([r.df for r in local[0]], rel=1e-6)
+
+
+def test_steps_in_spark_are_few(spark, monkeypatch):
+    """The whole fit with every sum taken in Spark."""
+    rows = simulated(5, range(5), missing={(0, 1), (3, 2)})
+    local = fitted(spark, rows)
+    monkeypatch.setattr(mixed_models, "MAX_LOCAL_TOTALS", 0)
+    spark.sparkContext.setJobGroup("reml", "reml")
+    remote = fitted(spark, rows)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("reml"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [r.df for r in remote[0]] == pytest.approx([r.df for r in local[0]], rel=1e-6)
+    assert jobs <= 45
+
+
+def test_one_level_is_the_intercept_only(spark):
+    fixed, between, within = fitted(spark, [(f"f{i % 4}", 1, float(i % 4 * 3 + i % 3)) for i in range(40)])
+    assert [r.term for r in fixed] == ["(Intercept)"] and between > within > 0
+
+
+def test_fit_without_noise_is_open_about_it(spark):
+    fixed, between, within = fitted(spark, [(f"f{f}", b, float(f * f + b)) for f in range(5) for b in range(4)])
+    assert within == 0 and between == pytest.approx(np.var([0, 1, 4, 9, 16], ddof=1), rel=1e-3)
+    assert [r.estimate for r in fixed] == pytest.approx([6, 1, 2, 3])
+    assert all(math.isnan(r.df) and math.isnan(r.p_value) for r in fixed)
+
+
+def test_many_cells_and_levels(spark):
+    cells = spark.range(200_000).selectExpr("id % 500 AS a", "id DIV 500 AS b", "cast(id % 7 AS double) AS y")
+    fit = fit_linear(cells.selectExpr("a % 40 AS a", "b", "y"), "y", ["a", "b"]).fit.first()
+    assert (fit.n, fit.df_residual) == (200_000, 200_000 - 40 - 399)
+    many = spark.range(6_303).selectExpr("id % 2101 AS bin", "id % 4 AS file", "cast(id % 11 + id % 4 AS double) AS y")
+    assert fit_random_intercept(many, "y", "bin", "file").count() == 2103
+
+
+def test_constant_response_and_numeric_levels(spark):
+    df = spark.createDataFrame([(i % 12, 1.0) for i in range(40)], "f int, y double")
+    found = fit_linear(df, "y", ["f"])
+    assert [r.term for r in found.coefficients.collect()] == ["(Intercept)", *[f"f{i}" for i in range(1, 12)]]
+    row = found.fit.first()
+    assert (row.deviance, row.null_deviance, row.aic) == (0.0, 0.0, -math.inf)
+    assert all(math.isnan(r.statistic) for r in found.coefficients.collect())

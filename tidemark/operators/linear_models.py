@@ -1,12 +1,13 @@
 """Gaussian linear models on categorical factors.
 
-The response enters the normal equations only through its count, mean and variance
-per factor cell, so one aggregate over the rows is enough. The cell table has at most the
-product of the factor levels as rows, whatever the size of the data.
+Everything the normal equations need are counts of levels and of pairs of levels and the
+response's sums per level, which Spark aggregates from one table of factor cells. The driver
+holds a terms x terms matrix, however many cells there are.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -15,9 +16,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.columns import known
 from tidemark.operators.t_distribution import two_sided_p
+from tidemark.session import save_stage
 
-MAX_CELLS = 100_000  # the design of a larger factor table is not a driver-side matrix
+ALIASED = 1e-9  # share of a term's own sum of squares that earlier terms must leave
+NOISE_FREE = 1e-12  # deviance below this share of the null deviance is rounding
 
 COEFFICIENTS = "term string, estimate double, std_error double, statistic double, p_value double"
 FIT = (
@@ -40,46 +44,36 @@ class LinearFit:
 def fit_linear(df: DataFrame, response: str, factors: Sequence[str]) -> LinearFit:
     """``response ~ factor1 + factor2 ...`` with treatment contrasts.
 
-    The reference level of a factor is its first level in text order. Rows with a
-    missing response or factor are left out.
+    The reference level of a factor is its smallest level, numbers in numeric and text in
+    text order. Rows with a missing response or factor are left out. A fit without any
+    residual has an AIC of minus infinity, and no test.
     """
     spark = df.sparkSession
-    y = F.col(response).cast("double")
-    rows = df.select(*[F.col(f).cast("string").alias(f) for f in factors], y.alias("__y")).na.drop()
-    table = rows.groupBy(*factors).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("__y").alias("mean"), F.var_pop("__y").alias("variance")
-    )
-    cells = table.limit(MAX_CELLS + 1).collect()
-    if not cells:
+    y = known(F.col(response).cast("double"))
+    rows = df.select(*[F.col(f).alias(f) for f in factors], y.alias("__y")).na.drop()
+    cells = save_stage(rows.groupBy(*factors).agg(
+        F.count(F.lit(1)).alias("__n"), F.avg("__y").alias("__mean"), F.var_pop("__y").alias("__v")
+    ))
+    n = F.col("__n")
+    total, centre = cells.agg(F.sum("__n"), F.sum(n * F.col("__mean")) / F.sum("__n")).first()
+    if not total:
         raise ValueError("no complete rows to fit")
-    if len(cells) > MAX_CELLS:
-        raise ValueError(f"more than {MAX_CELLS} factor cells")
-
-    levels = [sorted({c[f] for c in cells}) for f in factors]
-    terms = ["(Intercept)"] + [f"{f}{v}" for f, vs in zip(factors, levels) for v in vs[1:]]
-    design = np.array(
-        [[1.0] + [float(c[f] == v) for f, vs in zip(factors, levels) for v in vs[1:]] for c in cells]
-    )
-    n = np.array([c["n"] for c in cells], dtype=float)
-    mean = np.array([c["mean"] for c in cells])
-    within = float(sum(c["n"] * c["variance"] for c in cells))
-
-    # A column that repeats earlier ones has no coefficient of its own.
-    kept: list[int] = []
-    for j in range(len(terms)):
-        if np.linalg.matrix_rank(design[:, [*kept, j]]) > len(kept):
-            kept.append(j)
-    design = design[:, kept]
-    total, p = int(n.sum()), len(kept)
-    centre = float(n @ mean / total)
-    inverse = np.linalg.inv(design.T @ (design * n[:, None]))
-    beta = inverse @ (design.T @ (n * (mean - centre)))
-    # Scatter within the cells plus the misfit of the cell means.
-    deviance = within + float(n @ (mean - centre - design @ beta) ** 2)
-    null_deviance = within + float(n @ (mean - centre) ** 2)
-    df_residual = total - p
+    # Centring the response keeps the sums of squares accurate.
+    off = F.col("__mean") - F.lit(centre)
+    cells = cells.withColumns({"__s": n * off, "__ss": n * (F.col("__v") + off * off)})
+    terms, xtx, xty = _normal_equations(cells, factors)
+    null_deviance = float(cells.agg(F.sum("__ss")).first()[0])
+
+    kept = _independent(xtx)
+    p, df_residual = len(kept), total - len(kept)
+    inverse = np.linalg.inv(xtx[np.ix_(kept, kept)])
+    beta = inverse @ xty[kept]
+    deviance = null_deviance - float(beta @ xty[kept])
+    if deviance <= NOISE_FREE * null_deviance:
+        deviance = 0.0
     dispersion = deviance / df_residual if df_residual else float("nan")
-    aic = total * (math.log(2 * math.pi * deviance / total) + 1) + 2 * (p + 1)
+    spread = math.log(2 * math.pi * deviance / total) if deviance else -math.inf
+    aic = total * (spread + 1) + 2 * (p + 1)
     errors = np.sqrt(dispersion * np.diag(inverse))
     beta[0] += centre
     out = [(t, None, None, None, None) for t in terms]
@@ -88,3 +82,38 @@ def fit_linear(df: DataFrame, response: str, factors: Sequence[str]) -> LinearFi
         out[j] = (terms[j], b, e, t, two_sided_p(t, df_residual))
     fit = [(total, null_deviance, total - 1, deviance, df_residual, dispersion, aic)]
     return LinearFit(spark.createDataFrame(out, COEFFICIENTS), spark.createDataFrame(fit, FIT))
+
+
+def _normal_equations(
+    cells: DataFrame, factors: Sequence[str]
+) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Term names, X'X and X'y from level and level-pair counts."""
+    place: list[dict] = []
+    terms, counts, sums = ["(Intercept)"], [], []
+    for f in factors:
+        label = F.col(f).cast("string").alias("__label")
+        found = cells.groupBy(F.col(f).alias("__f"), label).agg(F.sum("__n"), F.sum("__s")).collect()
+        found.sort(key=lambda r: r[0])
+        # The reference level has no term of its own.
+        place.append({r[0]: len(terms) + i - 1 for i, r in enumerate(found) if i})
+        terms += [f"{f}{r[1]}" for r in found[1:]]
+        counts += [float(r[2]) for r in found[1:]]
+        sums += [float(r[3]) for r in found[1:]]
+    total, whole = cells.agg(F.sum("__n"), F.sum("__s")).first()
+    xtx = np.diag([float(total), *counts])
+    xtx[0, 1:] = xtx[1:, 0] = counts
+    for (i, f), (j, g) in itertools.combinations(enumerate(factors), 2):
+        for a, b, both in cells.groupBy(f, g).agg(F.sum("__n")).collect():
+            if a in place[i] and b in place[j]:
+                xtx[place[i][a], place[j][b]] = xtx[place[j][b], place[i][a]] = float(both)
+    return terms, xtx, np.array([float(whole), *sums])
+
+
+def _independent(xtx: np.ndarray) -> list[int]:
+    """Terms that earlier ones do not determine, by elimination in order."""
+    rest, own, kept = xtx.copy(), np.diag(xtx).copy(), []
+    for j in range(len(xtx)):
+        if rest[j, j] > ALIASED * own[j]:
+            kept.append(j)
+            rest -= np.outer(rest[:, j], rest[j]) / rest[j, j]
+    return kept

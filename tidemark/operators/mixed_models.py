@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from tidemark.operators.t_distribution import two_sided_p
 from tidemark.session import save_stage
 
-MAX_LEVELS = 2_000  # the design matrix of the fixed effects lives on the driver
+PAIRS_AT_ONCE = 2_000_000  # level pairs of groups that a task folds in one step
+LARGEST_LOG_RATIO = 60.0  # beyond this the residual variance is taken as zero
 MAX_LOCAL_TOTALS = 2_000_000
+NOISE_FREE = 1e-7  # residual share of the response's variation that is rounding
 TIDY = (
     "effect string, group string, term string, estimate double, std_error double, "
     "statistic double, df double, p_value double"
@@ -32,8 +34,11 @@ TIDY = (
 def fit_random_intercept(df: DataFrame, response: str, factor: str, group: str) -> DataFrame:
     """Tidy coefficient table with Satterthwaite degrees of freedom.
 
-    Fixed effects use treatment contrasts against the first level. The last two
-    rows are the standard deviations of the intercepts and of the residuals.
+    Fixed effects use treatment contrasts against the first level; a factor of one level
+    has the intercept only. The last two rows are the standard deviations of the
+    intercepts and of the residuals. A fit without residual noise has no degrees of
+    freedom to estimate it by: ``df`` and ``p_value`` are NaN. The driver holds a levels x
+    levels matrix.
     """
     totals = _Totals.of(df, response, factor, group)
     fit = _Reml(totals).solve()
@@ -42,7 +47,7 @@ def fit_random_intercept(df: DataFrame, response: str, factor: str, group: str)
     for j, term in enumerate(terms):
         estimate, error = float(fit.beta[j]), math.sqrt(fit.covariance[j, j])
         estimate += totals.centre if j == 0 else 0.0
-        t, dof = estimate / error, float(fit.dof[j])
+        t, dof = estimate / error if error else float("nan"), float(fit.dof[j])
         fixed.append(("fixed", None, term, estimate, error, t, dof, two_sided_p(t, dof)))
     spread = [
         ("ran_pars", group, "sd__(Intercept)", math.sqrt(fit.between)),
@@ -62,7 +67,7 @@ class _Totals:
     xtx: np.ndarray
     xty: np.ndarray
     yty: float
-    weigh: Callable[[Callable], np.ndarray]
+    weigh: Callable[[list], list[np.ndarray]]
 
     @classmethod
     def of(cls, df: DataFrame, response: str, factor: str, group: str) -> _Totals:
@@ -82,9 +87,9 @@ class _Totals:
             "g", "f", "n", (F.col("n") * off).alias("s"), (F.col("n") * (F.col("v") + off * off)).alias("ss")
         )
         per_level = cells.groupBy("f").agg(F.sum("n"), F.sum("s"), F.sum("ss"))
-        found = sorted(map(tuple, per_level.limit(MAX_LEVELS + 1).collect()))
-        if not 1 < len(found) <= MAX_LEVELS:
-            raise ValueError(f"{len(found)} levels of {factor}; need 2 to {MAX_LEVELS}")
+        found = sorted(map(tuple, per_level.collect()))
+        if not found:
+            raise ValueError("no complete rows to fit")
         levels = [r[0] for r in found]
         n, s, ss = (np.array([r[i] for r in found], dtype=float) for i in (1, 2, 3))
         classes = save_stage(_class_totals(cells, levels))
@@ -119,41 +124,55 @@ def _class_totals(cells: DataFrame, levels: list) -> DataFrame:
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            x = np.zeros((len(batch), p))
-            if len(batch):
-                owner = np.repeat(np.arange(len(batch)), batch["i"].map(len))
-                x[owner, np.concatenate(batch["i"].to_list())] = np.concatenate(batch["n"].to_list())
-            t = batch["t"].to_numpy()
-            sizes = x.sum(axis=1)
-            for size in np.unique(sizes):
-                members = sizes == size
-                xs, ts = x[members], t[members]
-                total = np.concatenate(
-                    [(xs.T @ xs).ravel(), xs.T @ ts, [ts @ ts, float(members.sum())]]
-                )
-                yield pd.DataFrame(
-                    {"size": int(size), "pos": np.arange(total.size), "total": total}
-                )[total != 0]
-
-    partial = vectors.select("i", "n", "t").mapInPandas(fold, "size long, pos int, total double")
+            lengths = batch["i"].map(len).to_numpy()
+            # Groups in runs of bounded pair count; a group is p*p pairs at most.
+            run = np.cumsum(lengths.astype(np.int64) ** 2) // PAIRS_AT_ONCE
+            for _, part in batch.groupby(run):
+                yield _fold(part, p)
+
+    partial = vectors.select("i", "n", "t").mapInPandas(fold, "size long, pos long, total double")
     return partial.groupBy("size", "pos").agg(F.sum("total").alias("total"))
 
 
-def _weigher(classes: DataFrame, p: int) -> Callable[[Callable], np.ndarray]:
-    """``weigh(w)`` sums every cross product times ``w(group size)``."""
+def _fold(groups: pd.DataFrame, p: int) -> pd.DataFrame:
+    """Sums of the groups' cross products by group size and position; only level pairs
+    that a group has are formed."""
+    size, pos, value = [], [], []
+    for i, n, t in zip(groups["i"], groups["n"], groups["t"]):
+        i, n = np.asarray(i, np.int64), np.asarray(n, float)
+        pairs = (i[:, None] * p + i).ravel()
+        pos += [pairs, p * p + i, [p * p + p, p * p + p + 1]]
+        value += [np.outer(n, n).ravel(), n * t, [t * t, 1.0]]
+        size.append(np.full(len(pairs) + len(i) + 2, int(n.sum())))
+    if not size:
+        return pd.DataFrame({"size": [], "pos": [], "total": []}).astype({"size": int, "pos": int})
+    frame = pd.DataFrame(
+        {"size": np.concatenate(size), "pos": np.concatenate(pos), "total": np.concatenate(value)}
+    )
+    return frame.groupby(["size", "pos"], as_index=False)["total"].sum()
+
+
+Weight = Callable[[object], object]
+
+
+def _weigher(classes: DataFrame, p: int) -> Callable[[list[Weight]], list[np.ndarray]]:
+    """``weigh(ws)`` sums every cross product times ``w(group size)`` for each w in ws.
+
+    All weights are taken in one pass, one aggregate in Spark.
+    """
     width = p * p + p + 2
     if classes.count() <= MAX_LOCAL_TOTALS:
         local = classes.toPandas()
         size, pos = local["size"].to_numpy(dtype=float), local["pos"].to_numpy()
         value = local["total"].to_numpy()
-        return lambda w: np.bincount(pos, weights=value * w(size), minlength=width)
+        return lambda ws: [np.bincount(pos, weights=value * w(size), minlength=width) for w in ws]
 
-    def distributed(w: Callable[[Column], Column]) -> np.ndarray:
-        weighted = classes.groupBy("pos").agg(F.sum(F.col("total") * w(F.col("size"))).alias("v"))
-        out = np.zeros(width)
-        for pos, value in weighted.collect():
-            out[pos] = value
-        return out
+    def distributed(ws: list[Weight]) -> list[np.ndarray]:
+        sums = [F.sum(F.col("total") * w(F.col("size"))).alias(f"v{k}") for k, w in enumerate(ws)]
+        out = np.zeros((len(ws), width))
+        for pos, *values in classes.groupBy("pos").agg(*sums).collect():
+            out[:, pos] = values
+        return list(out)
 
     return distributed
 
@@ -174,44 +193,61 @@ class _Reml:
         self.t = totals
         self.p = len(totals.levels)
 
-    def _weighted(self, w: Callable) -> tuple[np.ndarray, np.ndarray, float, float]:
+    def _parts(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float]:
         p = self.p
-        v = self.t.weigh(w)
         xx = _treatment(v[: p * p].reshape(p, p))
         return xx, _treatment(v[p * p : p * p + p]), v[-2], v[-1]
 
-    def _log_sum(self, ratio: float) -> float:
-        """Sum of log(1 + size * ratio) over the groups."""
-        return self._weighted(lambda n: _log1p(n * ratio))[3]
-
-    def profile(self, ratio: float) -> tuple[float, float]:
-        """Deviance and residual variance at the best fit for between / within."""
-        xx, xt, tt, _ = self._weighted(lambda n: ratio / (1 + n * ratio))
-        a, r, q = self.t.xtx - xx, self.t.xty - xt, self.t.yty - tt
-        rest = q - r @ np.linalg.solve(a, r)
+    def profiles(self, ratios: list[float]) -> list[tuple[float, float]]:
+        """Deviance and residual variance at the best fit for each between / within."""
+        weights: list[Weight] = []
+        for ratio in ratios:
+            weights += [lambda n, r=ratio: r / (1 + n * r), lambda n, r=ratio: _log1p(n * r)]
+        sums = self.t.weigh(weights)
         free = self.t.rows - self.p
-        within = rest / free
-        sign, log_det = np.linalg.slogdet(a)
-        return free * (math.log(2 * math.pi * within) + 1) + self._log_sum(ratio) + log_det, within
+        out = []
+        for k in range(len(ratios)):
+            xx, xt, tt, _ = self._parts(sums[2 * k])
+            a, r, q = self.t.xtx - xx, self.t.xty - xt, self.t.yty - tt
+            fitted, log_det = _quadratic(a, r)
+            within = max(q - fitted, 0.0) / free if free else 0.0
+            spread = math.log(2 * math.pi * within) if within else -math.inf
+            out.append((free * (spread + 1) + sums[2 * k + 1][-1] + log_det, within))
+        return out
+
+    def gradients(self, points: list[tuple[float, float]]) -> list[tuple]:
+        """Deviance gradient, the covariance of beta with its derivatives, and beta at each
+        (between, within)."""
+        weights: list[Weight] = []
+        for b, w in points:
+            weights += [
+                lambda n, b=b, w=w: b / (w + n * b),
+                lambda n, b=b, w=w: w / (w + n * b) ** 2,
+                lambda n, b=b, w=w: -b / (w + n * b) ** 2,
+                lambda n, b=b, w=w: n / (w + n * b),
+                lambda n, b=b, w=w: 1 / (w + n * b),
+                lambda n: n * 0 + 1,
+            ]
+        sums = self.t.weigh(weights)
+        return [
+            self._gradient(between, within, [self._parts(v) for v in sums[6 * k : 6 * k + 6]])
+            for k, (between, within) in enumerate(points)
+        ]
 
-    def gradient(self, between: float, within: float):
-        """Deviance gradient, and the covariance of beta with its derivatives."""
+    def _gradient(self, between: float, within: float, sums: list) -> tuple:
         t = self.t
-        xx, xt, tt, _ = self._weighted(lambda n: between / (within + n * between))
+        xx, xt, tt, _ = sums[0]
         a, r = (t.xtx - xx) / within, (t.xty - xt) / within
         q = (t.yty - tt) / within
         c = np.linalg.inv(a)
         beta = c @ r
-        bxx, bxt, btt, _ = self._weighted(lambda n: within / (within + n * between) ** 2)
-        wxx, wxt, wtt, _ = self._weighted(lambda n: -between / (within + n * between) ** 2)
+        bxx, bxt, btt, _ = sums[1]
+        wxx, wxt, wtt, _ = sums[2]
         slopes = [
             (-bxx / within, -bxt / within, -btt / within),
             (-a / within - wxx / within, -r / within - wxt / within, -q / within - wtt / within),
         ]
-        groups_b = self._weighted(lambda n: n / (within + n * between))[3]
-        groups_w = self._weighted(lambda n: 1 / (within + n * between))[3]
-        count = self._weighted(lambda n: n * 0 + 1)[3]
-        logs = [groups_b, (t.rows - count) / within + groups_w]
+        logs = [sums[3][3], (t.rows - sums[5][3]) / within + sums[4][3]]
         grad = np.array(
             [
                 dq - 2 * dr @ beta + beta @ da @ beta + dlog + np.trace(c @ da)
@@ -221,59 +257,97 @@ class _Reml:
         return grad, c, [-c @ da @ c for da, _, _ in slopes], beta
 
     def solve(self) -> _Fit:
-        log_ratio = _minimise(lambda z: self.profile(math.exp(z))[0], -18.0, 18.0)
+        (_, at_most), = self.profiles([math.exp(18.0)])
+        if at_most * self.t.rows <= NOISE_FREE * self.t.yty:
+            return self._without_noise()
+        log_ratio = _minimise(
+            lambda zs: [d for d, _ in self.profiles([math.exp(z) for z in zs])], LARGEST_LOG_RATIO
+        )
         ratio = math.exp(log_ratio)
-        if self.profile(0.0)[0] <= self.profile(ratio)[0]:
-            ratio = 0.0  # no variation between groups: ordinary least squares
-        within = self.profile(ratio)[1]
-        between = ratio * within
-        _, c, (dc_between, dc_within), beta = self.gradient(between, within)
-        if ratio == 0.0:
+        (none, at_none), (best, at_best) = self.profiles([0.0, ratio])
+        if none <= best and at_none > 0:
+            ratio, at_best = 0.0, at_none  # no variation between groups: ordinary least squares
+        if not at_best or log_ratio >= LARGEST_LOG_RATIO - 1:
+            return self._without_noise()
+        between, within = ratio * at_best, at_best
+        if ratio:
+            between, within, hessian = self._polished(between, within)
+        _, c, (dc_between, dc_within), beta = self.gradients([(between, within)])[0]
+        if not ratio:
             dof = np.full(self.p, float(self.t.rows - self.p))
             return _Fit(beta, c, between, within, dof)
-        hessian = self._hessian(between, within)
         v = 2 * np.linalg.inv(hessian)
         g = np.stack([np.diag(dc_between), np.diag(dc_within)])
         dof = 2 * np.diag(c) ** 2 / np.einsum("ij,ik,kj->j", g, v, g)
         return _Fit(beta, c, between, within, dof)
 
-    def _hessian(self, between: float, within: float) -> np.ndarray:
-        """Central differences of the exact gradient, extrapolated once."""
-
-        def column(axis: int, h: float) -> np.ndarray:
-            step = np.zeros(2)
-            step[axis] = h
-            up = self.gradient(between + step[0], within + step[1])[0]
-            down = self.gradient(between - step[0], within - step[1])[0]
-            return (up - down) / (2 * h)
-
-        columns = []
-        for axis, at in enumerate((between, within)):
-            h = 1e-3 * at
-            columns.append((4 * column(axis, h / 2) - column(axis, h)) / 3)
-        matrix = np.stack(columns)
-        return (matrix + matrix.T) / 2
+    def _without_noise(self) -> _Fit:
+        """Levels and groups explain every row: the intercepts' variance is all there is."""
+        ratio = math.exp(18.0)
+        (_, within), = self.profiles([ratio])
+        _, c, _, beta = self.gradients([(1.0, 1 / ratio)])[0]
+        return _Fit(beta, c * within * ratio, within * ratio, 0.0, np.full(self.p, np.nan))
+
+    def _polished(self, between: float, within: float) -> tuple[float, float, np.ndarray]:
+        """Newton steps on the exact gradient; the Hessian at the point reached."""
+        at = np.array([between, within])
+        for _ in range(3):
+            hessian, gradient = self._hessian(*at)
+            step = np.linalg.solve(hessian, gradient)
+            if np.any(np.abs(step) > 0.01 * at) or np.all(np.abs(step) < 1e-9 * at):
+                break
+            at = at - step
+        return float(at[0]), float(at[1]), hessian
+
+    def _hessian(self, between: float, within: float) -> tuple[np.ndarray, np.ndarray]:
+        """Central differences of the exact gradient, extrapolated once; and the gradient."""
+        at = np.array([between, within])
+        points, steps = [at], []
+        for axis in range(2):
+            for share in (1e-3, 5e-4):
+                step = np.zeros(2)
+                step[axis] = share * at[axis]
+                steps.append(step[axis])
+                points += [at + step, at - step]
+        found = [g for g, *_ in self.gradients([tuple(x) for x in points])]
+        slope = [(found[2 * k + 1] - found[2 * k + 2]) / (2 * h) for k, h in enumerate(steps)]
+        matrix = np.stack([(4 * slope[2 * a + 1] - slope[2 * a]) / 3 for a in range(2)])
+        return (matrix + matrix.T) / 2, found[0]
+
+
+def _quadratic(a: np.ndarray, r: np.ndarray) -> tuple[float, float]:
+    """r' a^-1 r and log det a, from one factorisation.
+
+    At extreme ratios the intercept's equation is rounding and the factor may not exist.
+    """
+    try:
+        root = np.linalg.cholesky(a)
+        half = np.linalg.solve(root, r)
+        return float(half @ half), 2 * float(np.log(np.diag(root)).sum())
+    except np.linalg.LinAlgError:
+        sign, log_det = np.linalg.slogdet(a)
+        return float(r @ np.linalg.lstsq(a, r)[0]), log_det if sign > 0 else math.inf
 
 
 def _log1p(x):
     return F.log1p(x) if isinstance(x, Column) else np.log1p(x)
 
 
-def _minimise(f: Callable[[float], float], low: float, high: float) -> float:
-    """Best grid point, refined by golden section."""
-    grid = np.linspace(low, high, 37)
-    best = int(np.argmin([f(z) for z in grid]))
-    a, b = grid[max(best - 1, 0)], grid[min(best + 1, len(grid) - 1)]
-    shrink = (math.sqrt(5) - 1) / 2
-    x1, x2 = b - shrink * (b - a), a + shrink * (b - a)
-    f1, f2 = f(x1), f(x2)
-    while b - a > 1e-9:
-        if f1 < f2:
-            b, x2, f2 = x2, x1, f1
-            x1 = b - shrink * (b - a)
-            f1 = f(x1)
-        else:
-            a, x1, f1 = x1, x2, f2
-            x2 = a + shrink * (b - a)
-            f2 = f(x2)
-    return (a + b) / 2
+def _minimise(f: Callable[[list[float]], list[float]], highest: float) -> float:
+    """Smallest point of a wide grid, refined by ever finer grids.
+
+    ``f`` values many points in one pass. The grid is widened up to ``highest`` while its
+    best point is the last one.
+    """
+    low, high = -18.0, 18.0
+    while True:
+        grid = np.linspace(low, high, 37)
+        best = int(np.argmin(f(list(grid))))
+        if best < len(grid) - 1 or high >= highest:
+            break
+        low, high = high - 1, min(high + 36, highest)
+    while grid[1] - grid[0] > 1e-4:  # Newton steps finish the search
+        a, b = grid[max(best - 1, 0)], grid[min(best + 1, len(grid) - 1)]
+        grid = np.linspace(a, b, 11)
+        best = int(np.argmin(f(list(grid))))
+    return float(grid[best])

@@ -15,6 +15,8 @@ from dataclasses import replace
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.window import Window
 
 from tidemark.functions.columns import (
     after_marker,
@@ -25,7 +27,7 @@ from tidemark.functions.columns import (
     mentions,
     root,
 )
-from tidemark.groups import by_size
+from tidemark.groups import attach, by_size, match
 from tidemark.operators import baseline, cohorts, epochs, markers, outliers, recovery, summaries
 from tidemark.operators import timebase, troughs
 from tidemark.operators.linear_models import fit_linear
@@ -34,6 +36,7 @@ from tidemark.operators.roles import Roles
 from tidemark.plans import recordings as plans
 from tidemark.session import save_stage, stage_folder
 from tidemark.sources.recordings import RECORDING_COLUMNS, clean_recordings, read_recordings
+from tidemark.sources.tables import load_table, save_table
 
 DAY = 86400.0
 ROLES = Roles("user_id", "t", "value", "comment", ("event_id",))
@@ -136,7 +139,8 @@ def _write_recordings(events: DataFrame) -> str:
 def scan_recordings(spark, sf):
     raw = read_recordings(spark, _write_recordings(table(spark, sf, "events")))
     return raw.select(
-        "time", F.col("raw_eeg").alias("event_text"), F.col("alpha").alias("alpha_text"), "comments"
+        "time", F.col("raw_eeg").alias("event_text"), F.col("alpha").alias("alpha_text"), "comments",
+        F.col("source_file").rlike(r"^part-[^/]*[.]csv$").alias("named"),
     )
 
 
@@ -156,27 +160,24 @@ def relative_time(spark, sf):
     return timed(spark, sf).select("user_id", "event_id", _r(F.col("t"), "t"))
 
 
-def _marker_times(df):
-    return markers.marker_times(
-        df, ROLES, first_exact=_exact("error high"), first_mention=mentions(F.col("comment"), "ERROR"),
-        first_second=_exact("purchase high"),
-    )
-
-
 def marker_first(spark, sf):
-    times = _marker_times(timed(spark, sf))
+    times = markers.marker_times_of_clock(
+        samples(spark, sf), ROLES, "clock", first_exact=_exact("error high"),
+        first_mention=mentions(F.col("comment"), "ERROR"), first_second=_exact("purchase high"),
+    ).drop("start_clock")
     return times.select("user_id", *[_r(F.col(c), c) for c in times.columns[1:]])
 
 
 def marker_relative_time(spark, sf):
-    df = timed(spark, sf)
-    shifted = timebase.shift_to_marker(df, _marker_times(df), ROLES, "first_exact")
+    shifted = per_recording(samples(spark, sf), lambda df, s: timebase.since_marker(
+        df, ROLES, _exact("error high"), stats=s
+    ))
     return shifted.select("user_id", "event_id", _r(F.col("marker_time"), "marker_time"))
 
 
 def marker_interval(spark, sf):
     found = markers.marker_interval(
-        timed(spark, sf), ROLES, _exact("error high"), _exact("purchase high")
+        samples(spark, sf), ROLES, _exact("error high"), _exact("purchase high"), "clock"
     )
     return found.select("user_id", _r(F.col("interval"), "interval"))
 
@@ -198,8 +199,11 @@ def crop_around_marker(spark, sf):
 
 
 def first_per_group(spark, sf):
-    df = timed(spark, sf).select("user_id", "comment", "t", "event_id", "value")
-    return markers.first_per_group(df, ["user_id", "comment"], ["t", "event_id"]).select(
+    """First row of each user and comment; a user's start is the earliest of these rows."""
+    df = samples(spark, sf).select("user_id", "comment", "clock", "event_id", "value")
+    first = markers.first_per_group(df, ["user_id", "comment"], ["clock", "event_id"])
+    start = F.min("clock").over(Window.partitionBy("user_id"))  # a row per comment
+    return first.withColumn("t", F.col("clock") - start).select(
         "user_id", "comment", "event_id", "value", _r(F.col("t"), "t")
     )
 
@@ -254,7 +258,9 @@ def _bands(spark, sf):
 
 
 def mad_filter_long(spark, sf):
-    kept = outliers.mad_filter(_bands(spark, sf), ["l_suppkey", "band"], "power", 1.0)
+    wide = table(spark, sf, "lineitem").select("l_suppkey", *BANDS)
+    kept = outliers.mad_filter_columns(wide, ["l_suppkey"], BANDS, 1.0)
+    kept = epochs.to_long(kept, BANDS, ["l_suppkey"]).where(F.col("power").isNotNull())
     return kept.groupBy("l_suppkey", "band").agg(
         F.count(F.lit(1)).alias("kept"), _r(F.sum("power"), "total")
     )
@@ -345,8 +351,16 @@ def _protocol_epochs(protocol):
 
 
 def post_event_percent(spark, sf):
+    return _post_event(spark, sf, False)
+
+
+def post_event_percent_mad(spark, sf):
+    return _post_event(spark, sf, True)
+
+
+def _post_event(spark, sf, apply_mad):
     found = plans.post_event_percent(
-        samples(spark, sf), TWO_MARKERS, "signup high", "error high", ROLES, "clock", 3600.0
+        samples(spark, sf), TWO_MARKERS, "signup high", "error high", ROLES, "clock", 3600.0, apply_mad
     )
     return found.select("user_id", "all_count", _r(F.col("pct_value"), "pct_value"))
 
@@ -402,27 +416,68 @@ def epoch_lmm(spark, sf):
 # --- troughs ---------------------------------------------------------------------
 
 
-def _troughs(df):
-    lo = F.pmod(F.col("user_id"), F.lit(7)) * DAY
-    windows = df.select("user_id").distinct().select(
-        "user_id", lo.alias("lo"), (lo + 10 * DAY).alias("hi")
-    )
-    return troughs.trough_in_windows(df, windows, ROLES)
+CLOCKED = replace(ROLES, time="clock")
+
+
+def _marked(spark, sf):
+    """Start of each recording on the clock and its first error, one aggregate."""
+    return save_stage(markers.marker_times_of_clock(
+        samples(spark, sf), ROLES, "clock", slurry_time=mentions(F.col("comment"), "error")
+    ))
+
+
+def _troughs(spark, sf, marked, spans):
+    """Troughs in windows of (start, end) days after the start, found on the raw clock."""
+    windows = marked.select("user_id", F.explode(F.array(*[
+        F.struct((F.col("start_clock") + lo).alias("lo"), (F.col("start_clock") + hi).alias("hi"))
+        for lo, hi in spans
+    ])).alias("w")).select("user_id", "w.lo", "w.hi")
+    found = attach(troughs.trough_in_windows(samples(spark, sf), windows, CLOCKED), marked, ["user_id"])
+    start = F.col("start_clock")
+    return found.withColumns({
+        **{c: F.round(F.col(c) - start, 3) for c in ("lo", "hi")}, "noise_time": F.col("noise_time") - start,
+    })
+
+
+def _week(shift=0.0):
+    lo = (F.pmod(F.col("user_id"), F.lit(7)) + shift) * DAY
+    return lo, lo + 10 * DAY
 
 
 def trough_in_window(spark, sf):
-    return _troughs(timed(spark, sf)).select(
+    return _troughs(spark, sf, _marked(spark, sf), [_week()]).select(
         "user_id", "lo", "hi", "event_id", "value", _r(F.col("noise_time"), "noise_time")
     )
 
 
+def trough_windows(spark, sf):
+    """Three overlapping windows per user, the last a long one."""
+    long = (F.lit(0.0), F.lit(25 * DAY))
+    return _troughs(spark, sf, _marked(spark, sf), [_week(), _week(4.0), long]).select(
+        "user_id", "lo", "hi", "event_id", "value", _r(F.col("noise_time"), "noise_time")
+    )
+
+
+def _durations(spark, sf):
+    marked = _marked(spark, sf)
+    found = _troughs(spark, sf, marked, [_week()]).drop("slurry_time")
+    found = found.withColumn("fixed", F.when(F.pmod("user_id", F.lit(5)) == 0, F.lit(1.0)))
+    return troughs.trough_duration(found, marked, "user_id", "slurry_time", "fixed")
+
+
 def trough_duration(spark, sf):
     """Trough minus first error; one cohort's durations are fixed at 1."""
-    df = timed(spark, sf)
-    found = _troughs(df).withColumn("fixed", F.when(F.pmod("user_id", F.lit(5)) == 0, F.lit(1.0)))
-    anchors = markers.marker_times(df, ROLES, slurry_time=mentions(F.col("comment"), "error"))
-    done = troughs.trough_duration(found, anchors, "user_id", "slurry_time", "fixed")
-    return done.select("user_id", _r(F.col("total"), "total"))
+    return _durations(spark, sf).select("user_id", _r(F.col("total"), "total"))
+
+
+def saved_duration_glm(spark, sf):
+    """Durations written as CSV, read again and fitted by cohort."""
+    path = f"{stage_folder(spark)}/durations-{uuid.uuid4().hex}"
+    cohort = F.pmod("user_id", F.lit(3)).cast("string")
+    save_table(_durations(spark, sf).select("user_id", cohort.alias("cohort"), "total"), path, "csv")
+    schema = StructType([StructField("user_id", LongType()), StructField("cohort", StringType()),
+                         StructField("total", DoubleType())])
+    return _model(fit_linear(load_table(spark, path, schema, "csv"), "total", ["cohort"]))
 
 
 # --- recovery --------------------------------------------------------------------
@@ -439,20 +494,28 @@ def _stages(spark, sf):
 
 
 def recovery_grid(spark, sf):
-    seen = _stages(spark, sf)
-    return recovery.recovery_grid(seen, "user_id", "cohort", [0, 1], 31).select(
+    seen = save_stage(_stages(spark, sf))
+    n_bins = recovery.bin_count(seen, "t", DAY)
+    return recovery.recovery_grid(seen, "user_id", "cohort", [0, 1], n_bins).select(
         "user_id", F.col("cohort").cast("long").alias("cohort"), "bin"
     )
 
 
 def locf(spark, sf):
-    seen = recovery.with_bin(_stages(spark, sf), "t", DAY)
-    filled = recovery.filled_grid(seen, "user_id", "cohort", "stage", [0, 1], 31)
+    seen = recovery.with_bin(save_stage(_stages(spark, sf)), "t", DAY)
+    n_bins = recovery.bin_count(seen, "t", DAY)
+    filled = recovery.filled_grid(seen, "user_id", "cohort", "stage", [0, 1], n_bins)
     return filled.select("user_id", F.col("cohort").cast("long").alias("cohort"), "bin", "stage")
 
 
 def recovery_curve(spark, sf):
-    seen = save_stage(_stages(spark, sf))
+    """All users are subjects; a stage that a user never reached has no time."""
+    users = table(spark, sf, "events").select("user_id").distinct().select(
+        "user_id", F.explode(F.array(*map(F.lit, STAGES))).alias("stage"),
+        F.pmod("user_id", F.lit(2)).alias("cohort"),
+    )
+    reached = _stages(spark, sf).drop("cohort")
+    seen = save_stage(match(users, reached, ["user_id", "stage"], "left"))
     curve = recovery.recovery_curve(seen, "user_id", "cohort", "stage", "t", STAGES, DAY)
     return curve.select("cohort", "stage", "bin", "bin_mid", _r(F.col("proportion"), "proportion"))
 
@@ -490,9 +553,17 @@ def cohort_split(spark, sf):
     cohort = table(spark, sf, "customer").where(F.col("c_mktsegment") == "BUILDING")
     cohort = cohort.select(F.col("c_custkey").alias("o_custkey"))
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    inside = cohorts.members(orders, cohort, "o_custkey").withColumn("cohort", F.lit("building"))
-    outside = cohorts.non_members(orders, cohort, "o_custkey").withColumn("cohort", F.lit("other"))
-    return inside.unionByName(outside, allowMissingColumns=True)
+    return cohorts.split_cohort(orders, cohort, "o_custkey", "building", "other")
+
+
+def cohort_members(spark, sf):
+    """Orders of one segment's customers that are not in debt."""
+    customers = table(spark, sf, "customer")
+    key = F.col("c_custkey").alias("o_custkey")
+    building = customers.where(F.col("c_mktsegment") == "BUILDING").select(key)
+    debt = customers.where(F.col("c_acctbal") < 0).select(key)
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    return cohorts.non_members(cohorts.members(orders, building, "o_custkey"), debt, "o_custkey")
 
 
 def cohort_label(spark, sf):
@@ -551,7 +622,7 @@ def log_histogram(spark, sf):
 
 
 def _model(fit):
-    numbers = ["estimate", "std_error", "statistic", "null_deviance", "deviance", "dispersion", "aic"]
+    numbers = ["estimate", "std_error", "statistic", "p_value", "null_deviance", "deviance", "dispersion", "aic"]
     return fit.summary().select("term", "n", "df_null", "df_residual", *[_r(F.col(c), c) for c in numbers])
 
 
@@ -564,6 +635,16 @@ def stage_glm(spark, sf):
     return _model(fit_linear(events, "value", ["event_type", "cohort"]))
 
 
+def cell_lmm(spark, sf):
+    """Mean log price by priority (groups) and status (levels), a complete grid."""
+    cells = table(spark, sf, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(
+        F.avg(F.log("o_totalprice")).alias("y")
+    )
+    fit = fit_random_intercept(cells, "y", "o_orderstatus", "o_orderpriority")
+    numbers = ["estimate", "std_error", "statistic", "df", "p_value"]
+    return fit.select("effect", "group", "term", *[F.round(F.col(n), 4).alias(n) for n in numbers])
+
+
 # --- the larger table ------------------------------------------------------------
 
 
@@ -631,6 +712,7 @@ QUERIES: dict[str, Query] = {
     "epochs_two_markers": _protocol_epochs(TWO_MARKERS),
     "epochs_recovery": _protocol_epochs(RECOVERY),
     "post_event_percent": post_event_percent,
+    "post_event_percent_mad": post_event_percent_mad,
     "event_versus_baseline": event_versus_baseline,
     "event_glm": event_glm,
     "band_long": band_long,
@@ -638,8 +720,11 @@ QUERIES: dict[str, Query] = {
     "sqrt_transform": sqrt_transform,
     "epoch_model_input": epoch_model_input,
     "epoch_lmm": epoch_lmm,
+    "cell_lmm": cell_lmm,
     "trough_in_window": trough_in_window,
+    "trough_windows": trough_windows,
     "trough_duration": trough_duration,
+    "saved_duration_glm": saved_duration_glm,
     "recovery_grid": recovery_grid,
     "locf": locf,
     "recovery_curve": recovery_curve,
@@ -647,6 +732,7 @@ QUERIES: dict[str, Query] = {
     "condition_tag": condition_tag,
     "regex_filter": regex_filter,
     "cohort_split": cohort_split,
+    "cohort_members": cohort_members,
     "cohort_label": cohort_label,
     "cohort_summary": cohort_summary,
     "cohort_range": cohort_range,

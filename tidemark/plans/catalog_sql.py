@@ -109,6 +109,13 @@ troughs AS (SELECT user_id, lo, hi, event_id, value, t AS noise_time
   FROM rel JOIN windows USING (user_id) WHERE t BETWEEN lo AND hi
   QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value, t, event_id) = 1)"""
 
+TOTALS = """
+a AS (SELECT user_id, min(t) FILTER (WHERE regexp_matches(comment, 'error', 'i')) AS slurry_time
+      FROM rel GROUP BY user_id),
+totals AS (SELECT * FROM (SELECT user_id, CAST(user_id % 3 AS VARCHAR) AS cohort,
+    CASE WHEN user_id % 5 = 0 THEN 1.0 ELSE noise_time - slurry_time END AS total
+  FROM troughs JOIN a USING (user_id)))"""
+
 STAGES = """
 stages AS (SELECT user_id, split_part(comment, ' ', 1) AS stage, min(t) AS t, user_id % 2 AS cohort
   FROM rel WHERE comment IN ('error high', 'purchase high') GROUP BY ALL)"""
@@ -139,18 +146,37 @@ GROUP BY {keys}, n, q1, median, q3"""
 
 
 def histogram(values: str) -> str:
+    """Counts between multiples of 1, 2, 5 or 10 powers of ten, closed on the right."""
     return f"""
 WITH v AS ({values}),
-s AS (SELECT min(x) AS lo, max(x) AS hi, CAST(ceil(log2(count(*))) AS BIGINT) + 1 AS bins FROM v),
-w AS (SELECT lo, bins, (hi - lo) / bins AS width FROM s),
-b AS (SELECT least(CAST(floor((x - lo) / width) AS BIGINT), bins - 1) AS bin, lo, width FROM v, w)
-SELECT bin, count(*) AS n, round(bin * width + lo, 6) AS bin_start FROM b GROUP BY bin, lo, width"""
+s AS (SELECT min(x) AS lo, max(x) AS hi, ceil(log2(count(*)) + 1) AS wanted FROM v),
+c AS (SELECT *, (hi - lo) / wanted AS cell, power(10.0, floor(log10((hi - lo) / wanted))) AS base FROM s),
+one AS (SELECT *, base AS u1 FROM c),
+two AS (SELECT *, CASE WHEN 2 * base - cell < 1.5 * (cell - u1) THEN 2 * base ELSE u1 END AS u2 FROM one),
+five AS (SELECT *, CASE WHEN 5 * base - cell < 2.75 * (cell - u2) THEN 5 * base ELSE u2 END AS u5 FROM two),
+ten AS (SELECT *, CASE WHEN 10 * base - cell < 1.5 * (cell - u5) THEN 10 * base ELSE u5 END AS step FROM five),
+b AS (SELECT greatest(CAST(ceil((x - floor(lo / step + 1e-10) * step) / step - 1e-7) AS BIGINT) - 1, 0) AS bin,
+        floor(lo / step + 1e-10) * step AS start, step FROM v, ten)
+SELECT bin, count(*) AS n, round(bin * step + start, 6) AS bin_start FROM b GROUP BY bin, start, step"""
+
 
+def t_tail(t: str, df: str, steps: int = 2000) -> str:
+    """Two-sided p: the t density over the angle atan(u / sqrt(df)), by Simpson's rule.
+
+    The range ends where the density has vanished.
+    """
+    return f"""(SELECT least(1.0, 2 * exp(lgamma(({df} + 1) / 2.0) - lgamma({df} / 2.0)) / sqrt(pi()) * h / 3 * sum(
+        (CASE WHEN i IN (0, {steps}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)
+        * exp(({df} - 1) * ln(greatest(cos(low + i * h), 1e-300)))))
+      FROM (SELECT low, (least(pi() / 2, low + 14 / sqrt({df} * 1.0)) - low) / {steps} AS h
+            FROM (SELECT atan(abs({t}) / sqrt({df} * 1.0)) AS low)), (SELECT unnest(range({steps} + 1)) AS i)
+      GROUP BY low, h)"""
 
-def one_way(table: str, factor: str, y: str) -> str:
+
+def one_way(table: str, factor: str, y: str, before: str = "") -> str:
     """Group means and pooled errors of ``y ~ factor``."""
     return f"""
-WITH g AS (SELECT {factor} AS f, count(*) AS n, avg({y}) AS mean, var_pop({y}) * count(*) AS ss
+WITH {before}g AS (SELECT {factor} AS f, count(*) AS n, avg({y}) AS mean, var_pop({y}) * count(*) AS ss
            FROM {table} GROUP BY 1),
 fit AS (SELECT sum(n) AS n, count(*) AS p, sum(ss) AS deviance FROM g),
 null_fit AS (SELECT var_pop({y}) * count(*) AS null_deviance FROM {table}),
@@ -163,6 +189,7 @@ c AS (SELECT CASE WHEN rank() OVER (ORDER BY f) = 1 THEN '(Intercept)' ELSE '{fa
 SELECT term, CAST(fit.n AS BIGINT) AS n, CAST(fit.n - 1 AS BIGINT) AS df_null,
   CAST(fit.n - p AS BIGINT) AS df_residual, round(estimate, 6) AS estimate,
   round(std_error, 6) AS std_error, round(estimate / std_error, 6) AS statistic,
+  round({t_tail("estimate / std_error", "(fit.n - p)")}, 6) AS p_value,
   round(null_deviance, 6) AS null_deviance, round(deviance, 6) AS deviance,
   round(deviance / (fit.n - p), 6) AS dispersion,
   round(fit.n * (ln(2 * pi() * deviance / fit.n) + 1) + 2 * (p + 1), 6) AS aic
@@ -193,6 +220,7 @@ SELECT term, CAST(n AS BIGINT) AS n, CAST(n - 1 AS BIGINT) AS df_null,
   CAST(n - p AS BIGINT) AS df_residual, round(estimate, 6) AS estimate,
   round(sqrt(deviance / (n - p) * v), 6) AS std_error,
   round(estimate / sqrt(deviance / (n - p) * v), 6) AS statistic,
+  round({t_tail("estimate / sqrt(deviance / (n - p) * v)", "(n - p)")}, 6) AS p_value,
   round(null_deviance, 6) AS null_deviance, round(deviance, 6) AS deviance,
   round(deviance / (n - p), 6) AS dispersion,
   round(n * (ln(2 * pi() * deviance / n) + 1) + 2 * (p + 1), 6) AS aic
@@ -211,7 +239,7 @@ ORACLES: dict[str, str] = {
     "scan_recordings": """
 SELECT strftime(ts, '%H:%M:%S') AS time, CAST(event_id AS VARCHAR) AS event_text,
   CASE WHEN event_type = 'signup' AND value >= 80 THEN 'n/a' ELSE CAST(value AS VARCHAR) END AS alpha_text,
-  CASE WHEN event_type <> 'view' THEN event_type END AS comments
+  CASE WHEN event_type <> 'view' THEN event_type END AS comments, TRUE AS named
 FROM events""",
     "clean_recordings": """
 SELECT event_id, user_id, round(value, 6) AS value,
@@ -282,6 +310,14 @@ b AS (SELECT *, min(t) FILTER (WHERE comment = 'signup high') OVER (PARTITION BY
         min(t) FILTER (WHERE comment = 'error high') OVER (PARTITION BY user_id) - 3600 AS hi FROM pct)
 SELECT user_id, count(*) AS all_count, round(avg(pct_value), 6) AS pct_value
 FROM b WHERE t BETWEEN lo AND hi GROUP BY user_id""",
+    "post_event_percent_mad": f"""WITH {EVENTS}, {TWO_MARKERS},
+b AS (SELECT *, min(t) FILTER (WHERE comment = 'signup high') OVER (PARTITION BY user_id) + 3600 AS lo,
+        min(t) FILTER (WHERE comment = 'error high') OVER (PARTITION BY user_id) - 3600 AS hi FROM pct),
+i AS (SELECT * FROM b WHERE t BETWEEN lo AND hi),
+m AS (SELECT *, median(value) OVER (PARTITION BY user_id) AS med FROM i),
+d AS (SELECT *, median(abs(value - med)) OVER (PARTITION BY user_id) AS dev FROM m)
+SELECT user_id, count(*) AS all_count, round(avg(pct_value), 6) AS pct_value
+FROM d WHERE abs(value - med) <= 1.4826 * dev GROUP BY user_id""",
     "band_long": f"""
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
   CASE WHEN band = 'l_extendedprice' THEN 'price' ELSE band END AS band, power
@@ -294,17 +330,23 @@ SELECT user_id, bin, round(sqrt(pct_value), 6) AS sqrt_pct FROM epochs WHERE bin
     "trough_in_window": f"""WITH {EVENTS}, {TROUGHS}
 SELECT user_id, CAST(lo AS DOUBLE) AS lo, CAST(hi AS DOUBLE) AS hi, event_id, value,
   round(noise_time, 6) AS noise_time FROM troughs""",
-    "trough_duration": f"""WITH {EVENTS}, {TROUGHS},
-a AS (SELECT user_id, min(t) FILTER (WHERE regexp_matches(comment, 'error', 'i')) AS slurry_time
-      FROM rel GROUP BY user_id)
-SELECT user_id, round(CASE WHEN user_id % 5 = 0 THEN 1.0 ELSE noise_time - slurry_time END, 6) AS total
-FROM troughs JOIN a USING (user_id)""",
-    "recovery_grid": f"""WITH {EVENTS}, {STAGES}, {GRID.format(bins=31)}
+    "trough_windows": f"""WITH {EVENTS},
+users AS (SELECT DISTINCT user_id FROM rel),
+windows AS (SELECT user_id, user_id % 7 * 86400.0 AS lo, user_id % 7 * 86400.0 + 864000 AS hi FROM users
+  UNION ALL SELECT user_id, (user_id % 7 + 4) * 86400.0, (user_id % 7 + 4) * 86400.0 + 864000 FROM users
+  UNION ALL SELECT user_id, 0.0, 2160000.0 FROM users)
+SELECT user_id, CAST(lo AS DOUBLE) AS lo, CAST(hi AS DOUBLE) AS hi, event_id, value, round(t, 6) AS noise_time
+FROM rel JOIN windows USING (user_id) WHERE t BETWEEN lo AND hi
+QUALIFY row_number() OVER (PARTITION BY user_id, lo, hi ORDER BY value, t, event_id) = 1""",
+    "trough_duration": f"""WITH {EVENTS}, {TROUGHS}, {TOTALS}
+SELECT user_id, round(total, 6) AS total FROM totals""",
+    "saved_duration_glm": one_way("totals", "cohort", "total", f"{EVENTS}, {TROUGHS}, {TOTALS}, "),
+    "recovery_grid": f"""WITH {EVENTS}, {STAGES}, {GRID.format(bins=N_BINS)}
 SELECT user_id, CAST(cohort AS BIGINT) AS cohort, bin FROM grid""",
-    "locf": f"""WITH {EVENTS}, {STAGES}, {GRID.format(bins=31)}, {FILLED}
+    "locf": f"""WITH {EVENTS}, {STAGES}, {GRID.format(bins=N_BINS)}, {FILLED}
 SELECT user_id, CAST(cohort AS BIGINT) AS cohort, bin, stage FROM filled""",
     "recovery_curve": f"""WITH {EVENTS}, {STAGES}, {GRID.format(bins=N_BINS)}, {FILLED},
-sizes AS (SELECT cohort, count(DISTINCT user_id) AS subjects FROM stages GROUP BY cohort),
+sizes AS (SELECT user_id % 2 AS cohort, count(DISTINCT user_id) AS subjects FROM rel GROUP BY 1),
 present AS (SELECT cohort, bin, stage, count(DISTINCT user_id) AS present FROM filled GROUP BY ALL),
 axis AS (SELECT s.cohort, subjects, bin, stage FROM sizes s,
   (SELECT unnest(range({N_BINS})) AS bin), (SELECT unnest(['error', 'purchase']) AS stage)),
@@ -333,6 +375,9 @@ SELECT o_orderkey, o_custkey, o_totalprice,
   CASE WHEN o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')
        THEN 'building' ELSE 'other' END AS cohort
 FROM orders""",
+    "cohort_members": """
+SELECT o_orderkey, o_custkey FROM orders JOIN customer ON o_custkey = c_custkey
+WHERE c_mktsegment = 'BUILDING' AND NOT c_acctbal < 0""",
     "cohort_label": """
 SELECT CASE WHEN o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)
             THEN 'debt' ELSE 'credit' END AS cohort,
@@ -374,6 +419,33 @@ SELECT user_id, label, n, round(pct_value, 6) AS pct_value FROM sections""",
              sqrt(pct_value) AS y FROM sections WHERE pct_value IS NOT NULL""",
         "cohort", "labelpost_stun",
     ),
+    # Balanced: both variances, errors and degrees of freedom have closed forms.
+    "cell_lmm": f"""
+WITH cells AS (SELECT o_orderpriority AS g, o_orderstatus AS f, avg(ln(o_totalprice)) AS y
+               FROM orders GROUP BY 1, 2),
+m AS (SELECT *, avg(y) OVER (PARTITION BY g) AS yg, avg(y) OVER (PARTITION BY f) AS yf, avg(y) OVER () AS ya,
+        first_value(y) OVER (PARTITION BY g ORDER BY f) AS y1 FROM cells),
+n AS (SELECT count(DISTINCT g) * 1.0 AS gs, count(DISTINCT f) * 1.0 AS fs FROM cells),
+v AS (SELECT gs, fs, sum((y - yg - yf + ya) ** 2) / ((gs - 1) * (fs - 1)) AS mse,
+        sum((yg - ya) ** 2) / (gs - 1) AS msg, sum((y - yf) ** 2) / (gs * fs - fs) AS ols FROM m, n GROUP BY gs, fs),
+w AS (SELECT *, msg > mse AS varies, CASE WHEN msg > mse THEN (msg - mse) / fs ELSE 0 END AS b,
+        CASE WHEN msg > mse THEN mse ELSE ols END AS e, gs * fs - fs AS rest FROM v),
+lv AS (SELECT f, avg(y) AS mean, avg(y - y1) AS contrast FROM m GROUP BY f),
+fixed AS (
+  SELECT f = (SELECT min(f) FROM lv) AS is_first, f,
+    CASE WHEN f = (SELECT min(f) FROM lv) THEN mean ELSE contrast END AS estimate,
+    CASE WHEN f = (SELECT min(f) FROM lv) THEN sqrt((b + e) / gs) ELSE sqrt(2 * e / gs) END AS std_error,
+    CASE WHEN NOT varies THEN rest
+         WHEN f = (SELECT min(f) FROM lv) THEN (msg / fs + mse * (fs - 1) / fs) ** 2
+           / ((msg / fs) ** 2 / (gs - 1) + (mse * (fs - 1) / fs) ** 2 / ((gs - 1) * (fs - 1)))
+         ELSE (gs - 1) * (fs - 1) END AS df
+  FROM lv, w)
+SELECT 'fixed' AS effect, NULL AS "group",
+  CASE WHEN is_first THEN '(Intercept)' ELSE 'o_orderstatus' || f END AS term, round(estimate, 4) AS estimate,
+  round(std_error, 4) AS std_error, round(estimate / std_error, 4) AS statistic, round(df, 4) AS df,
+  round({t_tail("estimate / std_error", "df")}, 4) AS p_value FROM fixed
+UNION ALL SELECT 'ran_pars', 'o_orderpriority', 'sd__(Intercept)', round(sqrt(b), 4), NULL, NULL, NULL, NULL FROM w
+UNION ALL SELECT 'ran_pars', 'Residual', 'sd__Observation', round(sqrt(e), 4), NULL, NULL, NULL, NULL FROM w""",
     "lineitem_epochs": f"""WITH {ITEMS}, {ITEM_EPOCHS}
 SELECT l_suppkey, bin, n_points, marker_time, round(pct_value, 6) AS pct_price FROM epochs""",
     "lineitem_mad_filter": f"""WITH {ITEMS},
