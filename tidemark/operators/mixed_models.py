@@ -285,8 +285,11 @@ class _Reml:
         """Levels and groups explain every row: the intercepts' variance is all there is."""
         ratio = math.exp(18.0)
         (_, within), = self.profiles([ratio])
+        groups = self.t.weigh([lambda n: n * 0 + 1])[0][-1]
+        # All that is left of the sum of squares lies between the groups.
+        between = within * ratio * (self.t.rows - self.p) / max(groups - 1, 1)
         _, c, _, beta = self.gradients([(1.0, 1 / ratio)])[0]
-        return _Fit(beta, c * within * ratio, within * ratio, 0.0, np.full(self.p, np.nan))
+        return _Fit(beta, c * between, between, 0.0, np.full(self.p, np.nan))
 
     def _polished(self, between: float, within: float) -> tuple[float, float, np.ndarray]:
         """Newton steps on the exact gradient; the Hessian at the point reached."""
