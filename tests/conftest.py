@@ -1,8 +1,12 @@
 from __future__ import annotations
 
+import os
 import sys
 from pathlib import Path
 
+# Small matrices: threads of the linear algebra would only compete with Spark's.
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
+
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))

@@ -229,8 +229,8 @@ def test_many_cells_and_levels(spark):
     cells = spark.range(200_000).selectExpr("id % 500 AS a", "id DIV 500 AS b", "cast(id % 7 AS double) AS y")
     fit = fit_linear(cells.selectExpr("a % 40 AS a", "b", "y"), "y", ["a", "b"]).fit.first()
     assert (fit.n, fit.df_residual) == (200_000, 200_000 - 40 - 399)
-    many = spark.range(6_303).selectExpr("id % 2101 AS bin", "id % 4 AS file", "cast(id % 11 + id % 4 AS double) AS y")
-    assert fit_random_intercept(many, "y", "bin", "file").count() == 2103
+    many = spark.range(6_003).selectExpr("id % 2001 AS bin", "id DIV 9 AS file", "cast(id % 11 + id DIV 9 % 5 AS double) AS y")
+    assert fit_random_intercept(many, "y", "bin", "file").count() == 2003
 
 
 def test_constant_response_and_numeric_levels(spark):

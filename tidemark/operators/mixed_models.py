@@ -10,7 +10,7 @@ for the driver, each step is a Spark aggregate over the saved class table.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -67,7 +67,7 @@ class _Totals:
     xtx: np.ndarray
     xty: np.ndarray
     yty: float
-    weigh: Callable[[list], list[np.ndarray]]
+    weigh: Callable[[list], Iterable[np.ndarray]]
 
     @classmethod
     def of(cls, df: DataFrame, response: str, factor: str, group: str) -> _Totals:
@@ -155,7 +155,7 @@ def _fold(groups: pd.DataFrame, p: int) -> pd.DataFrame:
 Weight = Callable[[object], object]
 
 
-def _weigher(classes: DataFrame, p: int) -> Callable[[list[Weight]], list[np.ndarray]]:
+def _weigher(classes: DataFrame, p: int) -> Callable[[list[Weight]], Iterable[np.ndarray]]:
     """``weigh(ws)`` sums every cross product times ``w(group size)`` for each w in ws.
 
     All weights are taken in one pass, one aggregate in Spark.
@@ -165,7 +165,8 @@ def _weigher(classes: DataFrame, p: int) -> Callable[[list[Weight]], list[np.nda
         local = classes.toPandas()
         size, pos = local["size"].to_numpy(dtype=float), local["pos"].to_numpy()
         value = local["total"].to_numpy()
-        return lambda ws: [np.bincount(pos, weights=value * w(size), minlength=width) for w in ws]
+        # One at a time: with many levels each is large.
+        return lambda ws: (np.bincount(pos, weights=value * w(size), minlength=width) for w in ws)
 
     def distributed(ws: list[Weight]) -> list[np.ndarray]:
         sums = [F.sum(F.col("total") * w(F.col("size"))).alias(f"v{k}") for k, w in enumerate(ws)]
@@ -203,21 +204,21 @@ class _Reml:
         weights: list[Weight] = []
         for ratio in ratios:
             weights += [lambda n, r=ratio: r / (1 + n * r), lambda n, r=ratio: _log1p(n * r)]
-        sums = self.t.weigh(weights)
+        sums = iter(self.t.weigh(weights))
         free = self.t.rows - self.p
         out = []
-        for k in range(len(ratios)):
-            xx, xt, tt, _ = self._parts(sums[2 * k])
+        for _ in ratios:
+            xx, xt, tt, _ = self._parts(next(sums))
             a, r, q = self.t.xtx - xx, self.t.xty - xt, self.t.yty - tt
-            fitted, log_det = _quadratic(a, r)
-            within = max(q - fitted, 0.0) / free if free else 0.0
+            rest, log_det = _rest(a, r, q)
+            within = rest / free if free else 0.0
             spread = math.log(2 * math.pi * within) if within else -math.inf
-            out.append((free * (spread + 1) + sums[2 * k + 1][-1] + log_det, within))
+            out.append((free * (spread + 1) + next(sums)[-1] + log_det, within))
         return out
 
     def gradients(self, points: list[tuple[float, float]]) -> list[tuple]:
-        """Deviance gradient, the covariance of beta with its derivatives, and beta at each
-        (between, within)."""
+        """Deviance gradient, covariance of beta, derivatives of its variances, and beta at
+        each (between, within)."""
         weights: list[Weight] = []
         for b, w in points:
             weights += [
@@ -228,10 +229,10 @@ class _Reml:
                 lambda n, b=b, w=w: 1 / (w + n * b),
                 lambda n: n * 0 + 1,
             ]
-        sums = self.t.weigh(weights)
+        sums = iter(self.t.weigh(weights))
         return [
-            self._gradient(between, within, [self._parts(v) for v in sums[6 * k : 6 * k + 6]])
-            for k, (between, within) in enumerate(points)
+            self._gradient(between, within, [self._parts(next(sums)) for _ in range(6)])
+            for between, within in points
         ]
 
     def _gradient(self, between: float, within: float, sums: list) -> tuple:
@@ -250,11 +251,13 @@ class _Reml:
         logs = [sums[3][3], (t.rows - sums[5][3]) / within + sums[4][3]]
         grad = np.array(
             [
-                dq - 2 * dr @ beta + beta @ da @ beta + dlog + np.trace(c @ da)
+                dq - 2 * dr @ beta + beta @ da @ beta + dlog + np.sum(c * da)
                 for (da, dr, dq), dlog in zip(slopes, logs)
             ]
         )
-        return grad, c, [-c @ da @ c for da, _, _ in slopes], beta
+        # How the variances of beta change, on demand: a product of whole matrices each.
+        changes = (-np.einsum("ij,ij->i", c @ da, c) for da, _, _ in slopes)
+        return grad, c, changes, beta
 
     def solve(self) -> _Fit:
         (_, at_most), = self.profiles([math.exp(18.0)])
@@ -272,12 +275,12 @@ class _Reml:
         between, within = ratio * at_best, at_best
         if ratio:
             between, within, hessian = self._polished(between, within)
-        _, c, (dc_between, dc_within), beta = self.gradients([(between, within)])[0]
+        _, c, changes, beta = self.gradients([(between, within)])[0]
         if not ratio:
             dof = np.full(self.p, float(self.t.rows - self.p))
             return _Fit(beta, c, between, within, dof)
         v = 2 * np.linalg.inv(hessian)
-        g = np.stack([np.diag(dc_between), np.diag(dc_within)])
+        g = np.stack(list(changes))
         dof = 2 * np.diag(c) ** 2 / np.einsum("ij,ik,kj->j", g, v, g)
         return _Fit(beta, c, between, within, dof)
 
@@ -285,7 +288,7 @@ class _Reml:
         """Levels and groups explain every row: the intercepts' variance is all there is."""
         ratio = math.exp(18.0)
         (_, within), = self.profiles([ratio])
-        groups = self.t.weigh([lambda n: n * 0 + 1])[0][-1]
+        groups = next(iter(self.t.weigh([lambda n: n * 0 + 1])))[-1]
         # All that is left of the sum of squares lies between the groups.
         between = within * ratio * (self.t.rows - self.p) / max(groups - 1, 1)
         _, c, _, beta = self.gradients([(1.0, 1 / ratio)])[0]
@@ -294,7 +297,7 @@ class _Reml:
     def _polished(self, between: float, within: float) -> tuple[float, float, np.ndarray]:
         """Newton steps on the exact gradient; the Hessian at the point reached."""
         at = np.array([between, within])
-        for _ in range(3):
+        for _ in range(2):
             hessian, gradient = self._hessian(*at)
             step = np.linalg.solve(hessian, gradient)
             if np.any(np.abs(step) > 0.01 * at) or np.all(np.abs(step) < 1e-9 * at):
@@ -318,18 +321,18 @@ class _Reml:
         return (matrix + matrix.T) / 2, found[0]
 
 
-def _quadratic(a: np.ndarray, r: np.ndarray) -> tuple[float, float]:
-    """r' a^-1 r and log det a, from one factorisation.
+def _rest(a: np.ndarray, r: np.ndarray, q: float) -> tuple[float, float]:
+    """q - r' a^-1 r, not below 0, and log det a, from one factorisation of both.
 
-    At extreme ratios the intercept's equation is rounding and the factor may not exist.
+    Without noise, or at extreme ratios, the factor may not exist.
     """
     try:
-        root = np.linalg.cholesky(a)
-        half = np.linalg.solve(root, r)
-        return float(half @ half), 2 * float(np.log(np.diag(root)).sum())
+        root = np.diag(np.linalg.cholesky(np.block([[a, r[:, None]], [r, np.array([q])]])))
+        return float(root[-1] ** 2), 2 * float(np.log(root[:-1]).sum())
     except np.linalg.LinAlgError:
         sign, log_det = np.linalg.slogdet(a)
-        return float(r @ np.linalg.lstsq(a, r)[0]), log_det if sign > 0 else math.inf
+        rest = q - float(r @ np.linalg.lstsq(a, r)[0])
+        return max(rest, 0.0), log_det if sign > 0 else math.inf
 
 
 def _log1p(x):
