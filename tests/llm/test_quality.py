@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tests.llm.frames import AWKWARD, clashing, documents, words
 from tidemark.llm import quality
 
@@ -74,6 +75,26 @@ def test_false_rejection_is_controlled_per_stratum(spark):
     assert all(kept[5000 + i] for i in range(10))
 
 
+def test_small_strata_get_rules_from_their_pool(spark, tmp_path):
+    """At the production risk no language can pass a test alone, but together they can."""
+    random.seed(5)
+    clean = lambda: " ".join("".join(random.choice("abcdefg") for _ in range(5)) for _ in range(22))
+    junk = lambda: " ".join(x + "***" for x in clean().split())
+    rows = [(i, junk() if i % 10 == 0 else clean(), ("en", "de", "fr", "es")[i % 4], "a", 1) for i in range(3600)]
+    labels = spark.createDataFrame([(i, int(i % 10 > 0), 0) for i in range(3600)], LABELS)
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    docs = documents(spark, rows)
+    left = {r.doc_id for r in corpus_pipeline.quality_rules(spark, docs, str(tmp_path)).collect()}
+    assert left == {i for i in range(3600) if i % 10}
+    # A stratum that can pass alone keeps its own cutoffs; the query follows its SQL, without a pool.
+    both = quality.Control(pool_small=True, risk=0.01)
+    features = quality.with_features(docs).withColumn(
+        "__stratum", F.when(F.col("lang") == "es", F.concat("lang", F.col("doc_id") % 5)).otherwise(F.col("lang")))
+    named = {r["__named"] for r in quality.thresholds(features, labels, both, "doc_id").collect()}
+    assert named == {"en", "de", "fr", None}
+    assert quality.quality_report(docs, labels).where("not kept").count() == 0
+
+
 def test_strata_beyond_the_bound_are_pooled(spark):
     rows = [(i, " ".join(f"word{j}" for j in range(25)), f"l{i % 6}", "a", 1) for i in range(600)]
     labels = spark.createDataFrame([(i, 1, 0) for i in range(600)], LABELS)

@@ -12,6 +12,7 @@ with too few labels gets no rule.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
@@ -41,6 +42,7 @@ class Control:
     risk: float = 0.002  # share of good documents that one rule may reject
     level: float = 0.05
     max_strata: int = 64  # strata with most labels; all others are pooled as one
+    pool_small: bool = False  # pool the strata that could pass no test
     cutoffs: Mapping[str, tuple[float, ...]] = field(default_factory=lambda: CUTOFFS)
 
 
@@ -137,6 +139,11 @@ def thresholds(features: DataFrame, labels: DataFrame, control: Control, id_col:
     turn = F.row_number().over(Window.orderBy(F.col("n").desc(), "__stratum"))
     names = [c for c in counts.columns if c != "__stratum"]
     named = F.when(turn <= control.max_strata, F.col("__stratum"))
+    if control.pool_small:
+        counts = save_stage(counts)
+        level = control.level / (max(counts.count(), 1) * len(control.cutoffs))
+        # Even with no good document above a cutoff the test needs so many of them.
+        named = F.when(F.col("n") >= math.log(level) / math.log1p(-control.risk), named)
     counts = counts.withColumn("__stratum", named).groupBy("__stratum").agg(
         *[F.sum(f"`{c}`").alias(c) for c in names]
     )
@@ -193,11 +200,11 @@ def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return assess(docs.select("doc_id", "text", "lang"), labels).select(*REPORT)
 
 
-def drop_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def drop_rejected(docs: DataFrame, labels: DataFrame, control: Control = Control()) -> DataFrame:
     """The documents that stay, with their own columns only."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc")
     packed = docs.select(whole, "doc_id", "text", "lang")
-    return assess(packed, labels).where("kept").select("__doc.*")
+    return assess(packed, labels, control).where("kept").select("__doc.*")
 
 
 def _oracle(control: Control = Control()) -> str:
