@@ -62,6 +62,32 @@ def test_a_finding_in_escapes_covers_its_letters_only():
     assert [text[s.start:s.end] for s in every] == ["pass%77ord%3Dabc%2Bdefg", "\\u0074oken: abcdefg"]
 
 
+@pytest.mark.parametrize("data", [
+    gzip.compress(b"first part. " * 3) + gzip.compress(SECRET.encode()),
+    f"\x00 {SECRET} \x07".encode(), b"\xff\xfe " + SECRET.encode(), gzip.compress(b"\xff\x00 " + SECRET.encode()),
+], ids=["members", "control", "stray", "stray inside"])
+def test_layers_with_more_than_one_clean_text(data):
+    text = f"see {b64(data)} here"
+    _, every = secrets.find(text)
+    assert any(s.kind == 0 and (s.start, s.end) == (4, len(text) - 5) for s in every)
+
+
+@pytest.mark.parametrize("gap", range(3960, 4100, 7))
+def test_compressed_layers_are_scanned_to_their_end(monkeypatch, gap):
+    monkeypatch.setattr(secrets, "CHUNK", 1000)
+    monkeypatch.setattr(secrets, "LONGEST", 4000)
+    monkeypatch.setattr(secrets, "OVERLAP", 100)
+    inner = b64(gzip.compress(f"more {SECRET}".encode()))
+    for data in (f"{'é ' * gap}{SECRET} end", "é" * gap + " " + SECRET, f"{'ab ' * gap}{inner} {'z ' * gap}"):
+        _, every = secrets.find(b64(gzip.compress(data.encode())))
+        assert any(s.kind == 0 for s in every)
+
+
+def test_compressed_layers_have_no_byte_limit():
+    data = b"0 " * 33_000_000 + SECRET.encode()
+    assert secrets.find(b64(gzip.compress(data, 1)))[1]
+
+
 def test_repeats_and_cycles_end():
     loop = "%25" * 200 + b64(b"%25" * 50) * 3
     secrets.find(loop)

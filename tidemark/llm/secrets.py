@@ -3,16 +3,18 @@
 Each text is scanned as it stands (the base spans). Then a worklist unwraps its encoded
 parts - percent escapes, Unicode escapes, base64, and gzip, zlib or raw deflate data in
 base64 - and scans what comes out, until nothing new does. A layer already seen in the
-chain is not unwrapped again, which ends cycles, and decompression is bounded by
-``MOST_BYTES`` per layer: a larger layer is read up to there, so that a decompression bomb
-cannot take the memory. A finding in a layer gets the span of the text that its letters
-came from; within base64 that is the whole encoded part.
+chain is not unwrapped again, which ends cycles. Compressed data is inflated to its end, all
+members of it, and scanned in overlapping chunks, so that a decompression bomb cannot take the memory. A finding in a layer gets the span of the text that its letters
+came from; within base64 that is the whole encoded part. Stray bytes of a decoded layer are
+replaced, and the rest of it is scanned.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import codecs
+import hashlib
 import re
 import zlib
 from bisect import bisect_right
@@ -25,7 +27,9 @@ from pyspark.sql import types as T
 
 from tidemark.llm.columns import text_of, without
 
-MOST_BYTES = 64_000_000
+CHUNK = 16_000_000  # letters of a compressed layer that are scanned at a time
+LONGEST = 4 * CHUNK  # a longer run without white space is cut, after whole groups of base64
+OVERLAP = 4096
 
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -71,23 +75,63 @@ def _printable(data: bytes) -> str | None:
     return text if text and odd == 0 else None
 
 
-def _inflate(data: bytes) -> bytes | None:
-    """Content of gzip, zlib or raw deflate data, at most ``MOST_BYTES``."""
+def _inflate(data: bytes) -> Iterator[bytes]:
+    """Content of gzip, zlib or raw deflate data, of all members, in pieces of bounded size."""
     for mode in (31, 15, -15):
-        if mode == 31 and data[:2] != b"\x1f\x8b" or mode == 15 and data[:1] != b"\x78":
+        magic = {31: b"\x1f\x8b", 15: b"\x78", -15: b""}[mode]
+        if not data.startswith(magic):
             continue
+        pieces = _pieces(data, mode, magic)
+        if (first := next(pieces, b"")):
+            yield first
+            yield from pieces
+            return
+
+
+def _pieces(data: bytes, mode: int, magic: bytes) -> Iterator[bytes]:
+    """Nothing where the first member breaks off within the first piece."""
+    began = False
+    while data:
         unpack = zlib.decompressobj(mode)
-        try:
-            out = unpack.decompress(data, MOST_BYTES)
-        except zlib.error:
+        while not unpack.eof:
+            try:
+                out = unpack.decompress(data, CHUNK)
+            except zlib.error:
+                return
+            data = unpack.unconsumed_tail
+            if not out and not unpack.eof or not (began or unpack.eof or len(out) == CHUNK):
+                return
+            if out:
+                began = True
+                yield out
+        data = unpack.unused_data if magic and unpack.unused_data.startswith(magic) else b""
+
+
+def _chunks(pieces: Iterator[bytes]) -> Iterator[str]:
+    """Text of the pieces in chunks that share ``OVERLAP`` letters and whole runs at their ends."""
+    decoder = codecs.getincrementaldecoder("utf-8")("replace")
+    text, fresh = "", False
+    for piece in pieces:
+        text, fresh = text + decoder.decode(piece), True
+        if len(text) < CHUNK:
             continue
-        if out and (unpack.eof or len(out) == MOST_BYTES):
-            return out
-    return None
+        end = len(text) - OVERLAP
+        start = max(text.rfind(c, 0, end) for c in " \t\r\n") + 1
+        if start < len(text) // 2:
+            if len(text) < LONGEST:
+                continue
+            start += (end - start) // 4 * 4
+        yield text
+        text, fresh = text[start:], False
+    last = decoder.decode(b"", True)
+    if fresh or last:
+        yield text + last
 
 
-def _from_base64(part: str) -> Iterator[str]:
+def _from_base64(part: str) -> Iterator[tuple[str, bool]]:
+    """Decoded texts, and whether the part is certainly encoded text or data."""
     body = part.rstrip("=").translate({45: "+", 95: "/"})
+    lossy = None
     # A run may have a letter too many when the text runs on; try its whole groups.
     for size in (len(body), len(body) - len(body) % 4):
         if size % 4 == 1:
@@ -96,13 +140,18 @@ def _from_base64(part: str) -> Iterator[str]:
             data = base64.b64decode(body[:size] + "=" * (-size % 4), validate=True)
         except binascii.Error:
             continue
-        text = _printable(data)
-        if text is None:
-            inner = _inflate(data)
-            text = _printable(inner) if inner is not None else None
-        if text is not None:
-            yield text
+        if (text := _printable(data)) is not None:
+            yield text, True
+            return
+        headed, found = data[:2] == b"\x1f\x8b", False
+        for text in _chunks(_inflate(data)):
+            found = found or headed or _printable(text.encode()) is not None
+            yield text, found
+        if found:
             return
+        lossy = lossy or data.decode("utf-8", "replace")
+    if lossy:
+        yield lossy, False
 
 
 def _unescape(run: str) -> list[tuple[str, int]]:
@@ -189,15 +238,21 @@ def _blobs(layer: Layer) -> Iterator[Layer]:
     for m in BASE64.finditer(layer.text):
         if PLAIN_RUN.fullmatch(m[0]):
             continue
-        found = [(m.start(), m.end(), t) for t in _from_base64(m[0])]
-        if not found:  # the signs + / _ - may separate: try the parts between them
-            parts = [p for p in BASE64_PART.finditer(layer.text, m.start(), m.end())
-                     if len(p[0]) < len(m[0]) and not PLAIN_RUN.fullmatch(p[0])]
-            found = [(p.start(), p.end(), t) for p in parts for t in _from_base64(p[0])]
-        for start, end, text in found:
-            inner = Layer(text, layer)
-            inner.add(0, start, end, False)
-            yield inner
+        certain = False
+        for text, sure in _from_base64(m[0]):
+            certain = certain or sure
+            yield _inside(layer, m.start(), m.end(), text)
+        if not certain:  # the signs + / _ - may separate: try the parts between them
+            for p in BASE64_PART.finditer(layer.text, m.start(), m.end()):
+                if len(p[0]) < len(m[0]) and not PLAIN_RUN.fullmatch(p[0]):
+                    for text, _ in _from_base64(p[0]):
+                        yield _inside(layer, p.start(), p.end(), text)
+
+
+def _inside(layer: Layer, start: int, end: int, text: str) -> Layer:
+    inner = Layer(text, layer)
+    inner.add(0, start, end, False)
+    return inner
 
 
 def unwrap(layer: Layer) -> Iterator[Layer]:
@@ -213,17 +268,23 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans with those of the decoded layers mapped to the text."""
     base = scan(text)
     found = set(base)
-    work, seen = [Layer(text)], set()
+    # Depth first, so that one chunk of each layer is held at a time.
+    work, seen = [unwrap(Layer(text))], set()
     while work:
-        for layer in unwrap(work.pop()):
-            place = (layer.root_span(0, len(layer.text)), layer.text) if layer.text else None
-            if place is None or place in seen or layer.text in layer.ancestors():
-                continue
-            seen.add(place)
-            for s in scan(layer.text):
-                start, end = layer.root_span(s.start, s.end)
-                found.add(Span(start, s.kind, end))
-            work.append(layer)
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
+        if not layer.text:
+            continue
+        place = layer.root_span(0, len(layer.text)), hashlib.sha256(layer.text.encode()).digest()
+        if place in seen or layer.text in layer.ancestors():
+            continue
+        seen.add(place)
+        for s in scan(layer.text):
+            start, end = layer.root_span(s.start, s.end)
+            found.add(Span(start, s.kind, end))
+        work.append(unwrap(layer))
     return base, sorted(found)
 
 
