@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tests.llm.frames import AWKWARD, clashing, documents, words
 from tidemark.llm import quality
+from tidemark.session import BROADCAST_ROWS
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -104,6 +105,23 @@ def test_strata_beyond_the_bound_are_pooled(spark):
     assert table.count() == 3 and table.where("__named is null").count() == 1
 
 
+@pytest.mark.parametrize("rows_broadcast", [None, "3"])
+def test_every_stratum_has_its_own_cutoffs(spark, rows_broadcast):
+    """Also beyond 64: the junk of y goes, although the good texts of z look the same."""
+    plain, junk = " ".join(f"word{j}" for j in range(25)), " ".join(f"word{j}***" for j in range(25))
+    langs = [*[f"l{i}" for i in range(64)], "y", "z"]
+    rows = [(15 * n + i, junk if lang == "z" else plain, lang, "a", 1) for n, lang in enumerate(langs) for i in range(15)]
+    rows.append((5000, junk, "y", "a", 1))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(15 * len(langs))], LABELS)
+    if rows_broadcast:
+        spark.conf.set(BROADCAST_ROWS[0], rows_broadcast)
+    try:
+        out = quality.assess(documents(spark, rows), labels, quality.Control(risk=0.5))
+        assert [r.doc_id for r in out.where("not kept").collect()] == [5000] and out.count() == len(rows)
+    finally:
+        spark.conf.unset(BROADCAST_ROWS[0])
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], LABELS)
     assert quality.quality_report(documents(spark, []), none).count() == 0

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.groups import attach
 from tidemark.llm.columns import SPACE, WORD, bind, text_of, without, words
 from tidemark.session import save_stage
 
@@ -41,7 +42,7 @@ CUTOFFS: Mapping[str, tuple[float, ...]] = {
 class Control:
     risk: float = 0.002  # share of good documents that one rule may reject
     level: float = 0.05
-    max_strata: int = 64  # strata with most labels; all others are pooled as one
+    max_strata: int | None = None  # strata with most labels; all others are pooled as one
     pool_small: bool = False  # pool the strata that could pass no test
     cutoffs: Mapping[str, tuple[float, ...]] = field(default_factory=lambda: CUTOFFS)
 
@@ -126,8 +127,8 @@ def binomial_cdf(k: Column, n: Column, p: float) -> Column:
 def thresholds(features: DataFrame, labels: DataFrame, control: Control, id_col: str) -> DataFrame:
     """One row per stratum with the cutoff of every rule, NULL where a rule is off.
 
-    ``features`` has the id, ``__stratum``, ``base_failed`` and the measures. The result has
-    at most ``max_strata`` + 1 rows.
+    ``features`` has the id, ``__stratum``, ``base_failed`` and the measures. A pool is the
+    row with a NULL stratum.
     """
     good = labels.where(F.col("quality") == 1).select(F.col(id_col).alias("__label")).distinct()
     holdout = features.where(~F.col("base_failed")).join(good, F.col(id_col) == F.col("__label"))
@@ -136,9 +137,11 @@ def thresholds(features: DataFrame, labels: DataFrame, control: Control, id_col:
         *[F.sum((F.col(rule) > c).cast("long")).alias(f"{rule}:{i}")
           for rule, grid in control.cutoffs.items() for i, c in enumerate(grid)],
     )
-    turn = F.row_number().over(Window.orderBy(F.col("n").desc(), "__stratum"))
     names = [c for c in counts.columns if c != "__stratum"]
-    named = F.when(turn <= control.max_strata, F.col("__stratum"))
+    named = F.col("__stratum")
+    if control.max_strata is not None:
+        turn = F.row_number().over(Window.orderBy(F.col("n").desc(), "__stratum"))
+        named = F.when(turn <= control.max_strata, named)
     if control.pool_small:
         counts = save_stage(counts)
         level = control.level / (max(counts.count(), 1) * len(control.cutoffs))
@@ -178,10 +181,10 @@ def assess(
     rows = with_features(without(docs, made), text_col)
     rows = rows.withColumn("__stratum", F.coalesce(F.col(stratum_col).cast("string"), F.lit("")))
     rows = save_stage(rows.drop(text_col))
-    limits = F.broadcast(thresholds(rows, labels, control, id_col))
-    named = limits.where(F.col("__named").isNotNull())
+    limits = thresholds(rows, labels, control, id_col)
+    named = limits.where(F.col("__named").isNotNull()).withColumn("__stratum", F.col("__named"))
     pooled = limits.where(F.col("__named").isNull()).first()
-    found = rows.join(named, F.col("__stratum") == F.col("__named"), "left")
+    found = attach(rows, named, ["__stratum"])
     rejected = F.lit(False)
     for rule in control.cutoffs:
         rest = F.lit(pooled[f"max_{rule}"] if pooled else None).cast("double")
