@@ -1,8 +1,8 @@
-"""Exact duplicates by two-pass Bloom filtering, in DataFrame functions only.
+"""Exact duplicates by a hash count and a Bloom filter, in DataFrame functions only.
 
-The first pass counts hashes. Its counting filter is a distributed table with one
-slot for each 64-bit hash, so it needs no memory bound and distinct hashes do not
-share slots; partial aggregation sends one row per hash and task, so a hot text
+The first pass is an exact count of 64-bit hashes, not a Bloom filter: every different hash
+shuffles, so it needs no memory bound and distinct hashes do not share slots; partial
+aggregation sends one row per hash and task, so a hot text
 costs nothing. Hashes counted twice or more set bits in a blocked Bloom filter of at
 most ``MAX_BLOCKS`` blocks of 4 KB, which is broadcast.
 
