@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import (
     byte_bpe,
+    decontamination,
     exact_dedup,
     html_text,
     mixing,
@@ -119,6 +120,10 @@ def secret_report(docs: DataFrame) -> DataFrame:
     )
 
 
+def op13_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return decontamination.overlap_report(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_exact_dedup": op2_exact_dedup,
@@ -130,6 +135,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_html_extraction": op9_html_extraction,
     "op10_secret_scans": op10_secret_scans,
+    "op13_decontamination": op13_decontamination,
 }
 
 ORACLES: dict[str, str] = {
@@ -139,4 +145,5 @@ ORACLES: dict[str, str] = {
     "op5_url_filters": url_filters.oracle(RULES),
     "op7_warc": warc.ORACLE,
     "op8_substring_dedup": substring_dedup.ORACLE,
+    "op13_decontamination": decontamination.ORACLE,
 }
