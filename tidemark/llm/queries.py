@@ -16,6 +16,7 @@ from tidemark.llm import (
     html_text,
     mixing,
     near_dedup,
+    prefix_trie,
     quality,
     secrets,
     substring_dedup,
@@ -120,6 +121,10 @@ def secret_report(docs: DataFrame) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf, "conversations"))
+
+
 def op13_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontamination.overlap_report(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
@@ -135,6 +140,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_html_extraction": op9_html_extraction,
     "op10_secret_scans": op10_secret_scans,
+    "op11_prefix_trie": op11_prefix_trie,
     "op13_decontamination": op13_decontamination,
 }
 
@@ -145,5 +151,6 @@ ORACLES: dict[str, str] = {
     "op5_url_filters": url_filters.oracle(RULES),
     "op7_warc": warc.ORACLE,
     "op8_substring_dedup": substring_dedup.ORACLE,
+    "op11_prefix_trie": prefix_trie.ORACLE,
     "op13_decontamination": decontamination.ORACLE,
 }
