@@ -20,6 +20,7 @@ from tidemark.llm import (
     quality,
     secrets,
     substring_dedup,
+    token_alignment,
     url_filters,
     warc,
 )
@@ -125,6 +126,12 @@ def op11_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf, "conversations"))
 
 
+def op12_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    tools = token_alignment.Tokenizers(
+        public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return token_alignment.alignment_report(table(spark, sf, "documents"), tools)
+
+
 def op13_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontamination.overlap_report(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
@@ -141,6 +148,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html_extraction": op9_html_extraction,
     "op10_secret_scans": op10_secret_scans,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_token_alignment": op12_token_alignment,
     "op13_decontamination": op13_decontamination,
 }
 
