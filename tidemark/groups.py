@@ -44,18 +44,19 @@ def hot_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
 
 
 def attach(
-    rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "left"
+    rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "left", weight: int = 1
 ) -> DataFrame:
     """Join ``rows`` to a per-group table without gathering a hot group.
 
     The table is written first, so its size is known: small tables are broadcast,
     others are shuffled by key. There, groups with more than their share of the
-    rows are spread over salts; fewer than ``BROADCAST_ROWS`` groups can be.
+    rows are spread over salts; fewer than ``BROADCAST_ROWS`` groups can be. A table
+    whose rows hold arrays gives their length as ``weight``.
     """
     table = save_stage(table)
     spark = rows.sparkSession
     bound = setting(spark, BROADCAST_ROWS)
-    if table.count() <= bound:
+    if table.count() * weight <= bound:
         return match(rows, F.broadcast(table), keys, how)
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
     total, largest = counts.agg(F.sum("__rows"), F.max("__rows")).first()
@@ -166,6 +167,16 @@ def running_before(parts: DataFrame, keys: Sequence[str], carry: Column, name: s
 
     ``carry`` is an aggregate of one part, so the window sees one row per part.
     """
+    return _running(parts, keys, carry, name, total, F.col("__part").asc())
+
+
+def running_after(parts: DataFrame, keys: Sequence[str], carry: Column, name: str,
+                  total: Callable[[Column], Column]) -> DataFrame:
+    """As :func:`running_before` over all later parts of the group."""
+    return _running(parts, keys, carry, name, total, F.col("__part").desc())
+
+
+def _running(parts, keys, carry, name, total, order) -> DataFrame:
     per_part = parts.groupBy(*keys, "__part").agg(carry.alias(name))
-    earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    return per_part.withColumn(name, total(F.col(name)).over(earlier))
+    others = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return per_part.withColumn(name, total(F.col(name)).over(others))

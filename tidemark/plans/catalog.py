@@ -28,13 +28,15 @@ from tidemark.functions.columns import (
     root,
 )
 from tidemark.groups import attach, by_size, match
-from tidemark.operators import baseline, cohorts, epochs, markers, outliers, recovery, summaries
-from tidemark.operators import timebase, troughs
+from tidemark.operators import baseline, cohorts, epochs, markers, nearest, outliers, recovery
+from tidemark.operators import summaries, timebase, troughs
 from tidemark.operators.linear_models import fit_linear
 from tidemark.operators.mixed_models import fit_random_intercept
+from tidemark.operators.range_minimum import lowest_in_windows
 from tidemark.operators.roles import Roles
 from tidemark.plans import recordings as plans
 from tidemark.session import save_stage, stage_folder
+from tidemark.sources.file_order import read_in_file_order
 from tidemark.sources.recordings import RECORDING_COLUMNS, clean_recordings, read_recordings
 from tidemark.sources.tables import load_table, save_table
 
@@ -144,6 +146,43 @@ def scan_recordings(spark, sf):
     )
 
 
+def _write_one_file_each(events: DataFrame) -> str:
+    """A CSV file per user: header, two unit rows, samples from the lowest value up.
+
+    The clock shows whole hours, so many samples of a file have the same time.
+    """
+    text = lambda c: F.col(c).cast("string")
+    cells = [F.date_format("ts", "HH:00:00"), text("event_id"), text("user_id"), *[text("value")] * 7,
+             F.col("event_type")]
+    named = lambda columns: [c.alias(n) for c, n in zip(columns, RECORDING_COLUMNS)]
+    place = F.struct(F.lit(1).alias("kind"), "value", "event_id")
+    units = F.struct(F.lit(0).alias("kind"), F.lit(0.0).alias("value"), F.lit(0).cast("long").alias("event_id"))
+    rows = events.select(F.col("user_id").alias("recording"), place.alias("place"), *named(cells)).unionByName(
+        events.select(F.col("user_id").alias("recording")).distinct().select(
+            "recording", F.explode(F.array(units, units)).alias("place"),
+            *named([F.lit("unit")] * len(RECORDING_COLUMNS))))
+    path = f"{stage_folder(events.sparkSession)}/recordings-{uuid.uuid4().hex}"
+    ordered = rows.repartition("recording").sortWithinPartitions("recording", "place").drop("place")
+    ordered.write.partitionBy("recording").csv(path, header=True)
+    return path
+
+
+def _in_file_order(spark, sf):
+    folder = _write_one_file_each(table(spark, sf, "events"))
+    return read_in_file_order(spark, folder, recursive=True).select(
+        F.col("beta").cast("long").alias("user_id"), F.col("raw_eeg").cast("long").alias("event_id"),
+        "time", "row")
+
+
+def file_order(spark, sf):
+    return _in_file_order(spark, sf).drop("time")
+
+
+def first_in_file(spark, sf):
+    """Of samples with the same clock the one that the file has first."""
+    return markers.first_per_group(_in_file_order(spark, sf), ["user_id", "time"], ["row"])
+
+
 def clean(spark, sf):
     raw = read_recordings(spark, _write_recordings(table(spark, sf, "events")))
     cleaned = timebase.parse_clock(clean_recordings(raw), "time")
@@ -332,6 +371,16 @@ def _epoch_means(df, stats):
     return epochs.with_reference_lines(means)
 
 
+def nearest_sample(spark, sf):
+    """For moments spread over a month, one per order, the customer's nearest event."""
+    anchor = (F.col("o_orderkey") * 7919 % 2_592_000).cast("double").alias("anchor")
+    moments = table(spark, sf, "orders").select(F.col("o_custkey").alias("user_id"), "o_orderkey", anchor)
+    found = nearest.nearest_samples(timed(spark, sf), moments, ROLES, "anchor", ["value"])
+    return found.select(
+        "user_id", "o_orderkey", "anchor", _r(F.col("nearest_time"), "nearest_time"),
+        "nearest_event_id", "nearest_value")
+
+
 def epoch_means(spark, sf):
     return per_recording(samples(spark, sf), _epoch_means).select(
         "user_id", "bin", "n_points", "ten_percent", "hundred_percent",
@@ -458,6 +507,28 @@ def trough_windows(spark, sf):
     )
 
 
+def _nested(df: DataFrame, key: str, n: int, days: float, step: float) -> DataFrame:
+    """``n`` windows per recording, each inside the one before."""
+    i = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    at = df.select(key).distinct().select(key, i.alias("i"))
+    lo, hi = F.col("i") * (step * DAY), F.lit(days * DAY) - F.col("i") * (step * DAY)
+    return at.select(key, lo.alias("lo"), hi.alias("hi"))
+
+
+def nested_troughs(spark, sf):
+    """Fifty nested windows per user."""
+    df = timed(spark, sf)
+    found = lowest_in_windows(df, _nested(df, "user_id", 50, 30.0, 0.25), ROLES)
+    return found.select("user_id", "lo", "hi", "event_id", "value", _r(F.col("noise_time"), "noise_time"))
+
+
+def lineitem_nested_troughs(spark, sf):
+    """A hundred nested windows per supplier."""
+    df = timed_items(spark, sf)
+    found = lowest_in_windows(df, _nested(df, "l_suppkey", 100, 2400.0, 10.0), ITEMS)
+    return found.select("l_suppkey", "lo", "noise_time", "l_extendedprice", "l_orderkey", "l_linenumber")
+
+
 def _durations(spark, sf):
     marked = _marked(spark, sf)
     found = _troughs(spark, sf, marked, [_week()]).drop("slurry_time")
@@ -689,6 +760,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {
     "scan_recordings": scan_recordings,
     "clean_recordings": clean,
+    "file_order": file_order,
+    "first_in_file": first_in_file,
     "relative_time": relative_time,
     "marker_first": marker_first,
     "marker_relative_time": marker_relative_time,
@@ -707,6 +780,7 @@ QUERIES: dict[str, Query] = {
     "percent_of_baseline": percent_of_baseline,
     "baseline_epoch": baseline_epoch,
     "anchored_bins": anchored_bins,
+    "nearest_sample": nearest_sample,
     "epoch_means": epoch_means,
     "epochs_with_baseline": _protocol_epochs(ONE_MARKER),
     "epochs_two_markers": _protocol_epochs(TWO_MARKERS),
@@ -723,6 +797,7 @@ QUERIES: dict[str, Query] = {
     "cell_lmm": cell_lmm,
     "trough_in_window": trough_in_window,
     "trough_windows": trough_windows,
+    "nested_troughs": nested_troughs,
     "trough_duration": trough_duration,
     "saved_duration_glm": saved_duration_glm,
     "recovery_grid": recovery_grid,
@@ -746,6 +821,7 @@ QUERIES: dict[str, Query] = {
     "lineitem_epochs": lineitem_epochs,
     "lineitem_mad_filter": lineitem_mad_filter,
     "lineitem_trough": lineitem_trough,
+    "lineitem_nested_troughs": lineitem_nested_troughs,
     "lineitem_boxplot": lineitem_boxplot,
     "lineitem_glm": lineitem_glm,
 }

@@ -32,6 +32,16 @@ def mad_steps(source: str, out: str, marker: str, window: str, k: float, key="us
                      WHEN NOT inside THEN TRUE END)"""
 
 
+def nested(source: str, key: str, value: str, order: str, n: int, days: float, step: float, shown: str):
+    """Lowest sample of n nested windows per recording, joined window by window."""
+    return f"""WITH {source},
+windows AS (SELECT {key}, i * {step} * 86400 AS lo, {days} * 86400 - i * {step} * 86400 AS hi
+            FROM (SELECT DISTINCT {key} FROM rel), range({n}) AS r(i))
+SELECT r.{key}, {shown} AS noise_time
+FROM rel r JOIN windows w ON r.{key} = w.{key} AND t BETWEEN lo AND hi
+QUALIFY row_number() OVER (PARTITION BY r.{key}, lo, hi ORDER BY {value}, t, {order}) = 1"""
+
+
 PRE = mad_steps("rel", "pre", "error high", "t >= 0 AND t < m - 86400", 0.5)
 POST = mad_steps("pre", "post", "error high", "t >= m + 86400", 1.0)
 
@@ -246,6 +256,13 @@ SELECT event_id, user_id, round(value, 6) AS value,
   CASE WHEN event_type <> 'view' THEN event_type ELSE '' END AS comments,
   CAST(hour(ts) * 3600 + minute(ts) * 60 + floor(second(ts)) AS DOUBLE) AS time_seconds
 FROM events WHERE NOT (event_type = 'signup' AND value >= 80)""",
+    "file_order": """
+SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) - 1 AS row
+FROM events""",
+    "first_in_file": """
+WITH numbered AS (SELECT user_id, event_id, strftime(ts, '%H:00:00') AS time,
+  row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) - 1 AS row FROM events)
+SELECT user_id, time, arg_min(event_id, row) AS event_id, min(row) AS row FROM numbered GROUP BY user_id, time""",
     "relative_time": f"WITH {EVENTS} SELECT user_id, event_id, round(t, 6) AS t FROM rel",
     "marker_first": f"""WITH {EVENTS}
 SELECT user_id, round(min(t) FILTER (WHERE comment = 'error high'), 6) AS first_exact,
@@ -297,6 +314,13 @@ FROM pct WHERE t >= 86400 AND t < m - 86400 GROUP BY user_id""",
     "anchored_bins": f"""WITH {EVENTS}, {BINNED}
 SELECT user_id, event_id, bin, CAST(bin * 86400 AS DOUBLE) AS anchor_time,
   round(start_time, 6) AS start_time FROM started""",
+    "nearest_sample": f"""WITH {EVENTS},
+moments AS (SELECT o_custkey AS user_id, o_orderkey, CAST(o_orderkey * 7919 % 2592000 AS DOUBLE) AS anchor
+            FROM orders)
+SELECT m.user_id, o_orderkey, anchor, round(t, 6) AS nearest_time, event_id AS nearest_event_id,
+  value AS nearest_value
+FROM moments m LEFT JOIN rel r ON m.user_id = r.user_id
+QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY abs(t - anchor), t, event_id) = 1""",
     "epoch_means": f"""WITH {EVENTS}, {BINNED}
 SELECT user_id, bin, count(*) AS n_points, CAST(10 AS DOUBLE) AS ten_percent,
   CAST(100 AS DOUBLE) AS hundred_percent, round(min(start_time), 6) AS marker_time,
@@ -338,6 +362,11 @@ windows AS (SELECT user_id, user_id % 7 * 86400.0 AS lo, user_id % 7 * 86400.0 +
 SELECT user_id, CAST(lo AS DOUBLE) AS lo, CAST(hi AS DOUBLE) AS hi, event_id, value, round(t, 6) AS noise_time
 FROM rel JOIN windows USING (user_id) WHERE t BETWEEN lo AND hi
 QUALIFY row_number() OVER (PARTITION BY user_id, lo, hi ORDER BY value, t, event_id) = 1""",
+    "nested_troughs": nested(EVENTS, "user_id", "value", "event_id", 50, 30, 0.25,
+                              "CAST(lo AS DOUBLE) AS lo, CAST(hi AS DOUBLE) AS hi, event_id, value, round(t, 6)"),
+    "lineitem_nested_troughs": nested(
+        ITEMS, "l_suppkey", "l_extendedprice", "l_orderkey, l_linenumber", 100, 2400, 10,
+        "CAST(lo AS DOUBLE) AS lo, l_extendedprice, l_orderkey, l_linenumber, t"),
     "trough_duration": f"""WITH {EVENTS}, {TROUGHS}, {TOTALS}
 SELECT user_id, round(total, 6) AS total FROM totals""",
     "saved_duration_glm": one_way("totals", "cohort", "total", f"{EVENTS}, {TROUGHS}, {TOTALS}, "),

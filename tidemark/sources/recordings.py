@@ -41,7 +41,17 @@ def read_recordings(
     Files whose name contains ``exclude`` are ignored. The first ``skip_rows``
     data rows of every file hold units and are dropped.
     """
-    names = columns or RECORDING_COLUMNS
+    rows = recording_rows(spark, folder, columns or RECORDING_COLUMNS, exclude, recursive)
+    if skip_rows:
+        kept = StructType([*rows.schema.fields[:-2]])
+        return rows.mapInArrow(_drop_leading(skip_rows), kept)
+    return rows.drop("__path", "__block")
+
+
+def recording_rows(
+    spark: SparkSession, folder: str, names: list[str], exclude: str, recursive: bool
+) -> DataFrame:
+    """All rows of the files with ``source_file`` and the place of their split."""
     schema = StructType([StructField(c, StringType()) for c in names])
     raw = (
         spark.read.option("pathGlobFilter", "*.csv")
@@ -49,16 +59,12 @@ def read_recordings(
         .csv(folder, header=True, schema=schema)
         .where(~F.lower(F.col("_metadata.file_name")).contains(exclude.lower()))
     )
-    rows = raw.select(
+    return raw.select(
         *names,
         F.url_decode(F.col("_metadata.file_name")).alias("source_file"),
         F.col("_metadata.file_path").alias("__path"),
         F.col("_metadata.file_block_start").alias("__block"),
     )
-    if skip_rows:
-        kept = StructType([*rows.schema.fields[:-2]])
-        return rows.mapInArrow(_drop_leading(skip_rows), kept)
-    return rows.drop("__path", "__block")
 
 
 def _drop_leading(skip_rows: int):
