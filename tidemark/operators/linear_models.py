@@ -21,6 +21,7 @@ from tidemark.operators.t_distribution import two_sided_p
 from tidemark.session import save_stage
 
 ALIASED = 1e-9  # share of a term's own sum of squares that earlier terms must leave
+LOCAL_CELLS = 1000  # so many cells are brought to the driver at once
 NOISE_FREE = 1e-12  # deviance below this share of the null deviance is rounding
 
 COEFFICIENTS = "term string, estimate double, std_error double, statistic double, p_value double"
@@ -54,15 +55,10 @@ def fit_linear(df: DataFrame, response: str, factors: Sequence[str]) -> LinearFi
     cells = save_stage(rows.groupBy(*factors).agg(
         F.count(F.lit(1)).alias("__n"), F.avg("__y").alias("__mean"), F.var_pop("__y").alias("__v")
     ))
-    n = F.col("__n")
-    total, centre = cells.agg(F.sum("__n"), F.sum(n * F.col("__mean")) / F.sum("__n")).first()
-    if not total:
-        raise ValueError("no complete rows to fit")
-    # Centring the response keeps the sums of squares accurate.
-    off = F.col("__mean") - F.lit(centre)
-    cells = cells.withColumns({"__s": n * off, "__ss": n * (F.col("__v") + off * off)})
-    terms, xtx, xty = _normal_equations(cells, factors)
-    null_deviance = float(cells.agg(F.sum("__ss")).first()[0])
+    if cells.count() <= LOCAL_CELLS:
+        total, centre, terms, xtx, xty, null_deviance = _from_cells(cells, factors)
+    else:
+        total, centre, terms, xtx, xty, null_deviance = _from_table(cells, factors)
 
     kept = _independent(xtx)
     p, df_residual = len(kept), total - len(kept)
@@ -84,6 +80,41 @@ def fit_linear(df: DataFrame, response: str, factors: Sequence[str]) -> LinearFi
     return LinearFit(spark.createDataFrame(out, COEFFICIENTS), spark.createDataFrame(fit, FIT))
 
 
+Equations = tuple[int, float, list[str], np.ndarray, np.ndarray, float]
+
+
+def _from_cells(cells: DataFrame, factors: Sequence[str]) -> Equations:
+    """Normal equations of a few cells, read in one job."""
+    labels = [F.col(f).cast("string").alias(f"__label{i}") for i, f in enumerate(factors)]
+    held = cells.select(*factors, *labels, "__n", "__mean", "__v").collect()
+    if not held:
+        raise ValueError("no complete rows to fit")
+    n, mean, spread = (np.array([r[c] for r in held], float) for c in ("__n", "__mean", "__v"))
+    centre = float(n @ mean / n.sum())
+    off = mean - centre
+    columns, terms = [np.ones(len(held))], ["(Intercept)"]
+    for i, f in enumerate(factors):
+        named = {r[f]: r[f"__label{i}"] for r in held}
+        for level in sorted(named)[1:]:  # the reference level has no term of its own
+            columns.append(np.array([r[f] == level for r in held], float))
+            terms.append(f"{f}{named[level]}")
+    x = np.column_stack(columns)
+    return (int(n.sum()), centre, terms, x.T @ (x * n[:, None]), x.T @ (n * off),
+            float((n * (spread + off * off)).sum()))
+
+
+def _from_table(cells: DataFrame, factors: Sequence[str]) -> Equations:
+    """Normal equations of many cells, which stay in Spark."""
+    n = F.col("__n")
+    total, centre = cells.agg(F.sum("__n"), F.sum(n * F.col("__mean")) / F.sum("__n")).first()
+    # Centring the response keeps the sums of squares accurate.
+    off = F.col("__mean") - F.lit(centre)
+    cells = cells.withColumns({"__s": n * off, "__ss": n * (F.col("__v") + off * off)})
+    terms, xtx, xty = _normal_equations(cells, factors)
+    null_deviance = float(cells.agg(F.sum("__ss")).first()[0])
+    return total, centre, terms, xtx, xty, null_deviance
+
+
 def _normal_equations(
     cells: DataFrame, factors: Sequence[str]
 ) -> tuple[list[str], np.ndarray, np.ndarray]:

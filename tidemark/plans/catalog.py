@@ -579,6 +579,14 @@ def locf(spark, sf):
     return filled.select("user_id", F.col("cohort").cast("long").alias("cohort"), "bin", "stage")
 
 
+def carry_forward(spark, sf):
+    """Each user's last error value so far."""
+    df = samples(spark, sf).withColumn(
+        "last_error", F.when(F.col("comment").startswith("error"), F.col("value")))
+    filled = recovery.carry_forward(df, ["user_id"], ["clock", "event_id"], "last_error")
+    return filled.select("user_id", "event_id", "last_error")
+
+
 def recovery_curve(spark, sf):
     """All users are subjects; a stage that a user never reached has no time."""
     users = table(spark, sf, "events").select("user_id").distinct().select(
@@ -716,6 +724,13 @@ def cell_lmm(spark, sf):
     return fit.select("effect", "group", "term", *[F.round(F.col(n), 4).alias(n) for n in numbers])
 
 
+def lineitem_lmm(spark, sf):
+    """Discount by line status with an intercept per order; orders have 1 to 13 lines or so."""
+    fit = fit_random_intercept(table(spark, sf, "lineitem"), "l_discount", "l_linestatus", "l_orderkey")
+    numbers = ["estimate", "std_error"]
+    return fit.select("effect", "group", "term", *[_r(F.col(n), n) for n in numbers])
+
+
 # --- the larger table ------------------------------------------------------------
 
 
@@ -795,6 +810,7 @@ QUERIES: dict[str, Query] = {
     "epoch_model_input": epoch_model_input,
     "epoch_lmm": epoch_lmm,
     "cell_lmm": cell_lmm,
+    "lineitem_lmm": lineitem_lmm,
     "trough_in_window": trough_in_window,
     "trough_windows": trough_windows,
     "nested_troughs": nested_troughs,
@@ -802,6 +818,7 @@ QUERIES: dict[str, Query] = {
     "saved_duration_glm": saved_duration_glm,
     "recovery_grid": recovery_grid,
     "locf": locf,
+    "carry_forward": carry_forward,
     "recovery_curve": recovery_curve,
     "bin_label_parse": bin_label_parse,
     "condition_tag": condition_tag,

@@ -42,6 +42,57 @@ FROM rel r JOIN windows w ON r.{key} = w.{key} AND t BETWEEN lo AND hi
 QUALIFY row_number() OVER (PARTITION BY r.{key}, lo, hi ORDER BY {value}, t, {order}) = 1"""
 
 
+def random_intercept(table: str, y: str, level: str, factor: str, group: str, steps: int = 6) -> str:
+    """REML fit of ``y ~ two-level factor + (1 | group)``, whatever the sizes of the groups.
+
+    Groups of equal size and equal share of the second level share their weight, so sums per
+    class are enough. The variance ratio is where the derivative of the criterion changes its
+    sign: a logarithmic grid brackets it, and each further grid divides the bracket by 100.
+    """
+    sums = f"""
+groups AS (SELECT {group}, count(*) AS n, count(*) FILTER ({factor} = '{level}') AS m, sum({y}) AS t
+           FROM {table} GROUP BY {group}),
+classes AS (SELECT n, m, count(*) AS k, sum(t) AS t1, sum(t * t) AS t2 FROM groups GROUP BY n, m),
+whole AS (SELECT count(*) AS nn, count(*) FILTER ({factor} = '{level}') AS mm, sum({y}) AS s,
+                 coalesce(sum({y}) FILTER ({factor} = '{level}'), 0) AS sm, sum({y} * {y}) AS q FROM {table})"""
+    found = [sums, "grid0 AS (SELECT power(10, i / 100.0 - 7) AS r FROM range(1001) AS g(i))"]
+
+    def solved(name: str, grid: str) -> str:
+        return f"""
+{name}_a AS (
+  SELECT r, any_value(nn) AS nn, any_value(nn) - sum(r / (1 + n * r) * k * n * n) AS a11,
+         any_value(mm) - sum(r / (1 + n * r) * k * n * m) AS a12,
+         any_value(mm) - sum(r / (1 + n * r) * k * m * m) AS a22,
+         any_value(s) - sum(r / (1 + n * r) * n * t1) AS r1, any_value(sm) - sum(r / (1 + n * r) * m * t1) AS r2,
+         any_value(q) - sum(r / (1 + n * r) * t2) AS qq
+  FROM {grid}, classes, whole GROUP BY r),
+{name}_b AS (SELECT *, a11 * a22 - a12 * a12 AS det, (r1 * a22 - r2 * a12) / (a11 * a22 - a12 * a12) AS b1,
+                    (r2 * a11 - r1 * a12) / (a11 * a22 - a12 * a12) AS b2 FROM {name}_a),
+{name} AS (SELECT *, qq - b1 * r1 - b2 * r2 AS rss FROM {name}_b)"""
+
+    for i in range(steps):
+        found.append(solved(f"fit{i}", f"grid{i}"))
+        found.append(f"""
+slope{i} AS (
+  SELECT r, -any_value(nn - 2) / any_value(rss)
+            * sum((t2 - 2 * (n * b1 + m * b2) * t1 + k * power(n * b1 + m * b2, 2)) / power(1 + n * r, 2))
+          + sum(k * n / (1 + n * r))
+          - sum(k * (a22 * n * n - 2 * a12 * n * m + a11 * m * m) / power(1 + n * r, 2)) / any_value(det) AS g
+  FROM fit{i}, classes GROUP BY r),
+bracket{i} AS (SELECT max(r) FILTER (g < 0) AS lo, min(r) FILTER (g >= 0) AS hi FROM slope{i}),
+grid{i + 1} AS (SELECT coalesce(lo, 0) + (hi - coalesce(lo, 0)) * j / 100.0 AS r
+                FROM bracket{i}, range(101) AS g(j))""")
+    found.append(f"best AS (SELECT (min(r) + max(r)) / 2 AS r FROM grid{steps})")
+    found.append(solved("final", "best"))
+    steps_sql = ",".join(found)
+    return f"""WITH {steps_sql}
+SELECT 'fixed' AS effect, CAST(NULL AS VARCHAR) AS "group", '(Intercept)' AS term,
+       round(b1, 6) AS estimate, round(sqrt(rss / (nn - 2) * a22 / det), 6) AS std_error FROM final
+UNION ALL SELECT 'fixed', NULL, '{factor}{level}', round(b2, 6), round(sqrt(rss / (nn - 2) * a11 / det), 6) FROM final
+UNION ALL SELECT 'ran_pars', '{group}', 'sd__(Intercept)', round(sqrt(r * rss / (nn - 2)), 6), NULL FROM final
+UNION ALL SELECT 'ran_pars', 'Residual', 'sd__Observation', round(sqrt(rss / (nn - 2)), 6), NULL FROM final"""
+
+
 PRE = mad_steps("rel", "pre", "error high", "t >= 0 AND t < m - 86400", 0.5)
 POST = mad_steps("pre", "post", "error high", "t >= m + 86400", 1.0)
 
@@ -487,5 +538,9 @@ FROM rel JOIN a USING (l_suppkey) WHERE t BETWEEN lo AND lo + 17280000
 QUALIFY row_number() OVER (PARTITION BY l_suppkey
   ORDER BY l_extendedprice, t, l_orderkey, l_linenumber) = 1""",
     "lineitem_boxplot": boxplot("lineitem", "l_returnflag, l_linestatus", "l_extendedprice"),
+    "carry_forward": f"""WITH {EVENTS}
+SELECT user_id, event_id, last_value(CASE WHEN comment LIKE 'error%' THEN value END IGNORE NULLS)
+  OVER (PARTITION BY user_id ORDER BY clock, event_id ROWS UNBOUNDED PRECEDING) AS last_error FROM ev""",
+    "lineitem_lmm": random_intercept("lineitem", "l_discount", "O", "l_linestatus", "l_orderkey"),
     "lineitem_glm": one_way("lineitem", "l_returnflag", "l_extendedprice"),
 }
