@@ -102,13 +102,15 @@ def test_tables_of_any_kind(spark):
     assert alignment_report(frame, Tokenizers(*PATHS)).count() == len(TEXTS)
 
 
-def test_long_texts_are_cut_where_no_token_spans(monkeypatch):
+def test_pieces_have_the_ids_of_the_whole_text(monkeypatch):
     tools = loaded(*PATHS)
-    text = ("we'll see,  12 times: naïve \n\n code_x  = 'y' don 't 日本語 のテ キスト " * 50).strip()
-    whole = [x.to_pylist() for x in tools.ids([text, "", "x y"])]
-    monkeypatch.setattr(token_alignment, "LONG", 7)
-    assert len(list(token_alignment._parts(text))) > 50
-    assert [x.to_pylist() for x in tools.ids([text, "", "x y"])] == whole
+    text = ("we'll see,  12 times: naïve \n\n code_x  = 'y' don 't 日本語 のテ キスト \x1c a\u00a0 b " * 50).strip()
+    texts = [text, "", "x y", " lead", "trail \n", "▁ y", "▁"]
+    pieces = [x.to_pylist() for x in tools.ids(texts)]
+    whole = [x.to_pylist() for x in tools.lists(texts)]
+    assert [x[:5] for x in pieces] == [[*side[:1], [], *side[2:5]] for side in whole]
+    monkeypatch.setattr(token_alignment.Loaded, "joined", lambda self, pieces: None)
+    assert [x.to_pylist() for x in tools.ids(texts)] == pieces
     monkeypatch.undo()
     huge = "x" * 300_000 + " " + "word " * 250_000
     found = token_alignment.align_texts([huge], tools)

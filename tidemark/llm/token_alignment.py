@@ -12,8 +12,9 @@ in a broadcast of at most ``max_pairs`` pairs; where there are more, the broadca
 pairs of the largest counts and only links of the rarer ones shuffle. The largest count of each
 A id is a table of at most one row per vocabulary entry.
 
-Texts above ``LONG`` letters are encoded in pieces, cut at single spaces between other
-characters: no token of either kind spans such a place, so the ids are those of the whole text.
+Texts are cut at single spaces between other characters: no token of either kind spans such a
+place. The different pieces of some megabytes of text are encoded once, joined by spaces, and
+the texts' ids put together from theirs; they are the ids of the whole text.
 
 Defined results: a text that is NULL or empty, or that one tokenizer cannot give back byte for
 byte (a U+2581, which B reads as a space), has no tokens and all its numbers are zero. Repeated
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import os
 import re
 from collections.abc import Iterator
@@ -42,7 +44,6 @@ from tidemark.llm.columns import text_of
 from tidemark.llm.text_words import slices
 from tidemark.session import save_stage
 
-LONG = 1_000_000
 PAIR = 1 << 16  # a pair of ids is the number a * PAIR + b; both vocabularies are smaller
 FLUSH = 1_000_000  # different pairs that a task holds before it hands on its counts
 CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -86,16 +87,40 @@ class Loaded:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def ids(self, texts: list[str]) -> tuple[pa.ListArray, pa.ListArray]:
-        """Token ids of each text."""
-        parts, owner = [], []
-        for i, text in enumerate(texts):
-            for part in _parts(text):
-                parts.append(part)
-                owner.append(i)
-        a = [e.ids for e in self.a.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)]
-        b = self.b.encode(parts, num_threads=1)
-        return _lists(a, owner, len(texts)), _lists(b, owner, len(texts))
+    def lists(self, pieces: list[str]) -> tuple[pa.LargeListArray, pa.LargeListArray]:
+        """Token ids of each piece."""
+        a = [e.ids for e in self.a.encode_batch_fast([" " + p for p in pieces], add_special_tokens=False)]
+        return _lists(a), _lists(self.b.encode(pieces, num_threads=1))
+
+    def joined(self, pieces: list[str]) -> tuple[pa.LargeListArray, pa.LargeListArray] | None:
+        """As :meth:`lists` for pieces without space at their ends, encoded as one text."""
+        text = " ".join(pieces)
+        ends = np.cumsum([len(p.encode()) + 1 for p in pieces])
+        sides = []
+        for ids, entries in zip(self.lists([text]), (self.a_bytes, self.b_bytes)):
+            if not _joined_equal(ids, entries, [(" " + text).encode()])[0]:
+                return None
+            length = np.asarray(pc.binary_length(entries)).astype(np.int64)
+            places = np.searchsorted(np.cumsum(length[np.asarray(ids.values)]), ends) + 1
+            offsets = pa.array(np.concatenate([[0], places]), pa.int64())
+            sides.append(pa.LargeListArray.from_arrays(offsets, ids.values))
+        return tuple(sides)
+
+    def ids(self, texts: list[str]) -> tuple[pa.LargeListArray, pa.LargeListArray]:
+        """Token ids of each text, every different piece of the texts encoded once."""
+        cut = [CUT.split(t) if t else [] for t in texts]
+        flat = pa.array([p for pieces in cut for p in pieces], pa.large_string()).dictionary_encode()
+        pieces = flat.dictionary.to_pylist()
+        plain = np.array([p.strip() == p and "▁" not in p for p in pieces], bool)
+        first = [p for p, ok in zip(pieces, plain) if ok]
+        other = [p for p, ok in zip(pieces, plain) if not ok]
+        known = (self.joined(first) if first else None) or self.lists(first)
+        rank = np.empty(len(pieces), np.int64)
+        rank[plain], rank[~plain] = np.arange(len(first)), len(first) + np.arange(len(other))
+        taken = pa.array(rank[np.asarray(flat.indices)])
+        edges = np.concatenate([[0], np.cumsum([len(pieces) for pieces in cut])]).astype(np.int64)
+        return tuple(
+            _by_text(pa.concat_arrays([x, y]).take(taken), edges) for x, y in zip(known, self.lists(other)))
 
 
 @functools.cache
@@ -103,24 +128,16 @@ def loaded(byte_path: str, piece_path: str) -> Loaded:
     return Loaded(byte_path, piece_path)
 
 
-def _parts(text: str) -> Iterator[str]:
-    """The text, or its pieces without the spaces between them."""
-    begin = 0
-    while len(text) - begin > LONG:
-        cut = CUT.search(text, begin + LONG)
-        if not cut:
-            break
-        yield text[begin:cut.start()]
-        begin = cut.end()
-    if begin or text:
-        yield text[begin:]
+def _lists(ids: list[list[int]]) -> pa.LargeListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
+    flat = np.fromiter(itertools.chain.from_iterable(ids), np.int64, int(offsets[-1]))
+    return pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
-def _lists(ids: list[list[int]], owner: list[int], n: int) -> pa.ListArray:
-    size = np.bincount(np.array(owner, np.int64), weights=[len(x) for x in ids], minlength=n) if ids else np.zeros(n)
-    offsets = np.concatenate([[0], np.cumsum(size.astype(np.int64))])
-    flat = np.fromiter((i for x in ids for i in x), np.int64, int(offsets[-1]))
-    return pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), pa.array(flat))
+def _by_text(lists: pa.LargeListArray, edges: np.ndarray) -> pa.LargeListArray:
+    """Lists of pieces joined to lists of texts; ``edges`` are the texts' first pieces."""
+    offsets = pa.array(np.asarray(lists.offsets)[edges], pa.int64())
+    return pa.LargeListArray.from_arrays(offsets, lists.values)
 
 
 def _joined_equal(ids: pa.LargeListArray, entries: pa.Array, wanted: list[bytes]) -> np.ndarray:
@@ -201,9 +218,8 @@ def _summary(ids: pa.Array, texts: list[str | None], tools: Loaded) -> pa.Record
     n = len(texts)
     count = lambda docs: np.bincount(docs, minlength=n).astype(np.int64)
     pair = np.asarray(found.a.values)[found.link_a] * PAIR + np.asarray(found.b.values)[found.link_b]
-    keyed, times = np.unique(np.stack([found.doc, pair]), axis=1, return_counts=True) if n and len(pair) else (
-        np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
-    edges = pa.array(_edges(keyed[0], n), pa.int32())
+    keyed, times = np.unique(found.doc * PAIR**2 + pair, return_counts=True)  # pairs are below 2^32
+    edges = pa.array(_edges(keyed // PAIR**2, n), pa.int32())
     texts_of = _group_texts(found)
     digest = ["" if e else hashlib.sha256(t.encode()).hexdigest() for e, t in zip(found.empty, texts_of)]
     return pa.RecordBatch.from_pydict({
@@ -211,7 +227,7 @@ def _summary(ids: pa.Array, texts: list[str | None], tools: Loaded) -> pa.Record
         "n_a": np.diff(np.asarray(found.a.offsets)), "n_b": np.diff(np.asarray(found.b.offsets)),
         "n_groups": count(found.doc[found.closes]), "n_links": count(found.doc),
         "groups_sha256": pa.array(digest, pa.string()),
-        "pairs": pa.ListArray.from_arrays(edges, pa.array(keyed[1], pa.int64())),
+        "pairs": pa.ListArray.from_arrays(edges, pa.array(keyed % PAIR**2, pa.int64())),
         "times": pa.ListArray.from_arrays(edges, pa.array(times, pa.int64())),
     })
 
