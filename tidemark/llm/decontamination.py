@@ -8,10 +8,10 @@ windows), with the keys of the windows that may have it.
 
 The rows meet the fingerprints of the benchmark first. That set is broadcast while it has at
 most ``MAX_PRINTS`` numbers and becomes a Bloom filter of bounded size beyond. What passes is
-saved and extended: each of its windows is looked up by a 128-bit key among the windows of
-the benchmark, so a hit is a whole window and touching hits grow into longer spans. A
-document row carries no text, and a window matches one row of the benchmark however many
-items share it.
+saved and extended: each of its windows is looked up by a 128-bit key of its words' hashes
+among the windows of the benchmark, so a hit is a whole window and touching hits grow into
+longer spans. A document row carries no text, and a window matches one row of the benchmark
+however many items share it.
 
 Windows with the same items form one class. Documents hold classes, and the list of items is
 made once for each different set of classes, so a passage that is in a third of the documents
@@ -28,7 +28,6 @@ empty result. Columns other than the named ones are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -66,89 +65,66 @@ def words_of(name: str) -> Column:
     return F.regexp_extract_all(ascii_lower(text_of(name)), F.lit(WORD), F.lit(0))
 
 
-def _pairs(left: Column, right: Column, by: int, join: Callable[[Column, Column], Column]) -> Column:
-    """``join(left[i], right[i + by])`` wherever both exist."""
-    n = F.greatest(F.least(F.size(left), F.size(right) - by), F.lit(0))
-    return F.zip_with(F.slice(left, 1, n), F.slice(right, by + 1, n), join)
+def _next(values: Column, place: Column, n: int) -> list[Column]:
+    """The ``n`` values from ``place`` on, NULL beyond the end; ``slice`` would copy the array."""
+    return [F.get(values, place + k) for k in range(n)]
 
 
-def _runs(first: Column, length: int, join: Callable[[Column, Column], Column],
-          use: Callable[[Column], Column]) -> Column:
-    """``use`` of ``join`` over every ``length`` neighbours of ``first``, by doubling.
-
-    Every array is bound, so it is made once; stacked columns would be inlined.
-    """
-
-    def add(result: Column | None, done: int, runs: Column, width: int) -> Column:
-        if not length & width:
-            return double(result, done, runs, width)
-        longer = runs if result is None else _pairs(result, runs, done, join)
-        return bind(longer, lambda r: double(r, done + width, runs, width))
-
-    def double(result: Column | None, done: int, runs: Column, width: int) -> Column:
-        if done == length:
-            return use(result)
-        return bind(_pairs(runs, runs, width, join), lambda r: add(result, done, r, 2 * width))
-
-    return add(None, 0, first, 1)
+def _places(n: Column) -> Column:
+    """0 to ``n - 1``."""
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def _next(values: Column, place: Column, n: int) -> Column:
-    """The ``n`` values from ``place`` on; ``slice`` would copy the whole array each time."""
-    return F.array(*[F.get(values, place - 1 + k) for k in range(n)])
-
-
-def _hashed(x: Column, y: Column) -> Column:
-    return F.xxhash64(x, y)
-
+def _found(words: Column, rule: Winnow, short: list[int]) -> Column:
+    """Per fingerprint of a text its place, the length of its windows and their words' hashes.
 
-def _smaller(x: Column, y: Column) -> Column:
-    return F.least(x, y)
+    Arrays are bound, so that each is made once; stacked columns would be inlined.
+    """
+    width = rule.width
 
+    def row(hashes: Column, place: Column, length: int, mark: Column, reach: int) -> Column:
+        return F.struct(
+            (place + 1).alias("start"), F.lit(length).alias("length"), mark.alias("print"),
+            F.array(*_next(hashes, place, reach)).alias("context"),
+        )
 
-def _found(words: Column, rule: Winnow, short: list[int]) -> Column:
-    """Per fingerprint of a text its place, its length and the keys of its windows."""
+    def whole(hashes: Column, length: int) -> Column:
+        """Every window of ``length`` words, its own hash as fingerprint."""
+        return F.transform(_places(F.size(hashes) - (length - 1)), lambda i: row(
+            hashes, i, length, F.xxhash64(*_next(hashes, i, length)), length))
 
-    def whole(a1: Column, b1: Column, length: int) -> Column:
-        """Every window of ``length`` words, with its own hash as fingerprint."""
-        row = lambda b: lambda x, i: F.struct(
-            (i + 1).alias("start"), F.lit(length).alias("length"), x.alias("print"),
-            F.array(x).alias("a"), F.array(F.get(b, i)).alias("b"),
-        )
-        return _runs(a1, length, _hashed, lambda a: _runs(
-            b1, length, _hashed, lambda b: F.transform(a, row(b))))
-
-    def selected(least: Column, a: Column, b: Column) -> Column:
-        n, width = F.size(least), rule.width
-        all_places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-        changes = lambda i: (
-            ((i - 1) % width == 0) | (F.get(least, i - 1) != F.get(least, i - 2))
-        )
-        return F.transform(F.filter(all_places, changes), lambda i: F.struct(
-            i.alias("start"), F.lit(rule.span).alias("length"), F.get(least, i - 1).alias("print"),
-            _next(a, i, width).alias("a"), _next(b, i, width).alias("b"),
-        ))
+    def spans(hashes: Column, least: Column) -> Column:
+        changes = lambda i: (i % width == 0) | (F.get(least, i) != F.get(least, i - 1))
+        chosen = F.filter(_places(F.size(hashes) - (rule.span - 1)), changes)
+        return F.transform(chosen, lambda i: row(
+            hashes, i, rule.span, F.get(least, i), rule.span + width - 1))
 
-    def lists(a1: Column, b1: Column) -> Column:
-        spans = _runs(a1, rule.gram, _hashed, lambda g: _runs(
-            g, rule.width, _smaller, lambda least: _runs(
-                a1, rule.span, _hashed, lambda a: _runs(
-                    b1, rule.span, _hashed, lambda b: selected(least, a, b)))))
-        return F.concat(*[whole(a1, b1, n) for n in short], spans)
+    def lists(hashes: Column) -> Column:
+        # Values near the end cover fewer words; no window starts there.
+        grams = F.transform(hashes, lambda x, i: F.xxhash64(*_next(hashes, i, rule.gram)))
+        smallest = lambda g: g if width == 1 else F.transform(
+            g, lambda x, i: F.least(*_next(g, i, width)))
+        long = bind(grams, lambda g: bind(smallest(g), lambda least: spans(hashes, least)))
+        return F.concat(*[whole(hashes, n) for n in short], long)
 
-    return bind(F.transform(words, lambda w: F.xxhash64(w)), lambda a1: bind(
-        F.transform(words, lambda w: F.xxhash64(F.lit(1), w)), lambda b1: lists(a1, b1)))
+    return bind(F.transform(words, lambda w: F.xxhash64(w)), lists)
 
 
 def _each_window(rows: DataFrame) -> DataFrame:
-    """One row per window of the rows' fingerprints: ``start, length, a, b``."""
-    kept = [c for c in rows.columns if c not in ("start", "length", "print", "a", "b")]
-    return rows.select(
-        *kept, "start", "length", F.posexplode_outer(F.arrays_zip("a", "b")).alias("at", "key")
-    ).select(
-        *kept, (F.col("start") + F.coalesce("at", F.lit(0))).alias("start"), "length",
-        F.col("key.a").alias("a"), F.col("key.b").alias("b"),
-    ).where(F.col("a").isNotNull() | (F.col("start") == 0))
+    """One row per window of the rows' fingerprints: ``start, length`` and the key ``a, b``.
+
+    Rows that stand for a document give one row without a key.
+    """
+    kept = [c for c in rows.columns if c not in ("start", "length", "print", "context")]
+    known = F.array_compact("context")
+    at = F.explode(_places(F.greatest(F.size("known") - F.col("length") + 1, F.lit(1))))
+    placed = rows.select(*kept, "start", "length", known.alias("known")).select("*", at.alias("at"))
+    window = F.when(F.col("start") > 0, F.slice("known", F.col("at") + 1, F.col("length")))
+    return placed.select(
+        *kept, (F.col("start") + F.col("at")).alias("start"), "length",
+        F.when(window.isNotNull(), F.xxhash64(window)).alias("a"),
+        F.when(window.isNotNull(), F.xxhash64(F.lit(1), window)).alias("b"),
+    )
 
 
 def _benchmark(items: DataFrame, item_col: str, text_col: str, rule: Winnow):
@@ -237,10 +213,9 @@ def find_overlaps(
     text = text_of(text_col)
     own = ["id", "t1", "t2"]
     # The first row stands for the document itself and always passes.
-    nothing = F.array().cast("array<bigint>")
     first = lambda words: F.struct(
         F.lit(0).alias("start"), F.size(words).alias("length"), F.lit(None).cast("bigint").alias("print"),
-        nothing.alias("a"), nothing.alias("b"),
+        F.array().cast("array<bigint>").alias("context"),
     )
     rows = docs.select(
         F.col(id_col).alias("id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"),
