@@ -30,6 +30,7 @@ from tidemark.functions.columns import (
 from tidemark.groups import attach, by_size, match
 from tidemark.operators import baseline, cohorts, epochs, markers, nearest, outliers, recovery
 from tidemark.operators import summaries, timebase, troughs
+from tidemark.operators.large_linear import fit_linear_large
 from tidemark.operators.linear_models import fit_linear
 from tidemark.operators.mixed_models import fit_random_intercept
 from tidemark.operators.range_minimum import lowest_in_windows
@@ -724,6 +725,17 @@ def cell_lmm(spark, sf):
     return fit.select("effect", "group", "term", *[F.round(F.col(n), 4).alias(n) for n in numbers])
 
 
+def order_glm(spark, sf):
+    """Price by return flag with an effect of every order."""
+    lines = table(spark, sf, "lineitem")
+    fit = fit_linear_large(lines, "l_extendedprice", ["l_orderkey", "l_returnflag"],
+                           [("l_returnflag", "N"), ("l_returnflag", "R")])
+    row = fit.fit.first().asDict()
+    return fit.effects.select(
+        "factor", "level", F.round("estimate", 4).alias("estimate"), F.round("std_error", 4).alias("std_error"),
+        F.lit(row["df_residual"]).alias("df_residual"), F.lit(round(row["dispersion"], 2)).alias("dispersion"))
+
+
 def lineitem_lmm(spark, sf):
     """Discount by line status with an intercept per order; orders have 1 to 13 lines or so."""
     fit = fit_random_intercept(table(spark, sf, "lineitem"), "l_discount", "l_linestatus", "l_orderkey")
@@ -811,6 +823,7 @@ QUERIES: dict[str, Query] = {
     "epoch_lmm": epoch_lmm,
     "cell_lmm": cell_lmm,
     "lineitem_lmm": lineitem_lmm,
+    "order_glm": order_glm,
     "trough_in_window": trough_in_window,
     "trough_windows": trough_windows,
     "nested_troughs": nested_troughs,

@@ -542,5 +542,25 @@ QUALIFY row_number() OVER (PARTITION BY l_suppkey
 SELECT user_id, event_id, last_value(CASE WHEN comment LIKE 'error%' THEN value END IGNORE NULLS)
   OVER (PARTITION BY user_id ORDER BY clock, event_id ROWS UNBOUNDED PRECEDING) AS last_error FROM ev""",
     "lineitem_lmm": random_intercept("lineitem", "l_discount", "O", "l_linestatus", "l_orderkey"),
+    # Two dummies with the orders' means taken out, solved in closed form.
+    "order_glm": """WITH
+x AS (SELECT l_orderkey AS o, l_extendedprice AS y, (l_returnflag = 'N')::INT AS n, (l_returnflag = 'R')::INT AS r
+      FROM lineitem),
+w AS (SELECT y - avg(y) OVER g AS y, n - avg(n) OVER g AS n, r - avg(r) OVER g AS r
+      FROM x WINDOW g AS (PARTITION BY o)),
+s AS (SELECT sum(n * n) AS nn, sum(n * r) AS nr, sum(r * r) AS rr, sum(n * y) AS ny, sum(r * y) AS ry,
+             sum(y * y) AS yy, count(*) AS c FROM w),
+b AS (SELECT *, (ny * rr - ry * nr) / (nn * rr - nr * nr) AS bn, (ry * nn - ny * nr) / (nn * rr - nr * nr) AS br FROM s),
+d AS (SELECT *, c - (SELECT count(DISTINCT o) FROM x) - 2 AS free FROM b),
+e AS (SELECT *, (yy - bn * ny - br * ry) / free AS v FROM d),
+means AS (SELECT o, avg(y) - any_value(bn) * avg(n) - any_value(br) * avg(r) AS m FROM x, e GROUP BY o),
+base AS (SELECT arg_min(m, o) AS m, min(o) AS o FROM means),
+effects AS (
+  SELECT '(Intercept)' AS factor, NULL AS level, m AS estimate, NULL AS std_error FROM base
+  UNION ALL SELECT 'l_returnflag', 'N', bn, sqrt(v * rr / (nn * rr - nr * nr)) FROM e
+  UNION ALL SELECT 'l_returnflag', 'R', br, sqrt(v * nn / (nn * rr - nr * nr)) FROM e
+  UNION ALL SELECT 'l_orderkey', CAST(means.o AS VARCHAR), means.m - base.m, NULL FROM means, base WHERE means.o <> base.o)
+SELECT factor, level, round(estimate, 4) AS estimate, round(std_error, 4) AS std_error, free AS df_residual,
+  round(v, 2) AS dispersion FROM effects, e""",
     "lineitem_glm": one_way("lineitem", "l_returnflag", "l_extendedprice"),
 }
