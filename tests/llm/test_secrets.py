@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import re
+import time
 import urllib.parse
 import zlib
 
@@ -105,3 +106,59 @@ def test_report(spark):
         assert [out[100 + i][f"n_{k}"] for k in secrets.KINDS] == [sum(s[1] == j for s in spans) for j in range(3)]
     assert out[1].spans == "" and out[None].n_assign == 0
     assert secret_report(documents(spark, [])).count() == 0
+
+
+PLAIN = "password=hunter2hunter2 and nothing else, " * 6
+
+
+def wrapped(data: bytes, width: int, end: str = "\n") -> str:
+    text = base64.b64encode(data).decode()
+    return end.join(text[i:i + width] for i in range(0, len(text), width))
+
+
+@pytest.mark.parametrize("make", [
+    lambda: wrapped(gzip.compress(PLAIN.encode()), 76),
+    lambda: wrapped(gzip.compress(PLAIN.encode()), 64, "\r\n"),
+    lambda: wrapped(PLAIN.encode(), 76),
+    lambda: wrapped(gzip.compress(PLAIN.encode())[:-4], 10_000),
+    lambda: wrapped(gzip.compress(PLAIN.encode())[:-12], 10_000),
+    lambda: wrapped(gzip.compress(PLAIN.encode())[:-8] + b"\0" * 8, 10_000),
+    lambda: wrapped(gzip.compress(PLAIN.encode())[:-8] + b"\0" * 8, 76),
+    lambda: wrapped(zlib.compress(PLAIN.encode())[:-2], 10_000),
+    lambda: wrapped(zlib.compress(PLAIN.encode(), wbits=-15), 10_000),
+    lambda: wrapped(PLAIN.encode("utf-16"), 10_000),
+    lambda: wrapped(PLAIN.encode("utf-16-be"), 76),
+    lambda: wrapped(gzip.compress(b"x" * 100) + gzip.compress(PLAIN.encode()), 76),
+])
+def test_layers_that_are_broken_up_or_damaged(make):
+    """The finding has the span of the whole encoded part."""
+    blob = make()
+    text = f"-----BEGIN-----\n{blob}\n-----END-----"
+    base, every = secrets.find(text)
+    assert base == []
+    assert secrets.Span(16, 0, 16 + len(blob)) in every
+
+
+@pytest.mark.parametrize("text", [
+    r"password\U0000003Dhunter2hunter2", r"password\u{3D}hunter2hunter2", r"password\u{00003d}hunter2hunter2",
+    r"password\u005cu003dhunter2hunter2", r"password\x5cx5cx3dhunter2hunter2", "password%25253Dhunter2hunter2",
+])
+def test_other_escapes_and_nested_ones(text):
+    base, every = secrets.find(text)
+    assert base == [] and secrets.Span(0, 0, len(text)) in every
+
+
+@pytest.mark.parametrize("nest", ["%" + "25" * 50_000 + "3D", "\\" + "u005c" * 20_000 + "u003d"])
+def test_deep_nesting_takes_one_step(nest):
+    text = f"password{nest}hunter2hunter2"
+    begin = time.perf_counter()
+    assert secrets.Span(0, 0, len(text)) in secrets.find(text)[1]
+    assert time.perf_counter() - begin < 2
+
+
+def test_lines_of_words_are_no_block():
+    lines = "\n".join(["d41d8cd98f00b204e9800998ecf8427e"] * 3)
+    assert [s.kind for s in secrets.find(lines)[1]] == [2, 2, 2]
+    begin = time.perf_counter()
+    secrets.find("\n".join(f"A{i:031d}" for i in range(30_000)))
+    assert time.perf_counter() - begin < 5

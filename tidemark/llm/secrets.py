@@ -7,6 +7,10 @@ chain is not unwrapped again, which ends cycles. Compressed data is inflated to
 members of it, and scanned in overlapping chunks, so that a decompression bomb cannot take the memory. A finding in a layer gets the span of the text that its letters
 came from; within base64 that is the whole encoded part. Stray bytes of a decoded layer are
 replaced, and the rest of it is scanned.
+
+Base64 may be broken into lines of equal width. Compressed data that is cut off or damaged is
+scanned up to there. Decoded data may be UTF-8 or UTF-16. Nested percent signs and backslashes
+(``%252541``) are undone in one step, without a layer for each depth.
 """
 
 from __future__ import annotations
@@ -30,6 +34,7 @@ from tidemark.llm.columns import text_of, without
 CHUNK = 16_000_000  # letters of a compressed layer that are scanned at a time
 LONGEST = 4 * CHUNK  # a longer run without white space is cut, after whole groups of base64
 OVERLAP = 4096
+BLOCK = 65_536  # bytes given to the decompressor at a time
 
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -39,10 +44,17 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # a run of fewer is dropped, and runs cannot overlap
 KINDS = ("assign", "access", "hex")
 
-ONE_ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2}))")
-ESCAPES = re.compile(r"(?:\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2}))+")
-PERCENTS = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+# An escaped percent sign or backslash in front of an escape nests it; all depths of one escape
+# are undone in one step, so deep nesting takes no layer per depth.
+CODES = r"u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2})|U([0-9A-Fa-f]{8})|u\{([0-9A-Fa-f]{1,6})\}"
+NESTED = r"\\(?:u005[Cc]|x5[Cc]|U0000005[Cc]|u\{0{0,4}5[Cc]\})*"
+ONE_ESCAPE = re.compile(f"{NESTED}(?:{CODES})")
+ESCAPES = re.compile(f"(?:{NESTED}(?:{CODES.replace('(', '(?:')}))+")
+ONE_PERCENT = re.compile(r"%(?:25)*([0-9A-Fa-f]{2})")
+PERCENTS = re.compile(r"(?:%(?:25)*[0-9A-Fa-f]{2})+")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+LINE_END = re.compile(r"\r?\n")
+LINE = re.compile(r"[A-Za-z0-9+/][A-Za-z0-9+/_-]*={0,2}(?=[\x20\t]*(?:\r?\n|\Z))")
 BASE64_PART = re.compile(r"[A-Za-z0-9]{16,}={0,2}")
 PLAIN_RUN = re.compile(r"[0-9a-f]+|[A-Z]+|[A-Z]?[a-z]+|[0-9]+")  # a word or a number
 
@@ -70,41 +82,91 @@ def _printable(data: bytes) -> str | None:
     try:
         text = data.decode("utf-8")
     except UnicodeDecodeError:
-        return None
+        text = "\0"
     odd = sum(1 for c in text if c < " " and c not in "\t\n\r")
-    return text if text and odd == 0 else None
+    return text if text and odd == 0 else _wide(data)
+
+
+def _wide(data: bytes) -> str | None:
+    """Text of two-byte letters: marked as such, or with a zero in nearly every pair."""
+    if len(data) < 8:
+        return None
+    marked = {b"\xff\xfe": "utf-16-le", b"\xfe\xff": "utf-16-be"}.get(data[:2])
+    half = len(data) // 2
+    zeros = data[0:2 * half:2].count(0), data[1:2 * half:2].count(0)
+    share = 0.3 if marked else 0.8
+    code = "utf-16-be" if zeros[0] > share * half else "utf-16-le" if zeros[1] > share * half else None
+    if code is None or marked not in (None, code):
+        return None
+    text = data[2 if marked else 0:2 * half].decode(code, "replace")
+    return None if any(c < " " and c not in "\t\n\r" for c in text) else text or None
 
 
 def _inflate(data: bytes) -> Iterator[bytes]:
-    """Content of gzip, zlib or raw deflate data, of all members, in pieces of bounded size."""
+    """Content of gzip, zlib or raw deflate data, of all members, in pieces of bounded size.
+
+    Data that breaks off or is damaged gives what comes before; raw deflate data has no mark, so
+    there such a rest counts only if it is text.
+    """
     for mode in (31, 15, -15):
         magic = {31: b"\x1f\x8b", 15: b"\x78", -15: b""}[mode]
         if not data.startswith(magic):
             continue
-        pieces = _pieces(data, mode, magic)
-        if (first := next(pieces, b"")):
-            yield first
-            yield from pieces
+        first, member = True, _Member(data, mode)
+        while True:
+            for piece in member.pieces():
+                if first and not (magic or member.ended or len(piece) == CHUNK or _printable(piece)):
+                    break
+                first = False
+                yield piece
+            if not (magic and member.ended and member.rest.startswith(magic)):
+                break
+            member = _Member(member.rest, mode)
+        if not first:
             return
 
 
-def _pieces(data: bytes, mode: int, magic: bytes) -> Iterator[bytes]:
-    """Nothing where the first member breaks off within the first piece."""
-    began = False
-    while data:
-        unpack = zlib.decompressobj(mode)
-        while not unpack.eof:
+class _Member:
+    """One compressed member: its pieces, whether it ended, and what follows it."""
+
+    def __init__(self, data: bytes, mode: int) -> None:
+        self.data, self.unpack = data, zlib.decompressobj(mode)
+        self.ended, self.rest = False, b""
+
+    def pieces(self) -> Iterator[bytes]:
+        """Up to the member's end, the end of the data or the first damaged byte."""
+        unpack, at = self.unpack, 0
+        while at < len(self.data) and not unpack.eof:
+            block, saved, given = self.data[at:at + BLOCK], unpack.copy(), 0
+            left = block
             try:
-                out = unpack.decompress(data, CHUNK)
-            except zlib.error:
+                while left and not unpack.eof:
+                    out = unpack.decompress(left, CHUNK)
+                    left, given = unpack.unconsumed_tail, given + len(out)
+                    self.ended = unpack.eof
+                    if out:
+                        yield out
+            except zlib.error:  # its output is lost: read the block again, byte by byte
+                yield from _before_damage(saved, block, given)
                 return
-            data = unpack.unconsumed_tail
-            if not out and not unpack.eof or not (began or unpack.eof or len(out) == CHUNK):
-                return
-            if out:
-                began = True
-                yield out
-        data = unpack.unused_data if magic and unpack.unused_data.startswith(magic) else b""
+            at += len(block)
+        if self.ended:
+            self.rest = unpack.unused_data + self.data[at:]
+
+
+def _before_damage(unpack, block: bytes, given: int) -> Iterator[bytes]:
+    """What the block gives beyond ``given`` bytes before its damaged byte."""
+    out = bytearray()
+    try:
+        for i in range(len(block)):
+            out += unpack.decompress(block[i:i + 1])
+            if len(out) > given + CHUNK:
+                yield bytes(out[given:])
+                out, given = bytearray(), 0
+    except zlib.error:
+        pass
+    if len(out) > given:
+        yield bytes(out[given:])
 
 
 def _chunks(pieces: Iterator[bytes]) -> Iterator[str]:
@@ -159,22 +221,24 @@ def _unescape(run: str) -> list[tuple[str, int]]:
     found = list(ONE_ESCAPE.finditer(run))
     pieces, i = [], 0
     while i < len(found):
-        code, size = int(found[i][1] or found[i][2], 16), len(found[i][0])
+        code, size = int(next(filter(None, found[i].groups())), 16), len(found[i][0])
         if 0xD800 <= code < 0xDC00 and i + 1 < len(found):
             low = int(found[i + 1][1] or "0", 16)
             if 0xDC00 <= low < 0xE000:
                 code = 0x10000 + ((code - 0xD800) << 10) + low - 0xDC00
                 i, size = i + 1, size + len(found[i + 1][0])
-        pieces.append(("�" if 0xD800 <= code < 0xE000 else chr(code), size))
+        letter = 0xD800 <= code < 0xE000 or code > 0x10FFFF
+        pieces.append(("�" if letter else chr(code), size))
         i += 1
     return pieces
 
 
 def _unquote(run: str) -> list[tuple[str, int]]:
     """As above for percent escapes; bytes of a letter beyond ASCII go with their whole run."""
-    data = bytes.fromhex(run.replace("%", ""))
+    found = list(ONE_PERCENT.finditer(run))
+    data = bytes(int(m[1], 16) for m in found)
     if data.isascii():
-        return [(chr(b), 3) for b in data]
+        return [(chr(b), len(m[0])) for b, m in zip(data, found)]
     return [(data.decode("utf-8", "replace"), len(run))]
 
 
@@ -234,8 +298,41 @@ def _replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     return out
 
 
+def _wrapped(text: str, first: re.Match) -> list[int]:
+    """Ends of the base64 lines of equal width that begin with this run.
+
+    A shorter line may be the last of them or text of its own: then there are two ends.
+    """
+    width, ends = first.end() - first.start(), []
+    end = first.end()
+    while not text[end - 1] == "=" and (gap := LINE_END.match(text, end)) and (line := LINE.match(text, gap.end())):
+        size = line.end() - line.start()
+        if size > width:
+            break
+        end = line.end()
+        ends = [end] if size == width else [end, *ends]
+        if size < width:
+            break
+    return ends
+
+
 def _blobs(layer: Layer) -> Iterator[Layer]:
+    done = tried = 0
     for m in BASE64.finditer(layer.text):
+        if m.start() < done:  # a line of a block that is decoded
+            continue
+        ends = _wrapped(layer.text, m) if m.start() >= tried else []
+        tried = max([tried, *ends])  # a block that is none is tried from its first line only
+        for end in ends:
+            certain = False
+            for text, sure in _from_base64(LINE_END.sub("", layer.text[m.start():end])):
+                if certain := certain or sure:
+                    yield _inside(layer, m.start(), end, text)
+            if certain:
+                done = end
+                break
+        if m.start() < done:
+            continue
         if PLAIN_RUN.fullmatch(m[0]):
             continue
         certain = False
