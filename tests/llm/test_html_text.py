@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 
@@ -105,3 +106,30 @@ def test_copies_do_not_delete_each_other(spark):
 
 def test_empty_table(spark):
     assert html_text.extract_text(spark.createDataFrame([], PAGES)).count() == 0
+
+
+@pytest.mark.parametrize("unit", ["<a ", '<p x="', "<p x='", "<svg>", "<a<", "<!", "<!-", "</", "<p '>", '<p ">" ', "<b>x",
+                                  "<div><p>", "<script>", "&#", "<p \"'>"])
+def test_broken_markup_takes_linear_time(unit):
+    begin = time.perf_counter()
+    parse(unit * (1_000_000 // len(unit)))
+    assert time.perf_counter() - begin < 4
+
+
+@pytest.mark.parametrize("opening, closing", [
+    ('<article class="post-1 comments-open">', "</article>"), ('<div class="post-content share-enabled">', "</div>"),
+    ('<section class="related-work">', "</section>"), ("<div role='main'>", "</div>"), ("<div ROLE=main id=a>", "</div>"),
+    ('<main class="has-comments">', "</main>"), ('<div class="search-results-2024">', "</div>"),
+])
+def test_a_word_in_a_name_does_not_drop_the_text(opening, closing):
+    page = parse(f"<body><nav>Menu</nav>{opening}<p>The story</p><div class='share-buttons'>Share</div>{closing}</body>")
+    assert [x for x, k in zip(page.lines, page.kept) if k] == ["The story"]
+    assert main_text(f"<main>{opening}<p>The story</p>{closing}</main>") == ["The story"]
+
+
+@pytest.mark.parametrize("attribute", [
+    "class='comments'", "class='post-comments'", "id='cookie-banner'", "class='ad ad-top'", "class='x sidebar_right'",
+    "role=navigation", "id=\"comment-list\"", "class='widget-2'",
+])
+def test_whole_names_still_drop(attribute):
+    assert main_text(f"<main><p>Story</p><div {attribute}>Other</div></main>") == ["Story"]

@@ -43,12 +43,8 @@ COPY_SHARE = 0.9  # a neighbour sharing this much of the text is a copy
 RUN = 12  # pages that must share a line of an article
 LCS_BITS = 500_000_000  # alignment table that is kept whole; larger ones are split
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
-    r"|<(?P<close>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>"
-    r"|<(?P<close2>/?)(?P<tag2>[A-Za-z][^\s/>]*)(?P<rest2>[^>]*)>",
-    re.DOTALL,
-)
+TAG = re.compile(r"<(/?)([A-Za-z][^\s/><]*)")
+QUOTE_OR_END = re.compile(r"[\"'>]")
 NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 
 BLOCKS = frozenset(
@@ -69,8 +65,13 @@ DROPPED_NAMES = frozenset(
     "replies related share sharing social widget toolbar login signup search pagination pager "
     "contentinfo complementary dialog alert masthead skip".split()
 )
-# In front of such a word they say what the element has or lacks, not what it is.
-ABOUT = frozenset("has no not with without hide show".split())
+# Words that may stand beside them in a name; with any other word the name says something else
+# ("comments-open", "has-sidebar", "related-work").
+BESIDE = frozenset(
+    "area article bar block body bottom box btn button buttons container content desktop entry fixed float "
+    "global group icons inner item items left links list main mobile outer page panel post primary reader "
+    "right secondary section site sticky top user wrap wrapper".split()
+)
 SELF_CLOSING = frozenset("p li dt dd option tr td th".split())
 
 
@@ -97,14 +98,82 @@ def _is_named(tag: str, rest: str, in_main: bool) -> bool:
     """Whether class, id or role say that the element is no content."""
     if "=" not in rest or tag in ("html", "body", "article", "main") and "comment" not in rest:
         return False
+    dropped = DROPPED_NAMES if in_main else DROPPED_NAMES | {"header"}
+    for _, name in _names(rest):
+        words = [w for w in re.split(r"[_-]+", name) if not w.isdigit()]
+        if not dropped.isdisjoint(words) and all(w in dropped or w in BESIDE for w in words):
+            return True
+    return False
+
+
+def _names(rest: str) -> Iterator[tuple[str, str]]:
+    """Each name in class, id and role, in lower case."""
     for m in NAMES.finditer(rest):
         for name in (m[2] or m[3] or m[4] or "").lower().split():
-            words = re.split(r"[_-]+", name)
-            if words[0] in ABOUT:
-                continue
-            if not DROPPED_NAMES.isdisjoint(words) or "header" in words and not in_main:
-                return True
-    return False
+            yield m[1].lower(), name
+
+
+@dataclass
+class _Tag:
+    start: int
+    end: int
+    closing: bool
+    name: str  # empty for comments and declarations
+    rest: str
+
+
+class _Scanner:
+    """Tags of a page in order. What is not found once is not looked for again, so broken
+    markup takes time in proportion to its length."""
+
+    def __init__(self, source: str) -> None:
+        self.source = source
+        self.last_end = source.rfind(">")
+        self.lost: set[str] = set()  # raw tags that are never closed, quotes that never end
+        self.dead: set[int] = set()  # places after a quote from where no tag ends
+
+    def tag(self, at: int) -> _Tag | None:
+        source = self.source
+        while (start := source.find("<", at)) >= 0:
+            if source.startswith("<!--", start):
+                end = source.find("-->", start + 4)
+                return _Tag(start, len(source) if end < 0 else end + 3, False, "", "")
+            if start > self.last_end:
+                # Only an unclosed comment can follow.
+                start = source.find("<!--", start)
+                return _Tag(start, len(source), False, "", "") if start >= 0 else None
+            if source.startswith(("<!", "<?"), start):
+                return _Tag(start, source.index(">", start) + 1, False, "", "")
+            if named := TAG.match(source, start):
+                end = self._end(named.end())
+                return _Tag(start, end + 1, bool(named[1]), named[2].lower(), source[named.end():end])
+            at = start + 1
+        return None
+
+    def _end(self, at: int) -> int:
+        """The ``>`` outside quotes, or the first one where a quote does not end."""
+        first, source, met = at, self.source, []
+        while at not in self.dead and (found := QUOTE_OR_END.search(source, at)):
+            if found[0] == ">":
+                return found.start()
+            close = -1 if found[0] in self.lost else source.find(found[0], found.end())
+            if close < 0:
+                self.lost.add(found[0])
+                break
+            at = close + 1
+            met.append(at)
+        self.dead.update(met)
+        return source.index(">", first)
+
+    def raw_end(self, name: str, at: int) -> int:
+        """End of the raw element, or -1."""
+        if name in self.lost:
+            return -1
+        closed = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.IGNORECASE).search(self.source, at)
+        if closed:
+            return closed.end()
+        self.lost.add(name)
+        return -1
 
 
 def parse(source: str, spared: frozenset[int] = frozenset()) -> Page:
@@ -133,18 +202,16 @@ def parse(source: str, spared: frozenset[int] = frozenset()) -> Page:
             named.pop()
         main -= top.main
 
-    at, size, open_tags = 0, len(source), {}
+    at, size, open_tags, scanner = 0, len(source), {}, _Scanner(source)
     while at < size:
-        m = TOKEN.search(source, at)
+        m = scanner.tag(at)
         if m is None:
             text.append(source[at:])
             break
-        text.append(source[at:m.start()])
-        at = m.end()
-        tag = (m["tag"] or m["tag2"] or "").lower()
+        text.append(source[at:m.start])
+        at, tag, rest, closing = m.end, m.name, m.rest, m.closing
         if not tag:
             continue
-        closing = bool(m["close"] or m["close2"])
         if tag in BLOCKS or tag in RAW:
             flush()
         elif tag == "br":
@@ -160,25 +227,24 @@ def parse(source: str, spared: frozenset[int] = frozenset()) -> Page:
                         break
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE).search(source, at)
-            at = end.end() if end else size if tag in ("script", "style") else at
+            end = scanner.raw_end(tag, at)
+            at = end if end >= 0 else size if tag in ("script", "style") else at
             continue
         if tag in BLOCKS and stack and stack[-1].tag in SELF_CLOSING and tag not in ("ul", "ol", "dl"):
             open_tags[stack[-1].tag] -= 1
             pop()
-        if tag in VOID or (m["rest"] or m["rest2"] or "").endswith("/"):
+        if tag in VOID or rest.endswith("/"):
             continue
-        rest = m["rest"] or m["rest2"] or ""
         hard = _is_dropped(tag, main > 0)
-        by_name = not hard and m.start() not in spared and _is_named(tag, rest, main > 0)
+        by_name = not hard and m.start not in spared and _is_named(tag, rest, main > 0)
         drop = hard or by_name
-        is_main = not drop and (tag in ("article", "main") or 'role="main"' in rest)
+        is_main = not drop and (tag in ("article", "main") or "role" in rest and ("role", "main") in _names(rest))
         if drop or tag in BLOCKS and tag not in SELF_CLOSING:
             flush()
             if is_main and dropped and dropped == len(named) and named[-1] not in wrappers:
                 wrappers.update(named)
             if by_name:
-                named.append(m.start())
+                named.append(m.start)
             stack.append(Element(tag, drop, is_main, by_name))
             open_tags[tag] = open_tags.get(tag, 0) + 1
             dropped += drop
