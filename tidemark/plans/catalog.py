@@ -33,6 +33,7 @@ from tidemark.operators import summaries, timebase, troughs
 from tidemark.operators.large_linear import fit_linear_large
 from tidemark.operators.linear_models import fit_linear
 from tidemark.operators.mixed_models import fit_random_intercept
+from tidemark.operators.wide_mixed_models import fit_random_intercept_wide
 from tidemark.operators.range_minimum import lowest_in_windows
 from tidemark.operators.roles import Roles
 from tidemark.plans import recordings as plans
@@ -743,6 +744,21 @@ def lineitem_lmm(spark, sf):
     return fit.select("effect", "group", "term", *[_r(F.col(n), n) for n in numbers])
 
 
+def part_lmm(spark, sf):
+    """Log price by part, with an intercept per kind of price: list, and after a discount
+    of 5 % or more. There are as many levels as parts."""
+    lines = table(spark, sf, "lineitem")
+    price, discount = F.col("l_extendedprice"), F.col("l_discount")
+    prices = F.array(
+        F.struct(F.lit("list").alias("kind"), price.alias("price")),
+        F.struct(F.lit("net").alias("kind"), F.when(discount >= 0.05, price * (1 - discount)).alias("price")),
+    )
+    rows = lines.select("l_partkey", F.inline(prices)).withColumn("y", F.log("price"))
+    fit = fit_random_intercept_wide(rows, "y", "l_partkey", "kind")
+    numbers = ["estimate", "std_error", "df"]
+    return fit.select("effect", "group", "term", *[F.round(F.col(n), 4).alias(n) for n in numbers])
+
+
 # --- the larger table ------------------------------------------------------------
 
 
@@ -823,6 +839,7 @@ QUERIES: dict[str, Query] = {
     "epoch_lmm": epoch_lmm,
     "cell_lmm": cell_lmm,
     "lineitem_lmm": lineitem_lmm,
+    "part_lmm": part_lmm,
     "order_glm": order_glm,
     "trough_in_window": trough_in_window,
     "trough_windows": trough_windows,

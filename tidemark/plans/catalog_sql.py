@@ -542,6 +542,36 @@ QUALIFY row_number() OVER (PARTITION BY l_suppkey
 SELECT user_id, event_id, last_value(CASE WHEN comment LIKE 'error%' THEN value END IGNORE NULLS)
   OVER (PARTITION BY user_id ORDER BY clock, event_id ROWS UNBOUNDED PRECEDING) AS last_error FROM ev""",
     "lineitem_lmm": random_intercept("lineitem", "l_discount", "O", "l_linestatus", "l_orderkey"),
+    # Two groups leave one equation between them: variances, errors and degrees of freedom
+    # have closed forms, whatever the rows of each level.
+    "part_lmm": """WITH
+x AS (SELECT l_partkey AS f, 1 AS g, ln(l_extendedprice) AS y FROM lineitem
+      UNION ALL SELECT l_partkey, 0, ln(l_extendedprice * (1 - l_discount)) FROM lineitem WHERE l_discount >= 0.05),
+c AS (SELECT f, y - (SELECT avg(y) FROM x) AS y, g FROM x),
+lv AS (SELECT f, count(*) AS d, sum(g) AS m, sum(y) AS s, sum(y * g) AS sg, sum(y * y) AS q,
+              f = (SELECT min(f) FROM x) AS is_first FROM c GROUP BY f),
+t AS (SELECT count(*) AS p, sum(d) AS n, sum(m - m * m * 1.0 / d) AS a, sum(sg - m * s / d) AS r,
+             sum(q - s * s / d) AS rest FROM lv),
+k AS (SELECT *, 2 * a AS lam, r * r / a AS e, (rest - r * r / a) / (n - p - 1) AS w1 FROM t),
+z AS (SELECT *, e > w1 AS varies, CASE WHEN e > w1 THEN w1 ELSE rest / (n - p) END AS w,
+             CASE WHEN e > w1 THEN (e - w1) / lam ELSE 0 END AS b FROM k),
+h AS (SELECT *, w + b * lam AS v, lam * lam / (e * e) AS hbb, lam / (e * e) AS hbw,
+             (n - p - 1) / (w * w) + 1 / (e * e) AS hww, b / (w + b * lam) * r AS u FROM z),
+co AS (SELECT f, is_first, d, 2.0 * m / d - 1 AS lean, s / d - u * (2.0 * m / d - 1) AS mean FROM lv, h),
+o AS (SELECT lean AS lean0, mean AS mean0, d AS d0 FROM co WHERE is_first),
+va AS (SELECT f, is_first, CASE WHEN is_first THEN mean + (SELECT avg(y) FROM x) ELSE mean - mean0 END AS estimate,
+       1.0 / d + CASE WHEN is_first THEN 0 ELSE 1.0 / d0 END AS alone,
+       CASE WHEN is_first THEN lean * lean ELSE (lean - lean0) ** 2 END / 2 AS apart,
+       CASE WHEN is_first THEN 0.5 ELSE 0 END AS whole FROM co, o),
+er AS (SELECT va.*, h.*, w * alone + apart * w * b / v + whole * b AS variance,
+       apart * w * w / (v * v) + whole AS gb, alone + apart * b * b * lam / (v * v) AS gw FROM va, h)
+SELECT 'fixed' AS effect, CAST(NULL AS VARCHAR) AS "group",
+  CASE WHEN is_first THEN '(Intercept)' ELSE 'l_partkey' || f END AS term, round(estimate, 4) AS estimate,
+  round(sqrt(variance), 4) AS std_error,
+  round(CASE WHEN varies THEN variance * variance * (hbb * hww - hbw * hbw)
+             / (gb * gb * hww - 2 * gb * gw * hbw + gw * gw * hbb) ELSE n - p END, 4) AS df FROM er
+UNION ALL SELECT 'ran_pars', 'kind', 'sd__(Intercept)', round(sqrt(b), 4), NULL, NULL FROM z
+UNION ALL SELECT 'ran_pars', 'Residual', 'sd__Observation', round(sqrt(w), 4), NULL, NULL FROM z""",
     # Two dummies with the orders' means taken out, solved in closed form.
     "order_glm": """WITH
 x AS (SELECT l_orderkey AS o, l_extendedprice AS y, (l_returnflag = 'N')::INT AS n, (l_returnflag = 'R')::INT AS r
