@@ -52,6 +52,46 @@ def test_records_are_exact(spark, tmp_path):
     assert f"Content-Length: {len(BIG.encode())}".encode() in head
 
 
+def test_headers_are_complete(spark, tmp_path):
+    """The mandatory fields of WARC/1.1, and a url that comes back as given."""
+    folder = f"{tmp_path}/{uuid.uuid4().hex}"
+    pages = spark.createDataFrame(ROWS, PAGES)
+    warc.write_archive(pages, folder, captured="2024-05-01T00:00:00Z")
+    out = warc.read_archive(spark, folder).collect()
+    assert sorted((r.record_id or 0, r.url or "") for r in out) == sorted((p or 0, u or "") for p, u, _ in ROWS)
+    for r in out:
+        first, *lines = r.header.removesuffix("\r\n\r\n").split("\r\n")
+        fields = dict(line.split(": ", 1) for line in lines)
+        assert first == "WARC/1.1" and len(fields) == len(lines)
+        assert fields["WARC-Date"] == "2024-05-01T00:00:00Z" and fields["Content-Type"].startswith("text/html")
+        assert {"WARC-Type", "WARC-Record-ID", "Content-Length"} <= fields.keys()
+        revisit = fields["WARC-Type"] == "revisit"
+        assert ("WARC-Profile" in fields) == ("WARC-Refers-To" in fields) == revisit
+    plain, _ = warc.records(pages)
+    assert plain.where(F.col("header").rlike(r"WARC-Date: \d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ\r\n")).count() == len(ROWS)
+
+
+def test_records_of_one_payload_are_dealt(spark, tmp_path, monkeypatch):
+    """A third of the records share a payload, some are equal in every column."""
+    rows = [(i // 2, "u", "h" * 1500) for i in range(300)] + [(1000 + i, "u", f"{i} " * 400) for i in range(600)]
+    monkeypatch.setattr(warc, "LEAST_HEAVY", 10)
+    folder = archive(spark, tmp_path, rows)
+    seen = {}
+    joined = warc._with_payload
+
+    def dealt(headers, payloads):
+        seen["plan"] = joined(headers, payloads)
+        return seen["plan"]
+
+    monkeypatch.setattr(warc, "_with_payload", dealt)
+    out = warc.describe(warc.read_archive(spark, folder)).collect()
+    assert len(out) == 900 and sum(r.record_type == "response" for r in out) == 601
+    assert {r.refers_to for r in out} == {None, 149}
+    parts = seen["plan"].groupBy("sha256", "part").count().groupBy("sha256").count()
+    assert parts.agg(F.max("count")).first()[0] == 30
+    assert spark.read.parquet(f"{folder}/payloads").count() == 601
+
+
 def test_damage_is_noticed(spark, tmp_path):
     folder = archive(spark, tmp_path)
     stored = spark.read.parquet(f"{folder}/payloads").withColumn("payload", F.concat("payload", F.lit(b"!")))
