@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -52,6 +53,23 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def own_names(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Operators name their working columns ``__...``. Columns of the first frame with such
+    names are the caller's: they have other names during the operator, and theirs again after.
+    """
+    @functools.wraps(operator)
+    def run(df: DataFrame, *args, **options) -> DataFrame:
+        theirs = [c for c in df.columns if c.startswith("__")]
+        aside = {c: free_name(df, f"theirs{i}") for i, c in enumerate(theirs)}
+        named = lambda x: aside.get(x, x) if isinstance(x, str) else x
+        out = operator(
+            df.withColumnsRenamed(aside), *map(named, args), **{k: named(v) for k, v in options.items()}
+        )
+        return out.withColumnsRenamed({new: old for old, new in aside.items()})
+
+    return run
+
+
 def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """``df`` less the columns that an operator is about to add (names clash in any case)."""
     drop = {n.lower() for n in names}

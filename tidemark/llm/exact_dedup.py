@@ -20,7 +20,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.columns import ascii_lower, free_name, join_groups, saved, text_of, without
+from tidemark.llm.columns import (
+    ascii_lower, free_name, join_groups, own_names, saved, text_of, without,
+)
 from tidemark.session import save_stage
 
 MAX_BLOCKS = 16_384  # 64 MB: the bound of what is broadcast
@@ -126,6 +128,7 @@ def mark_copies(
     return once.unionByName(more).withColumnRenamed("__id", id_col)
 
 
+@own_names
 def drop_copies(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_blocks: int = MAX_BLOCKS
 ) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tidemark.groups import match
-from tidemark.llm.columns import text_of, without
+from tidemark.llm.columns import own_names, text_of, without
 from tidemark.llm.url_filters import host_of, path_of
 from tidemark.session import BROADCAST_ROWS, save_stage, setting
 
@@ -505,6 +505,7 @@ def delete_shared(lines: list[str], neighbours: list[list[int]]) -> list[str]:
     return lines
 
 
+@own_names
 def extract_text(
     pages: DataFrame, url_col: str = "url", html_col: str = "html", text_col: str = "text"
 ) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.groups import match
-from tidemark.llm.columns import join_groups, saved, text_of
+from tidemark.llm.columns import join_groups, own_names, saved, text_of
 from tidemark.llm.components import components
 from tidemark.llm.exact_dedup import bloom_filter, probe
 from tidemark.llm.text_words import U, Words, mix, slices, words_of
@@ -489,6 +489,7 @@ def with_node(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+@own_names
 def drop_near(
     docs: DataFrame, options: NearDedup = NearDedup(), id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.groups import attach
-from tidemark.llm.columns import SPACE, WORD, bind, text_of, without, words
+from tidemark.llm.columns import SPACE, WORD, bind, own_names, text_of, without, words
 from tidemark.session import save_stage
 
 SYMBOLS = r"[#*$%&|<>]"
@@ -166,6 +166,7 @@ def thresholds(features: DataFrame, labels: DataFrame, control: Control, id_col:
     return save_stage(counts.select(F.col("__stratum").alias("__named"), *chosen))
 
 
+@own_names
 def assess(
     docs: DataFrame, labels: DataFrame, control: Control = Control(), id_col: str = "doc_id",
     text_col: str = "text", stratum_col: str = "lang",

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.columns import join_groups, without
+from tidemark.llm.columns import join_groups, own_names, without
 from tidemark.groups import match
 from tidemark.session import save_stage
 
@@ -140,6 +140,7 @@ def _shrink(groups: DataFrame, prior: Reputation) -> DataFrame:
     return groups.withColumns({"mean": mean, "strength": F.lit(float(strength))})
 
 
+@own_names
 def judge_urls(
     pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule],
     prior: Reputation = Reputation(), url_col: str = "url",
