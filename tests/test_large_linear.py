@@ -7,8 +7,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import large_linear
 from tidemark.operators.large_linear import fit_linear_large
 from tidemark.operators.linear_models import fit_linear
+from tidemark.session import LISTED_CELLS
 
 
 def rows(n: int, seed: int = 1):
@@ -72,3 +74,61 @@ def test_refused(spark):
     joined = spark.createDataFrame(rows(50), df.schema)
     with pytest.raises(ValueError, match="absorbed"):
         fit_linear_large(joined, "y", ["a", "b"], [("a", 3)])
+
+
+@pytest.fixture(params=["listed", "joined"])
+def path(request, spark):
+    """Cells in lists, as with few other levels, or joined at every step."""
+    if request.param == "joined":
+        spark.conf.set(LISTED_CELLS[0], "0")
+    yield request.param
+    spark.conf.unset(LISTED_CELLS[0])
+
+
+def test_steps_move_no_cells(spark, monkeypatch):
+    """The cells are saved once flat and once as lists; nothing is joined to them."""
+    saved, save = [], large_linear.save_stage
+
+    def counted(df):
+        table = save(df)
+        saved.append(table.count())
+        return table
+
+    def refused(*args, **kwargs):
+        raise AssertionError("cells joined")
+
+    monkeypatch.setattr(large_linear, "save_stage", counted)
+    monkeypatch.setattr(large_linear, "attach", refused)
+    df = spark.range(6_000).select(
+        F.pmod("id", F.lit(1_000)).alias("a"), F.pmod(F.xxhash64("id"), F.lit(3)).alias("b"), F.rand(1).alias("y"))
+    large = fit_linear_large(df, "y", ["a", "b"], [("b", 1), ("b", 2)])
+    assert large.effects.count() == 1_000 + 2
+    assert [n for n in saved if n > 100] == [df.select("a", "b").distinct().count(), 1_000]
+
+
+def test_paths_equal_the_dense_fit(spark, path, tiny_limits, no_broadcast):
+    made = rows(300, 3) + [(1, "x", 0, 1.0)] * 150 + [(2, "y", 1, 2.0), (2, "y", 1, None), (3, None, 1, 5.0)]
+    df = spark.createDataFrame(made, "a int, b string, c int, y double").withColumn("one", F.lit("all"))
+    dense = fit_linear(df, "y", ["a", "b", "c"])
+    large = fit_linear_large(df, "y", ["one", "c", "a", "b"], [("b", "z"), ("c", 25)])
+    wanted = {r["term"]: r for r in dense.coefficients.collect()}
+    found = {f"{r['factor']}{r['level'] or ''}": r for r in large.effects.collect()}
+    assert set(found) == set(wanted)
+    for term, r in found.items():
+        assert r["estimate"] == pytest.approx(wanted[term]["estimate"], abs=1e-8)
+    for term in ("bz", "c25"):
+        assert found[term]["std_error"] == pytest.approx(wanted[term]["std_error"], rel=1e-8)
+    for x, y in zip(large.fit.first(), dense.fit.first()):
+        assert x == pytest.approx(y, rel=1e-9)
+
+
+def test_paths_refuse_the_same(spark, path):
+    schema = "a int, b string, c int, y double"
+    apart = [(1, "x", 0, 1.0), (1, "y", 0, 2.0), (2, "z", 1, 3.0), (3, "z", 1, 4.0), (4, "w", 2, 5.0)]
+    for factors in (["a", "b"], ["a", "c", "b"]):
+        with pytest.raises(ValueError, match="3 unconnected"):
+            fit_linear_large(spark.createDataFrame(apart, schema), "y", factors)
+    held = spark.createDataFrame([*apart, (1, "w", 1, 0.0)], schema)
+    with pytest.raises(ValueError, match="2 unconnected"):
+        fit_linear_large(held, "y", ["a", "b"])
+    assert fit_linear_large(held, "y", ["a", "c", "b"]).fit.first()["n"] == 6  # connected by c

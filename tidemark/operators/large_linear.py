@@ -5,6 +5,11 @@ solution is a mean per level, so the remaining equations are those of the other
 taking out these means. They are solved by conjugate gradients, scaled by their diagonal; the
 vectors are tables of one row per level, and a step multiplies by passing once over the table of
 factor cells. The driver holds scalars only, and no levels x levels matrix exists anywhere.
+
+Where the other factors have few combinations of levels (``spark.tidemark.listedCells``), each
+level of the absorbed factor is saved as one row with the list of its cells. One pass over these
+rows sums the remaining equations, a table of at most the square of the combinations, and steps
+read that table only: the number of steps, solutions and rounds moves no cells.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import known
 from tidemark.groups import attach
 from tidemark.operators.linear_models import FIT, NOISE_FREE
-from tidemark.session import save_stage
+from tidemark.session import LISTED_CELLS, save_stage, setting
 
 
 @dataclass(frozen=True)
@@ -48,7 +53,7 @@ def fit_linear_large(
         if factor == cells.big:
             raise ValueError(f"{factor} is absorbed: its standard errors are not available")
     cells.require_connected()
-    right = cells.multiply(F.col("mean"), {})
+    right = cells.right_side()
     solution, steps = _solve(cells, right, tolerance, most_steps)
     spread = {}
     for factor, level in errors:
@@ -96,7 +101,10 @@ class _Cells:
         null = table.agg(F.sum(n * (F.col("v") + F.col("mean") ** 2))).first()[0]
         sizes = {f: cells.select(f).distinct().count() for f in factors}
         big = max(factors, key=sizes.get)
-        made = cls(table, factors, big, firsts.asDict(), sizes, total, float(centre), float(null))
+        others = [f for f in factors if f != big]
+        listed = others and math.prod(sizes[f] for f in others) <= setting(df.sparkSession, LISTED_CELLS)
+        kind = _ListedCells if listed else cls
+        made = kind(table, factors, big, firsts.asDict(), sizes, total, float(centre), float(null))
         made.diagonal = save_stage(made._diagonal())
         return made
 
@@ -146,6 +154,20 @@ class _Cells:
         inside = attach(cells, self.absorbed(cells, value), [self.big])
         return save_stage(self._stacked(inside, F.col("n") * (value - F.col("__m")), "value"))
 
+    def right_side(self) -> DataFrame:
+        return self.multiply(F.col("mean"), {})
+
+    def product(self, vector: DataFrame) -> DataFrame:
+        return self.multiply(F.col("__q"), {"p": vector})
+
+    def remainder(self, x: DataFrame) -> tuple[DataFrame, float]:
+        """The absorbed factor's means beside the solution, and the deviance of both."""
+        fitted = self.with_vectors(x, "__q")
+        own = save_stage(self.absorbed(fitted, F.col("mean") - F.col("__q")))
+        off = F.col("mean") - F.col("__q") - F.col("__m")
+        squares = attach(fitted, own, [self.big]).agg(F.sum(F.col("n") * (F.col("v") + off * off)))
+        return own, float(squares.first()[0])
+
     def require_connected(self) -> None:
         """Labels spread over common cells until they stop; one label must be left."""
         if not self.rest:
@@ -165,6 +187,79 @@ class _Cells:
             raise ValueError(f"{groups} unconnected groups of levels cannot be compared")
 
 
+@dataclass
+class _ListedCells(_Cells):
+    """Cells as lists, one row per level of the absorbed factor; the other factors have few levels."""
+
+    lists: DataFrame = None
+    equations: DataFrame = None  # factor, level, factor2, level2, value
+    rights: DataFrame = None
+
+    def _diagonal(self) -> DataFrame:
+        n, mean = F.col("n"), F.col("mean")
+        self.lists = save_stage(self.table.groupBy(self.big).agg(
+            F.sum(n).alias("__size"), (F.sum(n * mean) / F.sum(n)).alias("__m"),
+            F.collect_list(F.struct(*self.rest, "n", "mean", "v")).alias("__cells")))
+        pairs = self.lists.select("__size", "__m", "__cells", F.explode("__cells").alias("__a")).select(
+            "__size", "__m", "__a", F.explode("__cells").alias("__b"))
+        a, b = F.col("__a"), F.col("__b")
+        same = functools.reduce(Column.__and__, [a[f] == b[f] for f in self.rest])
+        value = F.when(same, a["n"]).otherwise(0) - a["n"] / F.col("__size") * b["n"]
+        right = F.when(same, a["n"] * (a["mean"] - F.col("__m")))
+        levels = [F.array(*[F.struct(F.lit(f).alias("factor"), side[f].alias("level")) for f in self.rest])
+                  for side in (a, b)]
+        joint = save_stage(pairs.groupBy(levels[0].alias("__a"), levels[1].alias("__b")).agg(
+            F.sum(value).alias("value"), F.sum(right).alias("right")))
+        own = joint.where(F.col("right").isNotNull()).select("right", F.inline("__a"))
+        self.rights = own.groupBy("factor", "level").agg(F.sum("right").alias("value"))
+        both = joint.select("value", "__b", F.inline("__a")).select(
+            "value", "factor", "level", F.inline("__b").alias("factor2", "level2"))
+        self.equations = save_stage(
+            both.groupBy("factor", "level", "factor2", "level2").agg(F.sum("value").alias("value")))
+        # A level that shares the rows of any absorbed level has 0.5 or more, others only rounding.
+        d = F.when(F.col("value") >= 0.25, F.col("value")).otherwise(0.0)
+        itself = (F.col("factor") == F.col("factor2")) & (F.col("level") == F.col("level2"))
+        return self.equations.where(itself).select("factor", "level", d.alias("d"))
+
+    def right_side(self) -> DataFrame:
+        return save_stage(self.rights)
+
+    def product(self, vector: DataFrame) -> DataFrame:
+        p = vector.select(
+            F.col("factor").alias("factor2"), F.col("level").alias("level2"), F.col("value").alias("p"))
+        terms = self.equations.join(F.broadcast(p), ["factor2", "level2"])
+        return save_stage(terms.groupBy("factor", "level").agg(F.sum(F.col("value") * F.col("p")).alias("value")))
+
+    def remainder(self, x: DataFrame) -> tuple[DataFrame, float]:
+        values = {f: [] for f in self.rest}
+        for r in x.collect():  # a value per level of the few
+            values[r["factor"]] += [F.lit(r["level"]), F.lit(r["value"])]
+
+        def fitted(cell):
+            found = [F.element_at(F.create_map(*values[f]), cell[f]) for f in self.rest]
+            return functools.reduce(Column.__add__, found)
+
+        left = F.aggregate("__cells", F.lit(0.0), lambda s, c: s + c["n"] * (c["mean"] - fitted(c)))
+        own = self.lists.select(self.big, (left / F.col("__size")).alias("__m"), "__cells")
+        cells = own.select("__m", F.explode("__cells").alias("c"))
+        cell = F.col("c")
+        off = cell["mean"] - fitted(cell) - F.col("__m")
+        squares = cells.agg(F.sum(cell["n"] * (cell["v"] + off * off)))
+        return own.select(self.big, "__m"), float(squares.first()[0])
+
+    def require_connected(self) -> None:
+        links = [((a, b), (c, d)) for a, b, c, d, _ in self.equations.collect()]
+        label, moved = {one: one for one, _ in links}, True
+        while moved:
+            moved = False
+            for one, other in links:
+                if label[other] < label[one]:
+                    label[one], moved = label[other], True
+        groups = len(set(label.values()))
+        if groups > 1:
+            raise ValueError(f"{groups} unconnected groups of levels cannot be compared")
+
+
 def _solve(cells: _Cells, right: DataFrame, tolerance: float, most_steps: int) -> tuple[DataFrame, int]:
     """Conjugate gradients on the equations without the absorbed factor."""
     scaled = F.when(F.col("d") > 0, F.col("r") / F.col("d")).otherwise(0.0)
@@ -176,7 +271,7 @@ def _solve(cells: _Cells, right: DataFrame, tolerance: float, most_steps: int) -
         steps += 1
         state = save_stage(state)
         held = state.select("factor", "level", F.col("p").alias("value"))
-        product = cells.multiply(F.col("__q"), {"p": held}).withColumnRenamed("value", "ap")
+        product = cells.product(held).withColumnRenamed("value", "ap")
         met = save_stage(state.join(product, ["factor", "level"]))
         curve = met.agg(F.sum(F.col("p") * F.col("ap"))).first()[0] or 0.0
         if curve <= 0:  # nothing left but rounding
@@ -192,10 +287,7 @@ def _solve(cells: _Cells, right: DataFrame, tolerance: float, most_steps: int) -
 
 def _report(df: DataFrame, cells: _Cells, x: DataFrame, spread: dict, steps: int) -> LargeFit:
     spark = df.sparkSession
-    fitted = cells.with_vectors(x, "__q")
-    own = save_stage(cells.absorbed(fitted, F.col("mean") - F.col("__q")))
-    off = F.col("mean") - F.col("__q") - F.col("__m")
-    deviance = float(attach(fitted, own, [cells.big]).agg(F.sum(F.col("n") * (F.col("v") + off * off))).first()[0])
+    own, deviance = cells.remainder(x)
     if deviance <= NOISE_FREE * cells.null_deviance:
         deviance = 0.0
     p = 1 + sum(n - 1 for n in cells.n_levels.values())

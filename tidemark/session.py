@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 HOT_ROWS = ("spark.tidemark.hotGroupRows", 2_000_000)
 # Saved tables with more rows than this are joined by shuffle, not broadcast.
 BROADCAST_ROWS = ("spark.tidemark.broadcastRows", 200_000)
+# Cells of a linear model's largest factor are kept in one row per level up to this many a level.
+LISTED_CELLS = ("spark.tidemark.listedCells", 100)
 
 
 def build_session(app: str = "tidemark", master: str | None = None, **conf: str) -> SparkSession:
