@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import tracemalloc
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -117,6 +120,34 @@ def test_pieces_have_the_ids_of_the_whole_text(monkeypatch):
     assert not found.empty[0] and found.end[-1] == len(huge) + 1
 
 
+def test_texts_are_aligned_in_runs(monkeypatch):
+    tools = loaded(*PATHS)
+    texts = [t for _, t in TEXTS]
+    whole = token_alignment.align_texts(texts, tools)
+    monkeypatch.setattr(token_alignment, "ALIGNED", 40)
+    monkeypatch.setattr(token_alignment, "PIECE_BYTES", 20)
+    parts = list(token_alignment.align_runs(texts, tools))
+    assert len(parts) > 5 and [i for rows, _ in parts for i in range(len(texts))[rows]] == [*range(len(texts))]
+    for side in ("a", "b"):
+        assert [x for _, p in parts for x in getattr(p, side).to_pylist()] == getattr(whole, side).to_pylist()
+    ends = [(rows.start + d, e, c) for rows, p in parts for d, e, c in zip(p.doc, p.end, p.closes)]
+    assert ends == [*zip(whole.doc, whole.end, whole.closes)]
+
+
+def test_memory_of_counts_does_not_follow_the_batch():
+    pairs = pa.ListArray.from_arrays(
+        pa.array(np.arange(0, 4_000_001, 500), pa.int32()), pa.array(np.arange(4_000_000) % 5000))
+    batch = pa.RecordBatch.from_arrays([pairs], names=["pairs"])
+    tracemalloc.start()
+    try:
+        found = pa.Table.from_batches(token_alignment._partial_counts(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found.num_rows == 5000 and set(found["n"].to_pylist()) == {800}
+    assert peak < 10_000_000  # a number for each pair of the batch takes 32 MB
+
+
 def test_groups_cover_the_bytes(spark):
     text = "naïve façade, don't über 12345"
     rows = token_groups(spark.createDataFrame([(1, text), (2, None)], SCHEMA), Tokenizers(*PATHS)).collect()

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 
-SLICE_BYTES = 4_000_000  # text taken at once; a longer text is taken alone
+SLICE_BYTES = 1_000_000  # text taken at once: arrays take some fifty times as much
 BLOCK_BYTES = 1 << 20  # text hashed at once
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2^64
 SPACES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
@@ -95,11 +95,19 @@ def words_of(texts: pa.Array) -> Words:
     return Words(_hash(data, begin, end), np.searchsorted(begin, offsets))
 
 
-def slices(batch: pa.RecordBatch, text_col: str) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows with about ``SLICE_BYTES`` of text."""
-    size = np.array(pa.compute.binary_length(batch.column(text_col)).to_numpy(zero_copy_only=False), np.int64)
-    group = np.cumsum(size) // SLICE_BYTES
+def runs(size: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows that hold about ``most`` together; a larger row may be taken with a few others."""
+    group = np.cumsum(size) // most
     cuts = [0, *(np.flatnonzero(np.diff(group)) + 1), len(size)]
     for a, b in zip(cuts, cuts[1:]):
         if b > a:
-            yield batch.slice(a, b - a)
+            yield a, b
+
+
+def slices(batch: pa.RecordBatch, *text_cols: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows with about ``most`` bytes in the columns named."""
+    size = np.zeros(len(batch), np.int64)
+    for name in text_cols:
+        size += pa.compute.binary_length(batch.column(name)).to_numpy(zero_copy_only=False)
+    for a, b in runs(size, most):
+        yield batch.slice(a, b - a)

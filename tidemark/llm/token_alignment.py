@@ -41,11 +41,15 @@ from pyspark.sql.types import StructField, StructType
 
 from tidemark.groups import attach
 from tidemark.llm.columns import text_of
-from tidemark.llm.text_words import slices
+from tidemark.llm.text_words import runs, slices
 from tidemark.session import save_stage
 
 PAIR = 1 << 16  # a pair of ids is the number a * PAIR + b; both vocabularies are smaller
 FLUSH = 1_000_000  # different pairs that a task holds before it hands on its counts
+TEXT_BYTES = 4_000_000  # text whose different pieces are encoded once
+PIECE_BYTES = 500_000  # different pieces encoded as one text
+ALIGNED = 1_000_000  # characters aligned at once
+PAIRS = 200_000  # pairs counted or weighed at once
 CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -114,13 +118,14 @@ class Loaded:
         plain = np.array([p.strip() == p and "▁" not in p for p in pieces], bool)
         first = [p for p, ok in zip(pieces, plain) if ok]
         other = [p for p, ok in zip(pieces, plain) if not ok]
-        known = (self.joined(first) if first else None) or self.lists(first)
+        bounds = runs(np.array([len(p) + 1 for p in first], np.int64), PIECE_BYTES)
+        known = [self.joined(first[x:y]) or self.lists(first[x:y]) for x, y in bounds]
         rank = np.empty(len(pieces), np.int64)
         rank[plain], rank[~plain] = np.arange(len(first)), len(first) + np.arange(len(other))
         taken = pa.array(rank[np.asarray(flat.indices)])
         edges = np.concatenate([[0], np.cumsum([len(pieces) for pieces in cut])]).astype(np.int64)
         return tuple(
-            _by_text(pa.concat_arrays([x, y]).take(taken), edges) for x, y in zip(known, self.lists(other)))
+            _by_text(pa.concat_arrays(side).take(taken), edges) for side in zip(*known, self.lists(other)))
 
 
 @functools.cache
@@ -140,6 +145,13 @@ def _by_text(lists: pa.LargeListArray, edges: np.ndarray) -> pa.LargeListArray:
     return pa.LargeListArray.from_arrays(offsets, lists.values)
 
 
+def _part(ids: pa.LargeListArray, x: int, y: int) -> pa.LargeListArray:
+    """The lists from x to y, as an array of their own."""
+    offsets = np.asarray(ids.offsets)[x:y + 1]
+    values = ids.values.slice(offsets[0], offsets[-1] - offsets[0])
+    return pa.LargeListArray.from_arrays(pa.array(offsets - offsets[0]), values)
+
+
 def _joined_equal(ids: pa.LargeListArray, entries: pa.Array, wanted: list[bytes]) -> np.ndarray:
     """For each document whether the entries of its ids make up its bytes."""
     taken = entries.take(ids.values)
@@ -172,8 +184,19 @@ class Aligned:
 
 
 def align_texts(texts: list[str | None], tools: Loaded) -> Aligned:
+    texts = [t or "" for t in texts]
+    return _aligned(texts, *tools.ids(texts), tools)
+
+
+def align_runs(texts: list[str | None], tools: Loaded) -> Iterator[tuple[slice, Aligned]]:
+    """Runs of the texts, each aligned by itself; the pieces of all are encoded together."""
     texts = [t or "" for t in texts]
     a, b = tools.ids(texts)
+    for x, y in runs(np.array([len(t) for t in texts], np.int64), ALIGNED):
+        yield slice(x, y), _aligned(texts[x:y], _part(a, x, y), _part(b, x, y), tools)
+
+
+def _aligned(texts: list[str], a: pa.LargeListArray, b: pa.LargeListArray, tools: Loaded) -> Aligned:
     wanted = [(" " + t).encode() for t in texts]
     good = _joined_equal(a, tools.a_bytes, wanted) & _joined_equal(b, tools.b_bytes, wanted)
     good &= np.array([bool(t) for t in texts], bool)
@@ -213,9 +236,8 @@ def _group_texts(found: Aligned) -> list[str]:
     return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(edges, pa.int64()), groups), ";").to_pylist()
 
 
-def _summary(ids: pa.Array, texts: list[str | None], tools: Loaded) -> pa.RecordBatch:
-    found = align_texts(texts, tools)
-    n = len(texts)
+def _summary(ids: pa.Array, found: Aligned) -> pa.RecordBatch:
+    n = len(ids)
     count = lambda docs: np.bincount(docs, minlength=n).astype(np.int64)
     pair = np.asarray(found.a.values)[found.link_a] * PAIR + np.asarray(found.b.values)[found.link_b]
     keyed, times = np.unique(found.doc * PAIR**2 + pair, return_counts=True)  # pairs are below 2^32
@@ -244,8 +266,9 @@ def align_documents(docs: DataFrame, tools: Tokenizers, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = loaded(tools.byte_path, tools.piece_path)
         for batch in batches:
-            for part in slices(batch, "text"):
-                yield _summary(part.column("id"), part.column("text").to_pylist(), held)
+            for part in slices(batch, "text", most=TEXT_BYTES):
+                for rows, found in align_runs(part.column("text").to_pylist(), held):
+                    yield _summary(part.column("id")[rows], found)
 
     texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     return save_stage(
@@ -264,24 +287,31 @@ def token_groups(docs: DataFrame, tools: Tokenizers, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = loaded(tools.byte_path, tools.piece_path)
         for batch in batches:
-            for part in slices(batch, "text"):
-                found = align_texts(part.column("text").to_pylist(), held)
-                doc, end = found.doc[found.closes], found.end[found.closes]
-                first = np.concatenate([[True], doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, bool)
-                start = np.where(first, 0, np.concatenate([[0], end[:-1]])) if len(doc) else end
-                lists = [
-                    pa.ListArray.from_arrays(
-                        pa.array(np.concatenate([[0], link[found.closes] + 1]), pa.int32()), ids.values)
-                    for ids, link in ((found.a, found.link_a), (found.b, found.link_b))
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id").take(pa.array(doc)), pa.array(start), pa.array(end), *lists],
-                    names=[id_col, "start", "end", "a_ids", "b_ids"])
+            for part in slices(batch, "text", most=TEXT_BYTES):
+                for rows, found in align_runs(part.column("text").to_pylist(), held):
+                    doc, end = found.doc[found.closes], found.end[found.closes]
+                    first = np.concatenate([[True], doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, bool)
+                    start = np.where(first, 0, np.concatenate([[0], end[:-1]])) if len(doc) else end
+                    lists = [
+                        pa.ListArray.from_arrays(
+                            pa.array(np.concatenate([[0], link[found.closes] + 1]), pa.int32()), ids.values)
+                        for ids, link in ((found.a, found.link_a), (found.b, found.link_b))
+                    ]
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("id")[rows].take(pa.array(doc)), pa.array(start), pa.array(end), *lists],
+                        names=[id_col, "start", "end", "a_ids", "b_ids"])
 
     texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     return texts.mapInArrow(run, schema)
 
 
+def _by_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in runs of rows with about ``PAIRS`` pairs."""
+    for batch in batches:
+        for x, y in runs(np.asarray(batch.column("pairs").value_lengths()), PAIRS):
+            yield batch.slice(x, y - x)
+
+
 def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of a task's pairs; handed on early when there are many different ones."""
     pa.set_cpu_count(1)
@@ -292,7 +322,7 @@ def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         total = table.group_by("pair", use_threads=False).aggregate([("n", "sum")])
         return total.rename_columns({"n_sum": "n"}).select(["pair", "n"])
 
-    for batch in batches:
+    for batch in _by_pairs(batches):
         pairs = batch.column("pairs").flatten()
         counted = pa.table({"pair": pairs, "n": np.ones(len(pairs), np.int64)})
         held = merged(pa.concat_tables([held, merged(counted)]))
@@ -339,7 +369,7 @@ def weigh_links(aligned: DataFrame, counts: DataFrame, max_pairs: int) -> DataFr
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, n_docs, best = held.value
-        for batch in batches:
+        for batch in _by_pairs(batches):
             lists = batch.column("pairs")
             asked, times = (np.asarray(batch.column(c).flatten()).astype(np.int64) for c in ("pairs", "times"))
             size = np.asarray(lists.value_lengths()).astype(np.int64)
