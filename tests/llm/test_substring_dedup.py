@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import pyarrow as pa
 import pytest
@@ -8,7 +9,7 @@ import pytest
 from tests.llm.frames import AWKWARD, clashing, documents, words
 from tidemark.llm import substring_dedup
 from tidemark.llm.substring_dedup import Passages, SuffixAutomaton
-from tidemark.llm.text_words import words_of
+from tidemark.llm.text_words import slices, words_of
 
 
 def brute(rows, n=20):
@@ -79,6 +80,22 @@ def test_automaton_gives_matching_statistics():
             assert got == max(n for n in range(end) if n == 0 or fits(n))
 
 
+def test_memory_does_not_follow_the_batch():
+    random.seed(2)
+    texts = [" ".join(f"w{random.randrange(50_000)}" for _ in range(500)) for _ in range(4000)]
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    rows, options = 0, Passages()
+    tracemalloc.start()
+    try:
+        for part in slices(batch, "text"):
+            rows += len(substring_dedup._segment_lists(words_of(part["text"]), options, len(part), True))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == len(texts)
+    assert peak < 40_000_000  # 4 MB of text at once take 84 MB
+
+
 def test_word_hashes_tell_words_apart():
     texts = ["", " a b ", "aa\tb\nc", "é ü x y", " ", "x" * 3_000_000 + " y", "x" * 2_999_999 + "z y", "a\x1fb \x85"]
     found = words_of(pa.array(texts))

@@ -197,15 +197,16 @@ def _finer_segments(segments: DataFrame, options: Passages) -> DataFrame:
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held = [np.frombuffer(w.as_py(), np.uint64) for w in batch.column("words")]
-            first = np.concatenate([[0], np.cumsum([len(w) for w in held])]).astype(np.int64)
-            words = Words(np.concatenate(held) if held else np.empty(0, U), first)
-            lists = _segment_lists(words, options, len(batch), True)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.select(["id", "text_digest", "start"]).columns, lists],
-                names=["id", "text_digest", "start", "segments"],
-            )
+        for whole in batches:
+            for batch in slices(whole, "words"):
+                held = [np.frombuffer(w.as_py(), np.uint64) for w in batch.column("words")]
+                first = np.concatenate([[0], np.cumsum([len(w) for w in held])]).astype(np.int64)
+                words = Words(np.concatenate(held), first)
+                lists = _segment_lists(words, options, len(batch), True)
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.select(["id", "text_digest", "start"]).columns, lists],
+                    names=["id", "text_digest", "start", "segments"],
+                )
 
     cut = segments.select("id", "text_digest", "start", "words").mapInArrow(run, schema)
     rows = cut.select("id", "text_digest", F.col("start").alias("__from"), F.inline("segments"))
