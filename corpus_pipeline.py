@@ -40,8 +40,7 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, and whether they decode to it."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     kept = docs.withColumn("__sha", F.sha2(F.coalesce("text", F.lit("")), 256))
-    encoded = byte_bpe.encode(kept, path, public_tokenizers.PATTERN)
-    decoded = byte_bpe.decode(encoded, path)
+    decoded = byte_bpe.encode(kept, path, public_tokenizers.PATTERN, bytes_col="decoded")
     return decoded.select(
         "doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
         (F.sha2("decoded", 256) == F.col("__sha")).alias("round_trip"),

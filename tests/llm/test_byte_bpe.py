@@ -7,6 +7,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
+import corpus_pipeline
 from tests.llm.frames import AWKWARD, clashing, documents
 from tidemark.llm import byte_bpe
 from tidemark.llm.queries import bpe_report
@@ -45,6 +46,17 @@ def test_columns_pass_and_clashes_are_replaced(spark):
     assert by_id[1].ids == [] and bytes(by_id[1].decoded) == b""
 
 
+def test_one_python_worker_encodes_and_decodes(spark):
+    docs = clashing(documents(spark), "ids", "decoded")
+    both = byte_bpe.encode(docs, PATH, public_tokenizers.PATTERN, bytes_col="decoded")
+    apart = byte_bpe.decode(byte_bpe.encode(docs, PATH, public_tokenizers.PATTERN), PATH)
+    assert both.schema == apart.schema
+    assert sorted(map(str, both.collect())) == sorted(map(str, apart.collect()))
+    report = bpe_report(documents(spark).select("doc_id", "text"))
+    for made in (report, corpus_pipeline.tokenise(spark, documents(spark), "")):
+        assert made._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
 def test_empty_table(spark):
     coded = byte_bpe.encode(documents(spark, []), PATH, public_tokenizers.PATTERN)
     assert byte_bpe.decode(coded, PATH).count() == 0

@@ -118,23 +118,26 @@ def _slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 
 def encode(
     docs: DataFrame, vocabulary_path: str, pattern: str, text_col: str = "text",
-    ids_col: str = "ids",
+    ids_col: str = "ids", bytes_col: str | None = None,
 ) -> DataFrame:
     """Adds ``ids array<int>``; the text column is replaced by its ids.
 
     NULL and empty texts give an empty array. Other columns pass through; one named like
-    ``ids_col`` is replaced. Special tokens are ordinary text.
+    ``ids_col`` is replaced. Special tokens are ordinary text. With ``bytes_col`` the same
+    Python worker decodes the ids again, as :func:`decode` would in a second one.
     """
     vocabulary = _vocabulary(docs, vocabulary_path)
-    rows = without(docs, [ids_col]) if ids_col.lower() != text_col.lower() else docs
+    made = [c for c in (ids_col, bytes_col) if c and c.lower() != text_col.lower()]
+    rows = without(docs, made)
     rows = rows.withColumn(text_col, text_of(text_col))
     kept = [c for c in rows.columns if c != text_col]
     schema = T.StructType([rows.schema[c] for c in kept] + [
         T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False)
-    ])
+    ] + ([T.StructField(bytes_col, T.BinaryType(), False)] if bytes_col else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, pieces = regex.compile(pattern), _pre_tokens(vocabulary.value)
+        entries = _token_bytes(vocabulary.value) if bytes_col else None
         for batch in batches:
             texts, others = batch.column(text_col), batch.select(kept)
             flat, ends, start = array("i"), [0], 0
@@ -143,16 +146,30 @@ def encode(
                     flat.extend(ids)
                 ends.append(len(flat))
                 if len(flat) >= BATCH_TOKENS or i + 1 == len(texts):
-                    yield _with(others.slice(start, i + 1 - start), ids_col, ends, flat)
+                    columns = [*others.slice(start, i + 1 - start).columns, _lists(ends, flat)]
+                    if entries:
+                        columns.append(_bytes(columns[-1].values.to_numpy(), np.array(ends), entries))
+                    yield pa.RecordBatch.from_arrays(columns, names=schema.names)
                     flat, ends, start = array("i"), [0], i + 1
 
     return rows.mapInArrow(run, schema)
 
 
-def _with(others: pa.RecordBatch, name: str, ends: list[int], flat: array) -> pa.RecordBatch:
+def _lists(ends: list[int], flat: array) -> pa.ListArray:
     values = pa.array(np.frombuffer(flat, np.int32) if flat else np.empty(0, np.int32))
-    ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
-    return pa.RecordBatch.from_arrays([*others.columns, ids], [*others.schema.names, name])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+
+
+def _bytes(ids: np.ndarray, ends: np.ndarray, entries: tuple[np.ndarray, ...]) -> pa.BinaryArray:
+    """The bytes of each list of ids; ``ends`` are 0 and the lists' ends."""
+    data, starts, lengths = entries
+    size = lengths[ids]
+    places = np.concatenate([[0], np.cumsum(size)])
+    at = np.arange(places[-1]) + np.repeat(starts[ids] - places[:-1], size)
+    of_rows = places[ends].astype(np.int32)
+    return pa.BinaryArray.from_buffers(
+        pa.binary(), len(ends) - 1, [None, pa.py_buffer(of_rows), pa.py_buffer(data[at])]
+    )
 
 
 def decode(
@@ -164,20 +181,13 @@ def decode(
     schema = T.StructType([*rows.schema.fields, T.StructField(bytes_col, T.BinaryType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data, starts, lengths = _token_bytes(vocabulary.value)
+        entries = _token_bytes(vocabulary.value)
         for batch in batches:
             column = batch.column(ids_col)
             counts = np.array(column.value_lengths().fill_null(0))
             for a, b in _slices(counts, BATCH_TOKENS):
                 ids = column.slice(a, b - a).flatten().to_numpy(zero_copy_only=False)
-                size = lengths[ids]
-                ends = np.concatenate([[0], np.cumsum(size)])
-                at = np.arange(ends[-1]) + np.repeat(starts[ids] - ends[:-1], size)
-                of_rows = ends[np.concatenate([[0], np.cumsum(counts[a:b])])].astype(np.int32)
-                decoded = pa.BinaryArray.from_buffers(
-                    pa.binary(), b - a,
-                    [None, pa.py_buffer(of_rows), pa.py_buffer(data[at])],
-                )
+                decoded = _bytes(ids, np.concatenate([[0], np.cumsum(counts[a:b])]), entries)
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, decoded], [*part.schema.names, bytes_col]

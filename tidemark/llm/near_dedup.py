@@ -215,7 +215,7 @@ def _similar(pairs: DataFrame, options: NearDedup) -> DataFrame:
     share = options.similarity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "__ta", "__tb")):
             sides = []
             for name in ("__ta", "__tb"):
                 items, owner, count = _distinct(*shingles(words_of(batch.column(name)), options.shingle))

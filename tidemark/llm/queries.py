@@ -46,8 +46,7 @@ def op1_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
 def bpe_report(docs: DataFrame) -> DataFrame:
     """Ids and decoded bytes of each document as digests."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = byte_bpe.encode(docs, path, public_tokenizers.PATTERN)
-    decoded = byte_bpe.decode(encoded, path)
+    decoded = byte_bpe.encode(docs, path, public_tokenizers.PATTERN, bytes_col="decoded")
     return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
