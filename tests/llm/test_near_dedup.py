@@ -145,3 +145,29 @@ def test_components(spark):
     linked = {x for a, b in edges if a != b for x in (a, b)}
     assert got == {x: root(x) for x in linked}
     assert components(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 60])
+def test_components_of_many_chunks(spark, chunk, no_broadcast):
+    """Paths, in order and not, a hub and cycles, joined a few edges at a time."""
+    random.seed(11)
+    path = random.sample(range(80), 80)
+    edges = [(f"p{a:03}", f"p{b:03}") for a, b in zip(path, path[1:])]
+    edges += [(f"z{i:03}", f"z{i + 1:03}") for i in range(40)]
+    edges += [("n000", f"n{i:03}") for i in range(1, 60)] + [("n030", "z020")]
+    edges += [(f"c{i}", f"c{(i + 1) % 9}") for i in range(9)] * 2 + [("c0", "c0")]
+    rows = spark.createDataFrame(edges, "a string, b string")
+    got = {r.node: r.root for r in components(rows, chunk).collect()}
+    assert got == {x: {"p": "p000", "z": "n000", "n": "n000", "c": "c0"}[x[0]] for e in edges for x in e}
+
+
+def test_components_of_few_edges_take_no_rounds(spark):
+    """A dozen stages at most however long the path, not several shuffles for every halving of it."""
+    edges = spark.createDataFrame([(f"z{i:03}", f"z{i + 1:03}") for i in range(500)], "a string, b string")
+    context = spark.sparkContext
+    context.setJobGroup("few edges", "")
+    assert {r.root for r in components(edges).collect()} == {"z000"}
+    stages = [s for j in context.statusTracker().getJobIdsForGroup("few edges")
+              for s in context.statusTracker().getJobInfo(j).stageIds]
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert len(set(stages)) <= 12
